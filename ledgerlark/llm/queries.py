@@ -8,13 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, decontam, exactdedup, neardup, tokencount
+from ledgerlark.llm import bpe, chat, decontam, exactdedup, neardup, sharding, tokencount
 from ledgerlark.plans.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = spark.sql("SELECT -1L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
+    windows = chat.chat_windows(turns)
+    # all that follows is read back from the formatted windows
+    new = F.expr("slice(turns, n_repeated + 1, size(turns))")
+    read = windows.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("new", new).withColumn("targets", chat.read_targets(F.col("formatted"), F.col("loss_spans")))
+    own = read.select("conv_id", F.struct("window", F.expr("array_join(transform(new, t -> concat(t.role, '\n', t.text, '\n')), '')").alias("turns"), F.array_join("targets", "").alias("loss")).alias("w"), F.size("new").alias("n"), F.length("formatted").alias("chars"))
+    by_conv = own.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list("w")).alias("w"), F.sum("chars").alias("formatted_chars"), F.count(F.lit(1)).alias("n_windows"))
+    loss = F.array_join("w.loss", "")
+    return by_conv.select("conv_id", "n_turns", F.sha2(F.array_join("w.turns", ""), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars", "n_windows")
+
+
+def op4_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.stratified_shards(read_table(spark, sf_dir, "documents"), shards=24, seed=7)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "position")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencount.count_tokens(read_table(spark, sf_dir, "documents"), PIECE_BPE)
     return counts.withColumn("over_limit", F.col("n_tokens") > 4096)
@@ -39,6 +57,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_format": op2_chat_format,
+    "op4_stratified_shards": op4_stratified_shards,
     "op3_token_counts": op3_token_counts,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_bpe": op6_bpe,

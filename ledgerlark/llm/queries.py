@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, decontam, exactdedup, neardup, sharding, tokencount
+from ledgerlark.llm import bpe, chat, decontam, exactdedup, neardup, sharding, tokencount, toxicity
 from ledgerlark.plans.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,6 +56,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scores.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op4_stratified_shards": op4_stratified_shards,
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_minhash_forest": op7_minhash_forest,
     "op8_decontamination": op8_decontamination,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, decontam, exactdedup, neardup, sharding, tokencount, toxicity
+from ledgerlark.llm import bpe, chat, decontam, exactdedup, neardup, quality, sharding, tokencount, toxicity
 from ledgerlark.plans.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
 
 
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scores.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op4_stratified_shards": op4_stratified_shards,
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_forest": op7_minhash_forest,
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
+    "op10_site_quality": op10_site_quality,
 }
 
 ORACLES: dict[str, str] = {

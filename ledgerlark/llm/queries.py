@@ -8,13 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, decontam, exactdedup, neardup, quality, sharding, tokencount, toxicity
+from ledgerlark.llm import bpe, chat, decontam, exactdedup, neardup, quality, sharding, tokencount, tokenshards, toxicity
+from ledgerlark.llm.scratch import new_path
 from ledgerlark.plans.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "token-shards")
+    tokenshards.write_shards(read_table(spark, sf_dir, "documents"), BYTE_BPE, folder, key=11)
+    read = tokenshards.read_shards(spark, BYTE_BPE, folder)
+    return read.select("slot", "shard", "offset", "doc_id", "sequence", F.expr("octet_length(ids) div 2").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = spark.sql("SELECT -1L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
@@ -67,6 +75,7 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_shards": op1_token_shards,
     "op2_chat_format": op2_chat_format,
     "op4_stratified_shards": op4_stratified_shards,
     "op3_token_counts": op3_token_counts,

@@ -2,21 +2,25 @@
 
 Each set of shingles has `TREES * DEPTH` min-hashes. A tree orders all sets by a
 signature that begins with its own DEPTH min-hashes and goes on with those of
-the next trees. Sets with a common prefix of DEPTH form a region. Candidates are
-
-* neighbours in a tree's order inside a region, which have the longest common
-  prefixes; they connect most of what is alike in linearly many pairs;
-* then, in regions whose sets are not yet all connected, the pairs between
-  different components: at once where a region has `SMALL` sets at most, else
-  after the region went `DEPTH` deeper by each of the next `BRANCHES` trees, up
-  to `LEVELS` times. Because a dense region goes on along several trees, depth
-  costs hardly any recall.
-
-Every link is confirmed on the full sets. Two sets of similarity 0.8 miss all
-common regions with a probability of (1 - 0.8**4)**32 = 5e-8, or 7e-6 where
-everything around them is dense; no other pair is left out, and no region, set
-or partner is capped. Sets that are equal are one set from the start. Pairs
-inside a component are not expanded.
+the next tree. Sets with a common prefix of DEPTH form a region. Depth adapts to
+a region's size. Candidates are
+
+1. in FIRST trees, neighbours in the order of each region, which have the
+   longest common prefixes: linearly many pairs that connect most of what is
+   alike;
+2. in all trees, in regions that are not connected yet, the pairs between
+   components of a region of at most SMALL sets, and else neighbours in the
+   deeper order again;
+3. in larger regions that are still not connected, an exact rest: sets that
+   regions hold together are ordered by rarity against a few of them, and a
+   pair's first common shingle must leave room for the overlap that it needs.
+   Only sets outside the largest component look for partners.
+
+So in a region every pair of similarity 0.8 or more is compared, or already
+connected. Two such sets miss all common regions with a probability of
+(1 - 0.8**4)**32 = 5e-8; nothing else is left out, and no region, set or partner
+is capped. Every link is confirmed on the full sets. Sets that are equal are one
+set from the start. Pairs inside a component are not expanded.
 
 Null and empty texts have no shingles and are linked with nothing; a text of
 fewer words than a shingle has one shingle, its words. Rows that repeat an id
@@ -38,13 +42,15 @@ from ledgerlark.llm.components import components
 from ledgerlark.llm.scratch import written
 
 TREES, DEPTH = 32, 4
-#: Trees whose neighbours are compared first.
+#: Trees whose neighbours are compared first; sets of a region that are all compared; how far neighbours may be in the order of a larger one.
 FIRST = 6
-SMALL, BRANCHES, LEVELS = 24, 4, 3
+SMALL, NEAR = 24, 3
+#: Sets that stand for those that regions hold together.
+HUBS = 8
 #: Sets of a region that one task orders at most on average; a larger region is dealt out, its parts joined by their first sets.
 ORDERED = 4096
 #: Of the min-hashes, how many must agree before a pair's texts are fetched: at a similarity of 0.8, 102 of 128 do on average, with a deviation of 4.5.
-AGREE = 70
+AGREE = 76
 
 _rng = np.random.Generator(np.random.PCG64(7_041_776))
 _A = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -124,9 +130,10 @@ def _alike_in_size(percent: int) -> F.Column:
 
 
 def _between_components(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of a region that lie in different components."""
-    side = lambda x: members.select("region", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "sketch")])
-    met = side("a").join(side("b"), "region").filter(F.col("node_a") < F.col("node_b")).filter("component_a <> component_b").filter(_alike_in_size(percent))
+    """Pairs of sets of a region that lie in different components; each pair from the first tree in which it has a region."""
+    side = lambda x: members.select("region", "tree", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "sketch", "prefixes")]).withColumnRenamed("tree", f"tree_{x}")
+    first = F.expr("array_position(zip_with(prefixes_a, prefixes_b, (x, y) -> x = y), true) = tree_a + 1")
+    met = side("a").join(side("b"), "region").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _alike_in_size(percent) & first)
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sketch_a", "sketch_b").mapInArrow(_agreeing, "a long, b long")
 
 
@@ -136,6 +143,58 @@ def _unsettled(members: DataFrame) -> DataFrame:
     return members.join(sizes, "region")
 
 
+def _shingles(words: int):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = shingle_sets(words_of(*text_bytes(part.column("text")), NOT_SPACE), words)
+                yield pa.RecordBatch.from_arrays([part.column("cluster").take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))), pa.array(np.concatenate(sets).view(np.int64))], ["cluster", "shingle"])
+
+    return run
+
+
+def _rare_first(words: int, percent: int):
+    """The first shingles of each set, as far as the first one that it shares with a partner can lie, by rarity."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                sets = shingle_sets(words_of(*text_bytes(part.column("text")), NOT_SPACE), words)
+                rows, found, places = [], [], []
+                for i, (s, common) in enumerate(zip(sets, part.column("common"), strict=True)):
+                    known = np.array(common.as_py() or [], dtype=np.int64).view(np.uint64)
+                    ordered = s[np.lexsort((s, np.isin(s, known)))][: len(s) - -(-percent * len(s) // 100) + 1]
+                    rows += [i] * len(ordered)
+                    found.append(ordered)
+                    places += range(len(ordered))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c).take(pa.array(rows, pa.int64())) for c in ("cluster", "node", "n", "component", "outside")] + [pa.array(np.concatenate(found).view(np.int64)), pa.array(places, pa.int64())],
+                    ["cluster", "node", "n", "component", "outside", "shingle", "place"],
+                )
+
+    return run
+
+
+def _rest(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs between components that can be alike, of sets that regions hold together; members: region, node, n, component."""
+    heads = members.groupBy("region").agg(F.min("node").alias("head"))
+    clusters = components(members.join(heads, "region").select(F.col("head").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "cluster")
+    nodes = members.select("node", "n", "component").distinct().join(clusters, "node")
+    sizes = nodes.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("sets"))
+    largest = sizes.groupBy("cluster").agg(F.max(F.struct("sets", "component"))["component"].alias("largest"))
+    nodes = written(nodes.join(largest, "cluster").withColumn("outside", F.col("component") != F.col("largest")).drop("largest"), "clusters")
+    hubs = nodes.groupBy("cluster").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"] for k in range(HUBS)])).alias("hubs"))
+    hubs = hubs.select("cluster", F.explode("hubs").alias("node")).join(texts, "node").select("cluster", "text")
+    common = hubs.mapInArrow(_shingles(words), "cluster long, shingle long").groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").groupBy("cluster").agg(F.collect_list("shingle").alias("common"))
+    described = nodes.join(texts, "node").join(common, "cluster", "left").select("cluster", "node", "n", "component", "outside", "text", "common")
+    rows = written(described.mapInArrow(_rare_first(words, percent), "cluster long, node long, n long, component long, outside boolean, shingle long, place long"), "rare-first")
+    side = lambda df, x: df.select("cluster", "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "outside", "place")])
+    met = side(rows.filter("outside"), "a").join(side(rows, "b"), ["cluster", "shingle"])
+    needed = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
+    met = met.filter((F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("node_a") < F.col("node_b"))) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= needed))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links), kept."""
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
@@ -150,37 +209,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     shared = in_trees.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("first")).filter("sets > 1")
     members = in_trees.join(shared, "region").withColumn("part", F.when(F.col("sets") > ORDERED, F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / ORDERED))).otherwise(0))
     order = Window.partitionBy("region", "part").orderBy("further", "node")
-    members = written(members.select("region", "tree", "node", "n", "first", F.lag("node").over(order).alias("before"), F.lag("n").over(order).alias("n_before")), "members")
+    lags = [F.struct(F.lag("node", k).over(order).alias("node"), F.lag("n", k).over(order).alias("n")) for k in range(1, NEAR + 1)]
+    members = written(members.select("region", "tree", "node", "n", "first", F.filter(F.array(*lags), lambda x: x["node"].isNotNull()).alias("before")), "members")
 
     texts = written(docs.join(members.select("node").distinct(), docs["doc_id"] == F.col("node")).select("node", "text"), "texts")
-    near = members.filter(F.col("tree") < FIRST).filter("before is null or n_before is not null").select(
-        F.coalesce("before", "first").alias("x"), F.col("node").alias("y"), F.coalesce("n_before", "n").alias("n_a"), F.col("n").alias("n_b")
-    )
-    near = near.filter("x <> y").filter(_alike_in_size(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    head = F.when((F.size("before") == 0) & (F.col("first") != F.col("node")), F.col("first"))
+    last = members.filter(F.col("tree") < FIRST).select(F.coalesce(F.get("before", F.lit(0))["node"], head).alias("x"), F.col("node").alias("y"), F.coalesce(F.get("before", F.lit(0))["n"], "n").alias("n_a"), F.col("n").alias("n_b"))
+    near = last.filter("x is not null").filter(_alike_in_size(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = written(confirmed(near, texts, words, percent), "links")
     found = components(links)
 
-    # regions that the neighbours have not connected
-    rest = members.join(found, "node", "left").select("region", "tree", "node", "n", F.coalesce("component", "node").alias("component"))
-    rest = written(_unsettled(rest).join(sets.select("node", "prefixes", "sketch"), "node"), "unsettled")
-    pairs = []
-    for level in range(LEVELS + 1):
-        if rest.isEmpty():
-            break
-        last = level == LEVELS
-        pairs.append(_between_components(rest if last else rest.filter(F.col("sets") <= SMALL), percent))
-        if not last:
-            deeper = rest.filter(F.col("sets") > SMALL).drop("sets").withColumn("branch", F.explode(F.sequence(F.lit(1), F.lit(BRANCHES))))
-            at = F.pmod(F.col("tree") + F.col("branch"), F.lit(TREES))
-            deeper = deeper.withColumn("region", F.xxhash64("region", "branch", F.get("prefixes", at))).withColumn("tree", at).drop("branch")
-            rest = written(_unsettled(deeper), "unsettled")
-    if pairs:
-        more = pairs[0]
-        for x in pairs[1:]:
-            more = more.union(x)
-        more = more.distinct().join(near, ["a", "b"], "left_anti")
+    # regions that these neighbours have not connected
+    at = F.coalesce("component", "node").alias("component")
+    open_ = written(_unsettled(members.join(found, "node", "left").select("region", "tree", "node", "n", "before", at)), "unsettled")
+    if not open_.isEmpty():
+        small = open_.filter(F.col("sets") <= SMALL).join(sets.select("node", "prefixes", "sketch"), "node")
+        large = open_.filter(F.col("sets") > SMALL)
+        of = found.select(F.col("node").alias("x"), F.col("component").alias("component_x"))
+        beside = large.select(F.col("node").alias("y"), F.col("n").alias("n_b"), "component", F.explode("before").alias("b")).select(F.col("b.node").alias("x"), F.col("b.n").alias("n_a"), "y", "n_b", "component").filter(_alike_in_size(percent)).distinct()
+        beside = beside.join(of, "x", "left").filter(F.coalesce("component_x", "x") != F.col("component")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        more = _between_components(small, percent).union(beside).distinct()
         links = written(links.union(confirmed(more, texts, words, percent)), "links")
         found = components(links)
+        open_ = written(_unsettled(large.drop("component", "sets").join(found, "node", "left").select("region", "node", "n", at)), "unsettled")
+        if not open_.isEmpty():
+            links = written(links.union(confirmed(_rest(open_, texts, words, percent), texts, words, percent)), "links")
+            found = components(links)
     classes = sets.select("set", "node").join(found, "node", "left").select("set", F.coalesce("component", "node").alias("class"))
     out = rows.select("doc_id", "n_shingles", "set").join(classes, "set", "left")
     component = F.coalesce("class", "doc_id")

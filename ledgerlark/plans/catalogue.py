@@ -403,14 +403,14 @@ _DAILY_SQL = """
 @query(f"""
     WITH {_DAILY_SQL}
     SELECT event_type, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS volatility, round(regr_slope(ret, market), 5) AS beta,
-      round((avg(ret) - 0.0007) / stddev_samp(ret), 5) AS sharpe, round(avg(ret) - (0.0007 + regr_slope(ret, market) * (avg(market) - 0.0007)), 5) AS alpha FROM k GROUP BY 1
+      round((avg(ret) - 0.0007) / stddev_samp(ret), 5) AS sharpe, round(avg(ret) - (0.0007 + regr_slope(ret, market) * (avg(market) - 0.0007)), 5) + 0.0 AS alpha FROM k GROUP BY 1
 """)
 def risk_metrics(spark, sf_dir):
     days = read_table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("v"))
     rets = days.withColumn("ret", ratio(F.col("v"), F.lag("v").over(Window.partitionBy("event_type").orderBy("day"))) - 1).filter("ret is not null")
     market = rets.filter("event_type = 'view'").select("day", F.col("ret").alias("market"))
     figures = series.risk(rets.join(market, "day"), ["event_type"], "ret", "market", 0.0007)
-    return figures.select("event_type", *[F.round(c, n).alias(c) for c, n in (("mean", 6), ("volatility", 6), ("beta", 5), ("sharpe", 5), ("alpha", 5))])
+    return figures.select("event_type", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("mean", 6), ("volatility", 6), ("beta", 5), ("sharpe", 5), ("alpha", 5))])
 
 
 @query("""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.formats import month_day
 from ledgerlark.functions.semantics import cents, if_set, or_else, ratio, round_half_up, text_or_else, try_number
-from ledgerlark.operators import matching, positions, ranking, series, valuation
+from ledgerlark.operators import matching, positions, ranking, rebalancing, series, valuation
 from ledgerlark.operators.allocation import allocation, concentration, largest
 from ledgerlark.plans.tables import read_table
 from ledgerlark.sources import envelopes
@@ -545,3 +545,28 @@ def largest_groups(spark, sf_dir):
 def max_drawdown(spark, sf_dir):
     months = _months(spark, sf_dir, "o_orderpriority").withColumnRenamed("o_orderpriority", "series")
     return series.drawdown(months, ["series"], "month", "cents").select("series", F.round("max_drawdown", 6).alias("max_drawdown"))
+
+
+_YEAR_SHARES = "SELECT l_partkey AS ticker, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS shares FROM lineitem WHERE year(l_shipdate) = {} GROUP BY 1"
+
+
+@query(f"""
+    WITH a AS ({_YEAR_SHARES.format(1996)}), b AS ({_YEAR_SHARES.format(1997)}),
+    d AS (SELECT ticker, coalesce(b.shares, 0) - coalesce(a.shares, 0) AS change FROM a FULL JOIN b USING (ticker))
+    SELECT ticker, CASE WHEN change > 0 THEN 'BUY' ELSE 'SELL' END AS action, abs(change) AS shares FROM d WHERE change <> 0
+""")
+def trades_between_years(spark, sf_dir):
+    lots = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ticker"), F.col("l_quantity").cast("bigint").alias("shares"), F.year("l_shipdate").alias("year"))
+    return rebalancing.trades_between(lots.filter("year = 1996"), lots.filter("year = 1997"))
+
+
+@query("""
+    WITH s AS (SELECT p_partkey, p_retailprice, p_size / (sum(p_size) OVER ())::DOUBLE AS weight FROM part)
+    SELECT p_partkey AS ticker, CAST(floor(weight * 1000000000.0::DOUBLE / p_retailprice) AS BIGINT) AS shares FROM s
+""")
+def sized_positions(spark, sf_dir):
+    parts = read_table(spark, sf_dir, "part")
+    whole = parts.agg(F.sum("p_size").alias("whole"))
+    weights = parts.crossJoin(F.broadcast(whole)).select(F.col("p_partkey").alias("ticker"), ratio(F.col("p_size"), F.col("whole")).alias("weight"))
+    prices = parts.select(F.col("p_partkey").alias("ticker"), F.col("p_retailprice").alias("exec_price"))
+    return rebalancing.sized(weights, prices, 1e9).select("ticker", "shares")

@@ -233,3 +233,19 @@ def test_written_once(spark, tmp_path):
     assert made == [1]
     assert snapshots.written_once(spark, str(tmp_path / "u"), lambda: spark.range(0)).count() == 0
     assert snapshots.written_once(spark, str(tmp_path / "u"), make).count() == 2
+
+
+def test_rebalancing(spark):
+    from ledgerlark.operators import rebalancing
+
+    weights = spark.createDataFrame([("HD", 0.2630), ("UNH", 0.0594), ("KO", 0.0356), ("JNJ", 0.2623), ("AMGN", 0.3055), ("VZ", 0.0742), ("X", 0.1)], "ticker string, weight double")
+    prices = spark.createDataFrame([("HD", 342.70), ("UNH", 335.45), ("KO", 68.92), ("JNJ", 205.87), ("AMGN", 324.92), ("VZ", 39.74)], "ticker string, exec_price double")
+    first = rebalancing.sized(weights, prices, 100_000)
+    shares = lambda df: {r.ticker: r.shares for r in df.collect()}
+    assert shares(first) == {"HD": 76, "UNH": 17, "KO": 51, "JNJ": 127, "AMGN": 94, "VZ": 186, "X": None}
+    second = spark.createDataFrame([("HD", 75), ("UNH", 22), ("KO", 120), ("JNJ", 123), ("AMGN", 79), ("VZ", 120)], "ticker string, shares bigint")
+    held = first.filter("shares is not null")
+    trades = rebalancing.trades_between(held, second)
+    assert {(r.ticker, r.action, r.shares) for r in trades.collect()} == {("HD", "SELL", 1), ("UNH", "BUY", 5), ("KO", "BUY", 69), ("JNJ", "SELL", 4), ("AMGN", "SELL", 15), ("VZ", "SELL", 66)}
+    assert shares(rebalancing.after_trades(held, trades)) == shares(second)
+    assert shares(rebalancing.after_trades(held, rebalancing.trades_between(held, held.limit(0)))) == {}

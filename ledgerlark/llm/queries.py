@@ -71,7 +71,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    return scores.withColumn("held_out", toxicity.held_out(F.col("doc_id")))
+    return scores.withColumn("held_out", toxicity.held_out(F.col("doc_id"))).withColumn("kept", F.col("predicted") == 1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -88,11 +88,37 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_stratified_shards": """
+        WITH RECURSIVE t(i, c, k) AS (SELECT i, i, 0 FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM t WHERE k < 8),
+        crcs AS (SELECT list(c ORDER BY i) AS crc FROM t WHERE k = 8),
+        bytes AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 8 AS size,
+                    list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)) AS b FROM documents),
+        d AS (SELECT doc_id, source, size, xor(list_reduce(b, lambda a, x: xor(a // 256, crc[xor(a, x) % 256 + 1])), 4294967295) AS text_crc32 FROM bytes, crcs),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '7', doc_id, text_crc32)), doc_id, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM d),
+        p AS (SELECT *, row_number() OVER (ORDER BY (rank + 0.5::DOUBLE) / n, source, rank) - 1 AS position, count(*) OVER () AS whole FROM r),
+        q AS (SELECT *, position * 24 // whole AS shard FROM p)
+        SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, position - (shard * whole + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard, position FROM q
+    """,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, CAST(count(*) OVER g AS BIGINT) AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op7_minhash_forest": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS words FROM documents),
+        s AS (SELECT DISTINCT doc_id, words[i] || ' ' || words[i + 1] AS shingle FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM w)
+              UNION ALL SELECT doc_id, words[1] FROM w WHERE len(words) = 1),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        sn AS (SELECT s.doc_id, shingle, n FROM s JOIN n USING (doc_id)),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM sn a JOIN sn b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+              WHERE 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n) GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p WHERE 100 * k >= 80 * (na + nb - k)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(doc_id, reached) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a),
+        c AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1)
+        SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(component_id, w.doc_id) = w.doc_id AS kept
+        FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+    """,
     "op8_decontamination": """
         WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words FROM documents),
         b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words FROM benchmark),

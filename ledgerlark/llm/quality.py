@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.bytewords import NOT_SPACE, slices, text_bytes, words_of
 from ledgerlark.llm.scratch import written
-from ledgerlark.llm.toxicity import SAMPLE, fit_linear, held_out
+from ledgerlark.llm.toxicity import SAMPLE, bounded, fit_linear, held_out
 
 BINS = 12
 _LINE = np.ones(256, dtype=bool)
@@ -85,7 +85,7 @@ def _fitted(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def classified(docs: DataFrame, labels: DataFrame, keep: list[str], bound: int = SAMPLE) -> DataFrame:
     """The columns `keep` of docs (doc_id, text and others) and p, in millionths between 1 and 999,999."""
     usable = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
-    picked = usable.groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("of"), "of").limit(bound)
+    picked = bounded(usable.groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").cast("int").alias("quality")), "of", bound)
     edges, weights = _fitted(written(docs.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("text", "quality"), "labelled"))
     model = docs.sparkSession.sparkContext.broadcast((edges, weights))
 

@@ -138,7 +138,8 @@ def recipes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hashed:
 
 def exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hashed: Callable[[bytes], int] = _hash) -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = recipes(docs, text, doc_id, hashed)
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rows = written(recipes(docs, text, doc_id, hashed), "recipes")
+    # written, so that the join can deal out a recipe that many documents have
+    groups = written(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return rows.join(groups, "recipe").select(F.col("doc_id").alias(doc_id), "keep_id", "group_size", kept.alias("kept"), "text_sha256")

@@ -31,7 +31,7 @@ _STEP = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 #: Bytes of words that are hashed at once; a longer word is a block of its own.
 BLOCK = 1 << 20
 #: Bytes of text that one call of a batch function gets, besides a longer single text.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -46,14 +46,15 @@ _WS = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in [(0x9, 0xD), (0x20, 0x20), (0
 #: How byte-level BPE splits a text before merging (fixed values).
 _PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[^{_WS}\p{{L}}\p{{N}}]+", rf"[{_WS}]+")]
+_STOPS = set(".,;:!?|")
 _SETTLED = re.compile(r" (?=\S)")
 #: How a rank and an id, or two ids, share a number.
 _BITS = 21
 _ID, _NONE = (1 << _BITS) - 1, 1 << 62
 #: Characters that are read at a time.
 BLOCK = 1 << 16
-#: Entries of a generation of a memo, and characters of its longest key.
-MEMO, KEY = 250_000, 48
+#: Entries of a generation of a memo (a worker holds two of words, about 60 MB), and characters of its longest key.
+MEMO, KEY = 120_000, 48
 
 
 def _byte_letters() -> dict[int, str]:
@@ -66,14 +67,14 @@ def _byte_letters() -> dict[int, str]:
 class _Memo(dict):
     """Results by key. When full it becomes the older generation, of which only what is asked for again is kept."""
 
-    def __init__(self, made):
-        self.made, self.older = made, {}
+    def __init__(self, made, size: int):
+        self.made, self.size, self.older = made, size, {}
 
     def __missing__(self, key):
         if (value := self.older.get(key)) is None:
             value = self.made(key)
         if len(key) <= KEY:
-            if len(self) >= MEMO:
+            if len(self) >= self.size:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -83,7 +84,7 @@ class _Memo(dict):
 class MergeTable:
     """Merges, tokens and added tokens of a byte-level BPE vocabulary in the tokenizers library's format."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = {c: b for b, c in _byte_letters().items()}
@@ -102,10 +103,14 @@ class MergeTable:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a] << _BITS | vocab[b]] = rank << _BITS | vocab[a + b]
+        self.byte_pairs = [self.merges.get(a << _BITS | b, _NONE) for a in self.byte_ids for b in self.byte_ids]
         self.lookahead = self._lookahead()
-        self.pieces = _Memo(lambda piece: array.array("I", self.merged(piece.encode())).tobytes())
-        self.first_words = _Memo(self._packed)
-        self.words = _Memo(lambda word: self._packed(" " + word))
+        self.added_in = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+        self.added_starts = {x[:i] for x in self.added for i in range(1, len(x))}
+        self.added_longest = max(map(len, self.added), default=0)
+        self.pieces = _Memo(lambda piece: array.array("I", self.merged(piece.encode())).tobytes(), memo)
+        self.first_words = _Memo(self._packed, memo)
+        self.words = _Memo(self._word, memo)
 
     def _lookahead(self) -> int:
         left_of = {}  # the left side of the merge that first makes a token
@@ -124,20 +129,19 @@ class MergeTable:
 
     def merged(self, piece: bytes) -> list[int]:
         """The tokens of one pre-token."""
-        ids = [self.byte_ids[b] for b in piece]
-        return self._merged_long(ids) if len(ids) > 40 else self._merged_short(ids)
-
-    def _merged_short(self, ids: list[int]) -> list[int]:
-        found = self.merges.get
-        ranks = [found(a << _BITS | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        ids = list(map(self.byte_ids.__getitem__, piece))
+        if len(ids) > 40:
+            return self._merged_long(ids)
+        found, pairs = self.merges.get, self.byte_pairs
+        ranks = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
         while ranks and (best := min(ranks)) != _NONE:
             i = ranks.index(best)
-            ids[i] = best & _ID
+            here = ids[i] = best & _ID
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = found(ids[i - 1] << _BITS | ids[i], _NONE)
+                ranks[i - 1] = found(ids[i - 1] << _BITS | here, _NONE)
             if i < len(ranks):
-                ranks[i] = found(ids[i] << _BITS | ids[i + 1], _NONE)
+                ranks[i] = found(here << _BITS | ids[i + 1], _NONE)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -162,6 +166,14 @@ class MergeTable:
     def _packed(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, _PRE_TOKEN.findall(text)))
 
+    def _word(self, word: str) -> bytes:
+        """Tokens of a word after a space."""
+        if word.isalpha():
+            return array.array("I", self.merged(b" " + word.encode())).tobytes()
+        if word[-1:] in _STOPS and word[:-1].isalpha():
+            return self.words[word[:-1]] + self.pieces[word[-1]]
+        return self._packed(" " + word)
+
     def settled(self, text: str) -> bytes:
         """Tokens of text that begins and ends at ends of pre-tokens, as little-endian 32-bit ids."""
         head, *rest = _SETTLED.split(text)
@@ -169,8 +181,8 @@ class MergeTable:
 
 
 @lru_cache(maxsize=4)
-def merge_table(path: str) -> MergeTable:
-    return MergeTable(path)
+def merge_table(path: str, memo: int = MEMO) -> MergeTable:
+    return MergeTable(path, memo)
 
 
 class Encoder:
@@ -181,19 +193,16 @@ class Encoder:
         self.text = ""  # not settled yet
         self.run: regex.Pattern | None = None  # what goes on in a pre-token that is longer than a block
         self.piece = b""  # bytes of that pre-token that have no token yet
-        self._added = re.compile("|".join(map(re.escape, sorted(table.added, key=len, reverse=True)))) if table.added else None
-        self._starts = {a[:i] for a in table.added for i in range(1, len(a))}
-        self._longest = max(map(len, table.added), default=0)
 
     def feed(self, chunk: str) -> bytes:
         self.text += chunk
         out = []
-        while self._added and (m := self._added.search(self.text)):
+        while self.table.added_in and (m := self.table.added_in.search(self.text)):
             rest = self.text[m.end() :]
             self.text = self.text[: m.start()]
             out += [self._end(), self.table.added[m[0]].to_bytes(4, "little")]
             self.text = rest
-        held = next((n for n in range(min(len(self.text), self._longest - 1), 0, -1) if self.text[-n:] in self._starts), 0)
+        held = next((n for n in range(min(len(self.text), self.table.added_longest - 1), 0, -1) if self.text[-n:] in self.table.added_starts), 0)
         self.text, tail = (self.text[:-held], self.text[-held:]) if held else (self.text, "")
         out.append(self._go_on())
         self.text += tail

@@ -12,7 +12,7 @@ The work, whose parts are all by distinct pre-token:
 2. count the pieces of each distinct pre-token once, into a written table;
 3. read the documents again; pre-tokens of the `DICTIONARY` most frequent ones
    (a broadcast of that many short strings at most) are added up in place, the
-   rest become rows (document, pre-token, frequency), joined to the table and
+   rest becomes rows (document, pre-token, frequency), joined to the table and
    summed. Frequent keys are in the dictionary, so the join has no hot key.
 
 Pre-tokens of more than `LONG` characters are counted where they stand. Ids are
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.scratch import written
 
-#: Most entries of the broadcast dictionary, and characters of a pre-token there and in the table: 13 MB at most.
-DICTIONARY, LONG = 50_000, 256
+#: Most entries of the broadcast dictionary, and characters of a pre-token there and in the table: 13 million characters at most.
+DICTIONARY, LONG = 200_000, 64
 #: Distinct pre-tokens that a task holds before it passes its counts on.
 HELD = 200_000
 _MARK = "▁"
@@ -96,17 +96,36 @@ def pre_token_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame
     return by_key.mapInArrow(counted, "pre_token string, n long, pieces long")
 
 
+def frequent(table: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of at most `most` of the most frequent pre-tokens: all that occur more often than some count.
+
+    The count comes from a histogram of a few hundred classes, so no task or
+    driver sorts or gathers more than what is returned.
+    """
+    scale = F.floor(F.log2("n") * 16)
+    classes = table.groupBy(scale.alias("class")).agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).orderBy(F.desc("class")).collect()
+    total, least = 0, None
+    for c in classes:
+        total += c.k
+        if total > most:
+            break
+        least = c.least
+    if least is None:
+        return {}
+    return {r.pre_token: r.pieces for r in table.filter(F.col("n") >= least).select("pre_token", "pieces").collect()}
+
+
 def count_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row for each row of docs: doc_id, n_bytes (UTF-8), n_tokens."""
     spark = docs.sparkSession
     table = written(pre_token_table(docs, path, text), "pre-tokens")
-    frequent = table.orderBy(F.desc("n"), "pre_token").limit(DICTIONARY).select("pre_token", "pieces")
-    known = spark.sparkContext.broadcast({r.pre_token: r.pieces for r in frequent.collect()})
+    known = spark.sparkContext.broadcast(frequent(table, DICTIONARY))
 
     def counted(batches):
         pieces = known.value.get
+        some = list(known.value)[:4096] or [""]
         for batch in batches:
-            ids, marks, keys, values, sizes = [], [], [], [], []
+            ids, marks, keys, values, own = [], [], [], [], []
             for doc, value in zip(batch.column(0), batch.column(1), strict=True):
                 x, doc = value.as_py() or "", doc.as_py()
                 raw = x.encode()
@@ -118,19 +137,18 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
                         total += piece_counts(path, [key])[0]
                     else:
                         rest.append(key)
-                rare = Counter(rest)
-                ids += [doc] * (1 + len(rare))
-                marks += [mark] * (1 + len(rare))
-                keys += [None, *rare.keys()]
-                values += [total, *rare.values()]
-                sizes += [len(raw)] + [None] * len(rare)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.string()), pa.array(values, pa.int64()), pa.array(sizes, pa.int64())], ["doc_id", "mark", "pre_token", "n", "n_bytes"])
-
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(counted, "doc_id long, mark long, pre_token string, n long, n_bytes long")
-    # one branch only, so that the documents are read once: a document's own row meets no pre-token and keeps its sum
+                # what is counted already goes with the first row; without one, with a row of no occurrence
+                rare = Counter(rest) or {some[mark % len(some)]: 0}
+                ids += [doc] * len(rare)
+                marks += [mark] * len(rare)
+                keys += rare.keys()
+                values += rare.values()
+                own += [len(raw) << 32 | total] + [None] * (len(rare) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(keys, pa.string()), pa.array(values, pa.int32()), pa.array(own, pa.int64())], ["doc_id", "mark", "pre_token", "n", "own"])
+
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(counted, "doc_id long, mark long, pre_token string, n int, own long")
     joined = rows.join(table.select("pre_token", "pieces"), "pre_token", "left")
-    by_doc = joined.groupBy("doc_id", "mark").agg(
-        F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("total"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("rows")
-    )
+    total = F.coalesce(F.col("own").bitwiseAND(2**32 - 1), F.lit(0)) + F.coalesce(F.col("n") * F.col("pieces"), F.lit(0))
+    by_doc = joined.groupBy("doc_id", "mark").agg(F.sum(total).alias("total"), F.max(F.shiftright("own", 32)).alias("n_bytes"), F.count("own").alias("rows"))
     each = by_doc.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     return each.select(F.col("doc_id").alias(doc_id), "n_bytes", F.expr("total div rows").alias("n_tokens"))

@@ -37,7 +37,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.stratified_shards(read_table(spark, sf_dir, "documents"), shards=24, seed=7)
+    placed = sharding.stratified_shards(read_table(spark, sf_dir, "documents"), shards=24, seed=7, middle=True)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "position")
 
 

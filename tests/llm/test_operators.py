@@ -362,6 +362,15 @@ def test_ranks_by_cells(spark, monkeypatch):
     assert {r.doc_id: r.position for r in sharding.stratified_shards(rows, 4, seed=1).collect()} == whole
 
 
+def test_shards_with_many_sources_of_a_row(spark):
+    sources = ["large"] * 800 + [f"single{i}" for i in range(1600)]
+    rows = spark.createDataFrame([(i, f"t{i}", x) for i, x in enumerate(sources)], "doc_id bigint, text string, source string")
+    per = np.zeros(24, int)
+    for r in sharding.stratified_shards(rows, 24, seed=7).collect():
+        per[r.shard] += r.source == "large"
+    assert per.sum() == 800 and per.min() >= 20 and per.max() <= 47
+
+
 # operator 2
 def test_chat_windows(spark):
     rng = np.random.default_rng(2)

@@ -3,10 +3,16 @@
 Prefix sums of turn tokens place each turn on its conversation's token line. The
 line is cut every `room` tokens: the turns that lie between two cuts are a
 window, and a turn across a cut is a window of its own, so windows are aligned
-to turns and keep within the budget unless one turn alone exceeds it. Each
-window begins with the conversation's system turn and repeats the turns before
-it that begin within the last `history` tokens; what is repeated is left out of
-the loss mask, so each assistant text is a target once.
+to turns. Each window begins with the conversation's system turn and repeats the
+turns before it that begin within the last `history` tokens, the nearest ones
+as far as they fit; what is repeated is left out of the loss mask, so each
+assistant text is a target once. Windows keep within the budget unless a turn
+and the system turn together exceed it.
+
+`room` is what the system turn and the history leave of the budget. A system
+turn that leaves little of it takes the history's part first, then the room's;
+one that leaves nothing exceeds the budget in every window, which then has the
+usual least room, so that it is not repeated for each turn.
 
 A long conversation is never ordered in one task: sums are taken in blocks of
 turns, then over the blocks, and history travels to the next windows by key.
@@ -76,7 +82,8 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> Da
     placed = _placed(turns)
     system = placed.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("place", "tokens", "role", "text")).alias("system")).withColumnRenamed("conv_id", "of")
     placed = placed.join(system, placed["conv_id"].eqNullSafe(system["of"]), "left").drop("of")
-    room = F.greatest(F.lit(budget - history) - F.coalesce("system.tokens", F.lit(0)), F.lit(max(budget // 4, history)))
+    left, least = F.lit(budget) - F.coalesce("system.tokens", F.lit(0)), F.lit(max(budget // 4, history))
+    room = F.greatest(left - history, F.when(left > 0, F.least(left, least)).otherwise(least))
     placed = placed.withColumn("room", room.cast("long")).withColumn("cut", F.expr("start div room"))
     placed = placed.withColumn("window", F.expr("2 * cut + int((start + tokens - 1) div room > cut)"))
 
@@ -88,7 +95,12 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> Da
     windows = sent.groupBy("conv_id", "to").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.first("system").alias("system"))
     windows = windows.withColumn("first", F.expr("get(filter(turns, x -> not x.repeated), 0)")).filter("first is not null")
 
-    kept = F.expr(f"filter(turns, x -> not x.repeated or x.start >= first.start - {history})")
+    windows = windows.withColumn("free", F.expr(f"""
+        {budget} - aggregate(turns, 0L, (n, x) -> n + IF(x.repeated, 0L, x.tokens))
+        - IF(system is null or exists(turns, x -> not x.repeated and x.place = system.place), 0L, system.tokens)
+    """))
+    between = "first.start - x.start - IF(system.place >= x.place and system.place < first.place, system.tokens, 0L)"
+    kept = F.expr(f"filter(turns, x -> not x.repeated or x.start >= first.start - {history} and (x.place <=> system.place or {between} <= free))")
     windows = windows.withColumn("turns", kept)
     again = "array(named_struct('place', system.place, 'start', 0L, 'tokens', system.tokens, 'repeated', true, 'role', system.role, 'text', system.text))"
     windows = windows.withColumn("turns", F.expr(f"IF(system is null or exists(turns, x -> x.place = system.place), turns, concat({again}, turns))"))

@@ -398,6 +398,27 @@ def test_chat_windows(spark):
     assert chat.chat_windows(df.limit(0)).count() == 0
 
 
+def test_chat_windows_keep_within_the_budget(spark):
+    rng = np.random.default_rng(5)
+    turns = []
+    for conv, system in enumerate([0, 0, 0, 20, 60, 110, 120, 140, 155, 165, 180, 195, 210]):
+        sizes = [system] * (system > 0) + [int(rng.integers(150, 197)) if k % 6 == 5 else int(rng.integers(4, 30)) for k in range(80)]
+        at = 3 * (conv % 2) if system else 0
+        sizes = sizes[1 : at + 1] + sizes[:1] + sizes[at + 1 :]
+        turns += [(conv, k, "system" if system and k == at else ["user", "assistant"][k % 2], f"t{k}" + " a" * (n - 5)) for k, n in enumerate(sizes)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    read = chat.chat_windows(df, budget=200, history=40).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
+    tokens = lambda t: len(t.text.split()) + chat.MARKERS
+    for conv in {t[0] for t in turns}:
+        own = sorted((r for r in read if r.conv_id == conv), key=lambda r: r.window)
+        assert [t.text for r in own for t in r.turns[r.n_repeated :]] == [x for c, _, _, x in turns if c == conv]
+        for r in own:
+            new, system = r.turns[r.n_repeated :], sum(tokens(t) for t in r.turns if t.role == "system")
+            assert r.tokens == sum(map(tokens, r.turns))
+            assert r.tokens <= 200 or system >= 200 or (len(new) == 1 and tokens(new[0]) + system * (new[0].role != "system") > 200)
+    assert any(len(r.turns) - r.n_repeated == 1 and r.n_repeated and 180 <= r.tokens <= 200 for r in read)
+
+
 # operator 1
 def test_token_shards(docs, spark, tmp_path):
     folder = f"file://{tmp_path}/shards"

@@ -10,7 +10,9 @@
    counted (3**voters patterns at most). A generative model of the votes given
    the hidden class, whose voters depend on each other along a tree, is fitted
    by expectation maximisation, with the sample's labels as anchors: it
-   estimates each voter's accuracy and their correlations.
+   estimates each voter's accuracy and their correlations. A label weighs
+   documents / (4 * labels), so all labels together weigh a quarter of all
+   documents, however large the table is.
 4. A linear classifier learns the model's posterior labels from counts of
    lexicon entries, and scores every document.
 
@@ -194,7 +196,7 @@ def label_model(patterns: list[str], counts: np.ndarray, toxic: np.ndarray, clea
     votes = np.array([["-0+".index(v) for v in p] for p in patterns])
     n, m = votes.shape
     known = toxic + clean
-    weight = min(50.0, max(1.0, counts.sum() / max(1.0, 4 * known.sum())))
+    weight = counts.sum() / max(1.0, 4 * known.sum())
     one_hot = np.eye(3)[votes]
     lead = (votes == 2).sum(axis=1) - 0.25 * (votes == 0).sum(axis=1)
     q = 1 / (1 + np.exp(-2.0 * lead))

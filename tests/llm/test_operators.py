@@ -314,6 +314,14 @@ def test_label_model_learns_accuracies():
     assert np.mean((q[place] > 0.5) == truth) > 0.95
 
 
+def test_labels_weigh_alike_at_every_size():
+    patterns = ["".join(v) for v in itertools.product("+-", repeat=3)]
+    toxic, clean = np.array([40, 30, 25, 5, 20, 4, 3, 1.0]), np.array([2, 3, 5, 30, 4, 40, 50, 90.0])
+    counts = np.array([3, 2, 90, 200, 80, 150, 170, 60.0])
+    small, large = (toxicity.label_model(patterns, counts * k, toxic, clean) for k in (1e3, 1e7))
+    assert np.abs(small - large).max() < 0.01
+
+
 def test_quality(labelled):
     docs, labels, rows = labelled
     got = by_id(quality.quality(docs, labels))

@@ -14,8 +14,8 @@ Sums run over all documents, partially aggregated before they are shuffled, in
 millionths, so they do not depend on the order of rows.
 
 The classifier is an additive logistic model over quantile bins of text
-statistics, fitted on `SAMPLE` labelled rows at most (those with the smallest
-hashes) for whose id `crc32(id as text) mod 5` is not 0. Without labels p is the
+statistics, fitted on `SAMPLE` labelled rows at most, one an id (ids and texts
+with the smallest hashes), for whose id `crc32(id as text) mod 5` is not 0. Without labels p is the
 same for all. Null and empty texts have the statistics of an empty text; null
 hosts and paths are each a site. Repeated rows are each scored. Further columns
 are ignored.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.bytewords import NOT_SPACE, slices, text_bytes, words_of
 from ledgerlark.llm.scratch import written
-from ledgerlark.llm.toxicity import SAMPLE, bounded, fit_linear, held_out
+from ledgerlark.llm.toxicity import SAMPLE, bounded, fit_linear, held_out, one_text
 
 BINS = 12
 _LINE = np.ones(256, dtype=bool)
@@ -86,7 +86,8 @@ def classified(docs: DataFrame, labels: DataFrame, keep: list[str], bound: int =
     """The columns `keep` of docs (doc_id, text and others) and p, in millionths between 1 and 999,999."""
     usable = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
     picked = bounded(usable.groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").cast("int").alias("quality")), "of", bound)
-    edges, weights = _fitted(written(docs.join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("text", "quality"), "labelled"))
+    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("of"))
+    edges, weights = _fitted(written(rows.groupBy("of").agg(one_text(), F.min("quality").alias("quality")).select("text", "quality"), "labelled"))
     model = docs.sparkSession.sparkContext.broadcast((edges, weights))
 
     def run(batches):

@@ -2,7 +2,8 @@
 
 1. Lexicons. Besides a fixed list of abusive words, words and beginnings of
    words are mined that mark toxic texts in a bounded sample of labelled rows
-   (`SAMPLE` rows, those with the smallest hashes).
+   (one row of each of `SAMPLE` ids, those with the smallest hashes; where an
+   id has several texts, the one with the smallest hash).
 2. Voters. Each document gets votes (toxic, clean, abstain) of groups of lexicon
    entries and of patterns (several hits, their density, two side by side,
    shouting, exclamations).
@@ -103,11 +104,17 @@ def bounded(labels: DataFrame, doc_id: str, bound: int) -> DataFrame:
     return labels.orderBy(F.pmod(F.xxhash64(doc_id), F.lit(1 << 40)), doc_id).limit(bound)
 
 
+def one_text() -> F.Column:
+    """Of an id's texts the one with the smallest hash, as an aggregate."""
+    return F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text")
+
+
 def sample_of(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
-    """At most about `bound` labelled rows that may be learnt from: doc_id, text, toxic."""
+    """At most `bound` labelled rows that may be learnt from, one an id: doc_id, text, toxic."""
     usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     picked = bounded(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", bound)
-    return docs.join(F.broadcast(picked.withColumnRenamed("doc_id", "of")), F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic")
+    rows = docs.join(F.broadcast(picked.withColumnRenamed("doc_id", "of")), F.col("doc_id") == F.col("of"))
+    return rows.groupBy("doc_id").agg(one_text(), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic")
 
 
 def _term_counts(batches):

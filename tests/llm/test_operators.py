@@ -322,6 +322,20 @@ def test_labels_weigh_alike_at_every_size():
     assert np.abs(small - large).max() < 0.01
 
 
+def test_one_row_of_a_labelled_id(labelled, spark, monkeypatch):
+    docs, labels, rows = labelled
+    of = next(i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5)
+    more = spark.range(400).select(F.lit(of).alias("doc_id"), F.concat(F.lit("again "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("s0").alias("source"))
+    every = docs.unionByName(more)
+    usable = sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, *_ in rows)
+    sample = toxicity.sample_of(every, labels).collect()
+    assert len(sample) == len({r.doc_id for r in sample}) == usable
+    assert [r.text for r in sample if r.doc_id == of] == [r.text for r in toxicity.sample_of(every.repartition(7), labels).collect() if r.doc_id == of]
+    fitted, seen = quality._fitted, []
+    monkeypatch.setattr(quality, "_fitted", lambda df: seen.append(df.count()) or fitted(df))
+    assert quality.quality(every, labels).count() == 1302 and seen == [usable]
+
+
 def test_quality(labelled):
     docs, labels, rows = labelled
     got = by_id(quality.quality(docs, labels))

@@ -19,6 +19,10 @@ with the smallest hashes), for whose id `crc32(id as text) mod 5` is not 0. With
 same for all. Null and empty texts have the statistics of an empty text; null
 hosts and paths are each a site. Repeated rows are each scored. Further columns
 are ignored.
+
+`documents` has no url. By default, and in the registered query, source stands
+for the host and lang for the path, so sites there are few and large; sparse
+sites, for which means are shrunk, occur only where a caller names other columns.
 """
 
 from __future__ import annotations

@@ -49,8 +49,6 @@ SMALL, NEAR = 24, 3
 HUBS = 8
 #: Sets of a region that one task orders at most on average; a larger region is dealt out, its parts joined by their first sets.
 ORDERED = 4096
-#: Of the min-hashes, how many must agree before a pair's texts are fetched: at a similarity of 0.8, 102 of 128 do on average, with a deviation of 4.5.
-AGREE = 76
 
 _rng = np.random.Generator(np.random.PCG64(7_041_776))
 _A = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32) | np.uint32(1)
@@ -83,19 +81,18 @@ def _described(words: int):
                 place = np.full(len(sets), -1)
                 place[some] = range(len(some))
                 prefixes = [p.tolist() for p in _prefixes(signatures)]
-                sketches = [x.tobytes() for x in signatures.astype(np.uint8)]
                 pick = lambda values: [values[p] if p >= 0 else None for p in place.tolist()]  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(pick([hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in some]), pa.binary()), pa.array(pick(prefixes), pa.list_(pa.int64())), pa.array(pick(sketches), pa.binary())],
-                    ["doc_id", "n_shingles", "set", "prefixes", "sketch"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(pick([hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in some]), pa.binary()), pa.array(pick(prefixes), pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "set", "prefixes"],
                 )
 
     return run
 
 
 def described(docs: DataFrame, words: int) -> DataFrame:
-    """For each row: doc_id, n_shingles, set (a digest of it), prefixes (one of each tree), sketch (a byte of each min-hash)."""
-    return docs.mapInArrow(_described(words), "doc_id long, n_shingles long, set binary, prefixes array<long>, sketch binary")
+    """For each row: doc_id, n_shingles, set (a digest of it), prefixes (one of each tree)."""
+    return docs.mapInArrow(_described(words), "doc_id long, n_shingles long, set binary, prefixes array<long>")
 
 
 def _linked(words: int, percent: int):
@@ -117,24 +114,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return both.mapInArrow(_linked(words, percent), "a long, b long")
 
 
-def _agreeing(batches):
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-            keep = pa.array(np.flatnonzero((x == y).sum(axis=1) >= AGREE))
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(keep) for c in ("a", "b")], ["a", "b"])
-
-
 def _alike_in_size(percent: int) -> F.Column:
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
 def _between_components(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of a region that lie in different components; each pair from the first tree in which it has a region."""
-    side = lambda x: members.select("region", "tree", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "sketch", "prefixes")]).withColumnRenamed("tree", f"tree_{x}")
+    side = lambda x: members.select("region", "tree", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "prefixes")]).withColumnRenamed("tree", f"tree_{x}")
     first = F.expr("array_position(zip_with(prefixes_a, prefixes_b, (x, y) -> x = y), true) = tree_a + 1")
     met = side("a").join(side("b"), "region").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _alike_in_size(percent) & first)
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "sketch_a", "sketch_b").mapInArrow(_agreeing, "a long, b long")
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
@@ -199,8 +188,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links), kept."""
     docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     rows = written(described(docs, words), "described")
-    sets = rows.filter("set is not null and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "n_shingles", "prefixes", "sketch")).alias("x"))
-    sets = written(sets.select("set", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), "x.prefixes", "x.sketch"), "sets")
+    sets = rows.filter("set is not null and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "n_shingles", "prefixes")).alias("x"))
+    sets = written(sets.select("set", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), "x.prefixes"), "sets")
 
     # the trees: a row for each set and tree, its region, and how its signature goes on
     in_trees = sets.select("node", "n", F.posexplode("prefixes").alias("tree", "prefix"), "prefixes").select(
@@ -223,7 +212,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     at = F.coalesce("component", "node").alias("component")
     open_ = written(_unsettled(members.join(found, "node", "left").select("region", "tree", "node", "n", "before", at)), "unsettled")
     if not open_.isEmpty():
-        small = open_.filter(F.col("sets") <= SMALL).join(sets.select("node", "prefixes", "sketch"), "node")
+        small = open_.filter(F.col("sets") <= SMALL).join(sets.select("node", "prefixes"), "node")
         large = open_.filter(F.col("sets") > SMALL)
         of = found.select(F.col("node").alias("x"), F.col("component").alias("component_x"))
         beside = large.select(F.col("node").alias("y"), F.col("n").alias("n_b"), "component", F.explode("before").alias("b")).select(F.col("b.node").alias("x"), F.col("b.n").alias("n_a"), "y", "n_b", "component").filter(_alike_in_size(percent)).distinct()

@@ -192,6 +192,11 @@ def test_near_duplicates_by_the_exact_rest(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == brute_components(texts, 2)
 
 
+def test_pairs_of_a_small_region_are_all_confirmed(spark):
+    members = spark.createDataFrame([(1, 0, i, 10, i, bytes([i] * 128), [7] * 32) for i in (5, 6)], "region long, tree int, node long, n long, component long, sketch binary, prefixes array<long>")
+    assert [(r.a, r.b) for r in neardup._between_components(members, 80).collect()] == [(5, 6)]
+
+
 def test_near_duplicates_of_nothing_and_without_ids(docs, spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c"), (5, "A b  C"), (9, None)], "doc_id bigint, text string")

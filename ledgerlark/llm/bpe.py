@@ -15,6 +15,11 @@ the left end of what a later merge takes as its right side. Ranks grow strictly
 along such a chain, so the furthest the frontier can move is the longest chain,
 by the length of the left sides, found in one pass over the merges by rank.
 
+What is settled comes out of the encoder as stretches of text; the stretches of
+a slice of rows (or of one block of a long text) get their tokens together: each
+distinct word in them is merged once, all words at the same time in arrays, and
+nothing is remembered from one slice to the next.
+
 Decoding maps ids to bytes and bytes to text with an incremental UTF-8 decoder.
 
 Null texts count as empty. An empty text has no tokens. Strings of added tokens
@@ -24,10 +29,10 @@ Rows are independent: ties, repeated rows and further columns change nothing.
 
 from __future__ import annotations
 
-import array
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -35,26 +40,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ledgerlark.llm.bytewords import slices
+from ledgerlark.llm.bytewords import slices, text_bytes
 
 #: Code points with the property White_Space (fixed values of Unicode), as a part of a character class.
 _WS = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in [(0x9, 0xD), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)])
 #: How byte-level BPE splits a text before merging (fixed values).
 _PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _RUNS = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", rf"[^{_WS}\p{{L}}\p{{N}}]+", rf"[{_WS}]+")]
-_STOPS = set(".,;:!?|")
 _SETTLED = re.compile(r" (?=\S)")
-#: How a rank and an id, or two ids, share a number.
+#: A space that settles nothing.
+_ODD = re.compile(r" (?!\S)")
+#: How two ids share a number.
 _BITS = 21
-_ID, _NONE = (1 << _BITS) - 1, 1 << 62
-#: Characters that are read at a time.
-BLOCK = 1 << 16
-#: Entries of a generation of a memo (a worker holds two of words, about 60 MB), and characters of its longest key.
-MEMO, KEY = 120_000, 48
+_ID = (1 << _BITS) - 1
+#: How a rank and a place in a piece share a number; pieces of up to `SHORT` bytes are merged together, so many at a time.
+_PLACE, _NO_RANK, SHORT, TOGETHER = 6, 1 << 24, 60, 4096
+#: Characters that are read at a time, and bytes of text whose tokens are looked up together, besides a longer single text.
+BLOCK, TEXTS = 1 << 16, 4 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -64,27 +71,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Memo(dict):
-    """Results by key. When full it becomes the older generation, of which only what is asked for again is kept."""
+def _ranges(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """values[starts[i] : starts[i] + sizes[i]] for each i, one behind the other."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def __init__(self, made, size: int):
-        self.made, self.size, self.older = made, size, {}
 
-    def __missing__(self, key):
-        if (value := self.older.get(key)) is None:
-            value = self.made(key)
-        if len(key) <= KEY:
-            if len(self) >= self.size:
-                self.older = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """The sums of all sizes before each, and of all."""
+    return np.concatenate([[0], np.cumsum(sizes)])
 
 
 class MergeTable:
     """Merges, tokens and added tokens of a byte-level BPE vocabulary in the tokenizers library's format."""
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = {c: b for b, c in _byte_letters().items()}
@@ -103,14 +104,46 @@ class MergeTable:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a] << _BITS | vocab[b]] = rank << _BITS | vocab[a + b]
-        self.byte_pairs = [self.merges.get(a << _BITS | b, _NONE) for a in self.byte_ids for b in self.byte_ids]
         self.lookahead = self._lookahead()
         self.added_in = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.added_starts = {x[:i] for x in self.added for i in range(1, len(x))}
         self.added_longest = max(map(len, self.added), default=0)
-        self.pieces = _Memo(lambda piece: array.array("I", self.merged(piece.encode())).tobytes(), memo)
-        self.first_words = _Memo(self._packed, memo)
-        self.words = _Memo(self._word, memo)
+        self._index()
+
+    def _index(self) -> None:
+        """Merges as a hash table in arrays: the pair and its rank, each at the first free place from its hash on."""
+        pairs = np.array([*self.merges, -1], dtype=np.int64)[:-1]
+        self.made = np.array([x & _ID for x in self.merges.values()], dtype=np.int64)
+        if len(pairs) >= _NO_RANK:
+            raise ValueError("too many merges")
+        bits = max(8, (4 * len(pairs)).bit_length())
+        self.shift, last = np.uint64(64 - bits), (1 << bits) - 1
+        self.pairs, self.ranks = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, _NO_RANK, dtype=np.int64)
+        at, left = self._hashed(pairs), np.arange(len(pairs))
+        while len(left):
+            free = left[self.pairs[at[left]] == -1]
+            self.pairs[at[free]], self.ranks[at[free]] = pairs[free], free
+            left = left[self.pairs[at[left]] != pairs[left]]
+            at[left] = (at[left] + 1) & last
+        self.bytes = np.array(self.byte_ids, dtype=np.int64)
+        self.byte_ranks = self.ranks_of(np.repeat(self.bytes, 256), np.tile(self.bytes, 256))
+
+    def _hashed(self, pairs: np.ndarray) -> np.ndarray:
+        return ((pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of the merge of each a and b, _NO_RANK where there is none (or one of them is negative)."""
+        pairs = np.where((a < 0) | (b < 0), -2, a << _BITS | b)
+        at = self._hashed(pairs)
+        there = self.pairs[at]
+        out = np.where(there == pairs, self.ranks[at], _NO_RANK)
+        left = np.flatnonzero((there != pairs) & (there != -1) & (pairs >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.pairs) - 1)
+            there = self.pairs[at[left]]
+            out[left] = np.where(there == pairs[left], self.ranks[at[left]], _NO_RANK)
+            left = left[(there != pairs[left]) & (there != -1)]
+        return out
 
     def _lookahead(self) -> int:
         left_of = {}  # the left side of the merge that first makes a token
@@ -128,23 +161,8 @@ class MergeTable:
         return max(most, max(map(len, self.tokens)))
 
     def merged(self, piece: bytes) -> list[int]:
-        """The tokens of one pre-token."""
+        """The tokens of one pre-token, of any length."""
         ids = list(map(self.byte_ids.__getitem__, piece))
-        if len(ids) > 40:
-            return self._merged_long(ids)
-        found, pairs = self.merges.get, self.byte_pairs
-        ranks = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
-        while ranks and (best := min(ranks)) != _NONE:
-            i = ranks.index(best)
-            here = ids[i] = best & _ID
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = found(ids[i - 1] << _BITS | here, _NONE)
-            if i < len(ranks):
-                ranks[i] = found(here << _BITS | ids[i + 1], _NONE)
-        return ids
-
-    def _merged_long(self, ids: list[int]) -> list[int]:
         found, n = self.merges.get, len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(best >> _BITS, i, pair) for i in range(n - 1) if (best := found(pair := ids[i] << _BITS | ids[i + 1]))]
@@ -163,30 +181,125 @@ class MergeTable:
                     heapq.heappush(heap, (best >> _BITS, p, pair))
         return [x for x in ids if x >= 0]
 
-    def _packed(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, _PRE_TOKEN.findall(text)))
-
-    def _word(self, word: str) -> bytes:
-        """Tokens of a word after a space."""
-        if word.isalpha():
-            return array.array("I", self.merged(b" " + word.encode())).tobytes()
-        if word[-1:] in _STOPS and word[:-1].isalpha():
-            return self.words[word[:-1]] + self.pieces[word[-1]]
-        return self._packed(" " + word)
-
-    def settled(self, text: str) -> bytes:
-        """Tokens of text that begins and ends at ends of pre-tokens, as little-endian 32-bit ids."""
-        head, *rest = _SETTLED.split(text)
-        return self.first_words[head] + b"".join(map(self.words.__getitem__, rest))
+    def merged_together(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all pieces, whose bytes are data[offsets[i] : offsets[i + 1]], and how many each has."""
+        sizes = np.diff(offsets)
+        order = np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], SHORT, side="right"))
+        parts, counts = [], np.zeros(len(sizes), np.int64)
+        for at in range(0, short, TOGETHER):
+            own = order[at : min(short, at + TOGETHER)]
+            ids, n = self._merged_columns(data, offsets[own], sizes[own])
+            parts.append(ids)
+            counts[own] = n
+        for i in order[short:].tolist():
+            ids = self.merged(data[offsets[i] : offsets[i + 1]].tobytes())
+            parts.append(np.array(ids, dtype=np.int64))
+            counts[i] = len(ids)
+        starts = np.empty(len(sizes), np.int64)
+        starts[order] = _starts(counts[order])[:-1]
+        return _ranges(np.concatenate([np.zeros(0, np.int64), *parts]), starts, counts), counts
+
+    def _merged_columns(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges pieces that are columns, the shortest first: in each round the first merge of the lowest rank in each of them."""
+        most, width = int(sizes[-1]), len(sizes)
+        ids = np.full((most + 1, width), -1, dtype=np.int64)  # the last row is what is before and behind a piece
+        best = np.full((most + 1, width), _NO_RANK << _PLACE, dtype=np.int64)
+        for p in range(most):
+            k = int(np.searchsorted(sizes, p, side="right"))
+            now = data[starts[k:] + p]
+            ids[p, k:] = self.bytes[now]
+            if p:
+                best[p - 1, k:] = self.byte_ranks[before[k - width :].astype(np.int64) << 8 | now] << _PLACE | p - 1  # noqa: F821
+            before = now  # noqa: F841
+        after, ahead = np.empty_like(ids), np.empty_like(ids)
+        after[:] = np.arange(1, most + 2)[:, None]
+        ahead[:] = np.arange(-1, most)[:, None]
+        ahead[0] = most
+        columns, done = np.arange(width), ids
+        while True:
+            low = best.min(axis=0)
+            active = np.flatnonzero(low < _NO_RANK << _PLACE)
+            if not len(active):
+                break
+            if 2 * len(active) < len(columns):  # go on with those columns alone
+                done[:, columns] = ids
+                columns, low = columns[active], low[active]
+                ids, best, after, ahead = (np.take(x, active, axis=1) for x in (ids, best, after, ahead))
+                active = np.arange(len(columns))
+            n = len(columns)
+            flat_ids, flat_best, flat_after, flat_ahead = (x.reshape(-1) for x in (ids, best, after, ahead))
+            place, made = low[active] & (1 << _PLACE) - 1, self.made[low[active] >> _PLACE]
+            here = place * n + active
+            gone = flat_after[here] * n + active
+            right, left = flat_after[gone], flat_ahead[here]
+            flat_ids[here], flat_ids[gone] = made, -1
+            flat_best[gone] = _NO_RANK << _PLACE
+            flat_after[here] = right
+            flat_ahead[right * n + active] = place
+            beside = self.ranks_of(np.concatenate([made, flat_ids[left * n + active]]), np.concatenate([flat_ids[right * n + active], made])) << _PLACE
+            flat_best[here] = beside[: len(active)] | place
+            flat_best[left * n + active] = beside[len(active) :] | left
+        done[:, columns] = ids
+        across = done.T
+        return across[across >= 0], (done >= 0).sum(axis=0)
+
+    def _words(self, words: pa.Array, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of distinct words, each with a space before it unless it is the first of a stretch, and how many each has."""
+        if first or pc.any(pc.match_substring(words, " ")).as_py():
+            found = [_PRE_TOKEN.findall(x if first else " " + x) for x in words.to_pylist()]
+            sizes, pieces = np.array(list(map(len, found)), dtype=np.int64), pa.array(itertools.chain.from_iterable(found), pa.string())
+        else:  # a space before each word settles what is before it, so all of them can be read as one text
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py()
+            pieces = pa.array(_PRE_TOKEN.findall(" " + joined) if len(words) else [], pa.string())
+            begins = np.flatnonzero(pc.starts_with(pieces, " ").to_numpy(zero_copy_only=False))
+            sizes = np.diff(np.append(begins, len(pieces)))
+        coded = pieces.dictionary_encode()
+        ids, counts = self.merged_together(*text_bytes(coded.dictionary))
+        place = coded.indices.to_numpy().astype(np.int64)
+        return _ranges(ids, _starts(counts)[place], counts[place]), np.diff(_starts(counts[place])[_starts(sizes)])
+
+    def stretches(self, texts: list[str]) -> list[bytes]:
+        """The tokens of texts that begin and end at ends of pre-tokens, each as little-endian 32-bit ids."""
+        if not texts:
+            return []
+        if any(map(_ODD.search, texts)):
+            split = pa.array(map(_SETTLED.split, texts), pa.list_(pa.string()))
+        else:
+            split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        every = split.flatten()
+        is_first = np.zeros(len(every), dtype=bool)
+        is_first[bounds[:-1]] = True
+        sizes, starts, values = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64), []
+        for first in (True, False):
+            own = np.flatnonzero(is_first == first)
+            coded = every.take(pa.array(own)).dictionary_encode()
+            ids, counts = self._words(coded.dictionary, first)
+            place = coded.indices.to_numpy().astype(np.int64)
+            sizes[own], starts[own] = counts[place], _starts(counts)[place] + sum(map(len, values))
+            values.append(ids)
+        out = _ranges(np.concatenate(values), starts, sizes).astype("<u4").tobytes()
+        ends = 4 * _starts(sizes)[bounds]
+        return [out[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def resolved(self, rows: list[list[bytes | str]]) -> list[bytes]:
+        """The tokens of each row of what encoders have let out: tokens, and stretches of text."""
+        found = iter(self.stretches([x for row in rows for x in row if isinstance(x, str)]))
+        return [b"".join(next(found) if isinstance(x, str) else x for x in row) for row in rows]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=4)
-def merge_table(path: str, memo: int = MEMO) -> MergeTable:
-    return MergeTable(path, memo)
+def merge_table(path: str) -> MergeTable:
+    return MergeTable(path)
 
 
 class Encoder:
-    """Text comes in by feed() and ends with close(); both return the tokens that are settled since, as little-endian 32-bit ids."""
+    """Text comes in by feed() and ends with close(); both return what is settled since: tokens (as little-endian 32-bit ids) and stretches of text."""
 
     def __init__(self, table: MergeTable, block: int = BLOCK):
         self.table, self.block = table, block
@@ -194,41 +307,41 @@ class Encoder:
         self.run: regex.Pattern | None = None  # what goes on in a pre-token that is longer than a block
         self.piece = b""  # bytes of that pre-token that have no token yet
 
-    def feed(self, chunk: str) -> bytes:
+    def feed(self, chunk: str) -> list[bytes | str]:
         self.text += chunk
         out = []
         while self.table.added_in and (m := self.table.added_in.search(self.text)):
             rest = self.text[m.end() :]
             self.text = self.text[: m.start()]
-            out += [self._end(), self.table.added[m[0]].to_bytes(4, "little")]
+            out += [*self._end(), self.table.added[m[0]].to_bytes(4, "little")]
             self.text = rest
         held = next((n for n in range(min(len(self.text), self.table.added_longest - 1), 0, -1) if self.text[-n:] in self.table.added_starts), 0)
         self.text, tail = (self.text[:-held], self.text[-held:]) if held else (self.text, "")
-        out.append(self._go_on())
+        out += self._go_on()
         self.text += tail
-        return b"".join(out)
+        return out
 
-    def close(self) -> bytes:
+    def close(self) -> list[bytes | str]:
         return self._end()
 
-    def _go_on(self) -> bytes:
+    def _go_on(self) -> list[bytes | str]:
         out = [self._continued(False)] if self.run else []
         if self.run is None:
             if (cut := self._last_cut()) > 0:
-                out.append(self.table.settled(self.text[:cut]))
+                out.append(self.text[:cut])
                 self.text = self.text[cut:]
             if len(self.text) > self.block:
                 *settled, last = _PRE_TOKEN.finditer(self.text)
                 if len(last[0]) < 4 and settled:
                     last = settled.pop()
-                out.append(b"".join(self.table.pieces[m[0]] for m in settled))
+                out += [_packed(self.table.merged(m[0].encode())) for m in settled]
                 self.text = self.text[last.start() :]
                 if len(self.text) > self.block:
                     self.run = next(r for r in _RUNS if r.match(last[0][-1]))
                     if last[0][0] == " " and self.run is not _RUNS[3]:
                         self.piece, self.text = b" ", self.text[1:]
                     out.append(self._continued(False))
-        return b"".join(out)
+        return out
 
     def _last_cut(self) -> int:
         at = self.text.rfind(" ")
@@ -257,15 +370,13 @@ class Encoder:
                     break
                 at += len(self.table.tokens[i])
             ids, self.piece = ids[:keep], self.piece[at:]
-        return array.array("I", ids).tobytes()
+        return _packed(ids)
 
-    def _end(self) -> bytes:
-        out = []
-        if self.run:
-            out.append(self._continued(True))
-        out.append(self.table.settled(self.text))
+    def _end(self) -> list[bytes | str]:
+        out = [self._continued(True)] if self.run else []
+        out += [self.text] if self.text else []
         self.text = ""
-        return b"".join(out)
+        return out
 
 
 class Decoder:
@@ -283,16 +394,31 @@ class Decoder:
 
 
 def encoded_blocks(table: MergeTable, text: str, block: int = BLOCK) -> Iterator[bytes]:
+    """The tokens of one text, block by block."""
     encoder = Encoder(table, block)
     for at in range(0, len(text), block):
-        yield encoder.feed(text[at : at + block])
-    yield encoder.close()
+        yield table.resolved([encoder.feed(text[at : at + block])])[0]
+    yield table.resolved([encoder.close()])[0]
+
+
+def encoded_texts(table: MergeTable, texts: list[str | None], block: int = BLOCK) -> Iterator[Iterator[bytes]]:
+    """The tokens of each text in turn; those of texts of one block are looked up together."""
+    rows, short = [], []
+    for i, text in enumerate(texts):
+        if len(text or "") <= block:
+            encoder = Encoder(table, block)
+            rows.append([*encoder.feed(text or ""), *encoder.close()])
+            short.append(i)
+    found = dict(zip(short, table.resolved(rows), strict=True))
+    for i, text in enumerate(texts):
+        yield iter([found.pop(i)]) if i in found else encoded_blocks(table, text, block)
 
 
 def _by_row(batches: Iterable[pa.RecordBatch], column: str, names: list[str], kinds: list[pa.DataType], made) -> Iterator[pa.RecordBatch]:
+    """made: for a list of texts the new columns' values of each."""
     for batch in batches:
-        for part in slices(batch, column):
-            rows = [made(x.as_py()) for x in part.column(column)]
+        for part in slices(batch, column, TEXTS):
+            rows = list(made(part.column(column).to_pylist()))
             kept = [part.column(i) for i in range(part.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(kept + [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)], part.schema.names[:-1] + names)
 
@@ -307,8 +433,9 @@ def _mapped(df: DataFrame, column: str, keep: list[str], out: list[tuple[str, T.
 def encode(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids: str = "token_ids") -> DataFrame:
     """The columns `keep` and the token ids of each text as an array."""
 
-    def made(x):
-        return (np.frombuffer(b"".join(encoded_blocks(merge_table(path), x or "")), "<u4").tolist(),)
+    def made(texts):
+        for blocks in encoded_texts(merge_table(path), texts):
+            yield (np.frombuffer(b"".join(blocks), "<u4").tolist(),)
 
     return _mapped(df, text, keep or ["doc_id"], [(ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], made)
 
@@ -339,15 +466,16 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
     ids are ever held whole.
     """
 
-    def made(x):
+    def made(texts):
         table = merge_table(path)
-        decoder, ids_sha, text_sha, n = Decoder(table), hashlib.sha256(), hashlib.sha256(), 0
-        for ids in encoded_blocks(table, x or "", block):
-            n += len(ids) // 4
-            ids_sha.update(ids)
-            text_sha.update(decoder.feed(ids).encode())
-        text_sha.update(decoder.close().encode())
-        return n, ids_sha.hexdigest(), text_sha.hexdigest()
+        for blocks in encoded_texts(table, texts, block):
+            decoder, ids_sha, text_sha, n = Decoder(table), hashlib.sha256(), hashlib.sha256(), 0
+            for ids in blocks:
+                n += len(ids) // 4
+                ids_sha.update(ids)
+                text_sha.update(decoder.feed(ids).encode())
+            text_sha.update(decoder.close().encode())
+            yield n, ids_sha.hexdigest(), text_sha.hexdigest()
 
     out = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
     return _mapped(df, text, keep or ["doc_id"], out, made)

@@ -463,6 +463,26 @@ def test_token_shards(docs, spark, tmp_path):
     assert {(r.slot, r.doc_id, r.sequence) for r in again} == {(r.slot, r.doc_id, r.sequence) for r in got}
 
 
+def test_token_shards_of_nothing(docs, spark, tmp_path):
+    folder = f"file://{tmp_path}/none"
+    tokenshards.write_shards(docs.limit(0), BYTE_BPE, folder)
+    assert tokenshards.read_shards(spark, BYTE_BPE, folder).count() == tokenshards.read_shards(spark, BYTE_BPE, folder, start=3).count() == 0
+
+
+def test_slots_are_in_the_order_of_permuted_places(docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenshards, "BLOCK", 3)  # offsets over several blocks of shards
+    folder = f"file://{tmp_path}/shards"
+    tokenshards.write_shards(docs, BYTE_BPE, folder, key=5, length=32, shard=40)
+    got = sorted(tokenshards.read_shards(spark, BYTE_BPE, folder, length=32).collect(), key=lambda r: r.slot)
+    per_doc = max(len((t or "").encode()) for t in TEXTS) // 32 + 1
+    numbers = [i * per_doc + k for i, t in enumerate(TEXTS) for k in range(-(-(len(encoded(t)) + 1) // 32))]
+    place = dict(zip(tokenshards.permuted(np.array(numbers), len(TEXTS) * per_doc, 5).tolist(), numbers, strict=True))
+    assert [r.doc_id * per_doc + r.sequence for r in got] == [place[p] for p in sorted(place)]
+    late = tokenshards.read_shards(spark, BYTE_BPE, folder, length=32, start=got[-1].slot)
+    assert [r.slot for r in late.collect()] == [got[-1].slot] and tokenshards.read_shards(spark, BYTE_BPE, folder, length=32, start=len(got)).count() == 0
+    assert f">= {got[-1].shard})" in late._jdf.queryExecution().toString().split("PartitionFilters")[1]
+
+
 def test_token_shards_of_ids_far_apart(spark, tmp_path):
     rows = spark.createDataFrame([(-(2**62), "a"), (2**62, "b"), (None, "c"), (2**62, "b")], "doc_id bigint, text string")
     tokenshards.write_shards(rows, BYTE_BPE, f"file://{tmp_path}/s", shard=2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIRST, NEAREST = "first", "nearest"
@@ -39,6 +39,16 @@ def with_prices(trades: DataFrame, prices: DataFrame) -> DataFrame:
     return trades.join(prices, ["exec_date", "ticker"], "left")
 
 
+def labelled_history(rows: DataFrame, *parts: tuple[str, str | None, Column]) -> DataFrame:
+    """trade_history() of parts of one table in one scan: (label, action or None to keep the row's, condition); a row is in the first part whose condition holds."""
+    number = label = action = None
+    for k, (name, fixed, condition) in enumerate(parts):
+        values = F.lit(k), F.lit(name), F.lit(fixed) if fixed else F.col("action")
+        number, label, action = (F.when(condition, v) if w is None else w.when(condition, v) for w, v in zip((number, label, action), values, strict=True))
+    out = rows.select(number.alias("part"), label.alias("week"), "exec_date", "ticker", action.alias("action"), "shares", "at")
+    return out.filter("part is not null")
+
+
 def trade_history(*parts: tuple[str, str | None, DataFrame]) -> DataFrame:
     """All trades of several sources: (label, action or None to keep the source's, rows of exec_date, ticker, action, shares, at)."""
     out = None

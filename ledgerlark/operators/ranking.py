@@ -27,7 +27,7 @@ class SortState:
 #: Sort keys of open positions and of holdings. Text sorts by a locale's order, ties keep the input's.
 POSITION_KEYS: dict[str, Callable[[], Column]] = {
     **{k: (lambda k=k: F.collate(F.col(k), "UNICODE")) for k in ("ticker", "name", "sector")},
-    **{k: (lambda k=k: F.col(k)) for k in ("rec_date", "entry_price", "current_price", "initial_investment", "current_investment", "profit_loss", "return_pct")},
+    **{k: (lambda k=k: F.col(k)) for k in ("rec_date", "entry_price", "current_price", "shares", "initial_investment", "current_investment", "profit_loss", "return_pct")},
 }
 HOLDING_KEYS: dict[str, Callable[[], Column]] = {
     **{k: (lambda k=k: F.collate(F.col(k), "UNICODE")) for k in ("ticker", "sector", "theme")},

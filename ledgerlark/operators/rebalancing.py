@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.semantics import ratio
@@ -16,9 +16,14 @@ def sized(weights: DataFrame, prices: DataFrame, capital: float, on: str = "tick
 
 def trades_between(before: DataFrame, after: DataFrame, on: str = "ticker") -> DataFrame:
     """What leads from one set of positions to another: ticker, action, shares. Unchanged positions are left out."""
-    a, b = (x.groupBy(on).agg(F.sum("shares").alias(n)) for x, n in ((before, "a"), (after, "b")))
-    change = F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))
-    moved = a.join(b, on, "full").withColumn("change", change).filter("change <> 0")
+    mark = lambda df, x: df.select(on, "shares", F.lit(x).alias("is_before"))
+    return trades_of(mark(before, True).unionByName(mark(after, False)), F.col("is_before"), on)
+
+
+def trades_of(positions: DataFrame, is_before: Column, on: str = "ticker") -> DataFrame:
+    """trades_between() for positions of one table, of which a condition tells those before: one scan and one aggregation."""
+    change = F.sum(F.when(is_before, -F.col("shares")).otherwise(F.col("shares")))
+    moved = positions.groupBy(on).agg(change.alias("change")).filter("change <> 0")
     return moved.select(on, F.when(F.col("change") > 0, "BUY").otherwise("SELL").alias("action"), F.abs("change").alias("shares"))
 
 

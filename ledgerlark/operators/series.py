@@ -9,9 +9,14 @@ from ledgerlark.functions.semantics import ratio
 
 
 def period_changes(df: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
-    """Value less previous value (arithmetic, the first less 0) for each column, without the first row of each group."""
+    """Value less previous value (arithmetic) for each column, without the first row of each group.
+
+    The first row is the base that a cumulative series starts from. The first
+    period after it is its own value, whatever the base is.
+    """
     w = Window.partitionBy(*by).orderBy(order)
-    out = df.withColumn("__n", F.row_number().over(w)).withColumns({f"{c}_change": F.col(c) - F.lag(c, 1, 0).over(w) for c in columns})
+    out = df.withColumn("__n", F.row_number().over(w))
+    out = out.withColumns({f"{c}_change": F.when(F.col("__n") == 2, F.col(c)).otherwise(F.col(c) - F.lag(c).over(w)) for c in columns})
     return out.filter("__n > 1").drop("__n")
 
 
@@ -66,9 +71,20 @@ def annualised_pct(weekly: Column) -> Column:
 
 
 def risk(df: DataFrame, by: list[str], ret: str, market: str, weekly_rate: float) -> DataFrame:
-    """An extension: mean, volatility, Sharpe ratio, beta and alpha of returns against a market, all from partial aggregates."""
-    stats = df.groupBy(*by).agg(F.avg(ret).alias("mean"), F.stddev_samp(ret).alias("volatility"), F.regr_slope(ret, market).alias("beta"), F.avg(market).alias("__market"))
+    """An extension: figures of returns against a market, all from one aggregation.
+
+    mean, volatility, Sharpe ratio, beta, alpha, correlation, tracking error
+    (deviation of what the returns have beyond the market), information ratio
+    (its mean for each unit of that), and var_95 (the return that is undercut in
+    one of twenty periods, interpolated).
+    """
+    beyond = F.col(ret) - F.col(market)
+    stats = df.groupBy(*by).agg(
+        F.avg(ret).alias("mean"), F.stddev_samp(ret).alias("volatility"), F.regr_slope(ret, market).alias("beta"), F.avg(market).alias("__market"),
+        F.corr(ret, market).alias("correlation"), F.stddev_samp(beyond).alias("tracking_error"), F.avg(beyond).alias("__beyond"), F.percentile(ret, F.lit(0.05)).alias("var_95"),
+    )
     sharpe = ratio(F.col("mean") - weekly_rate, F.col("volatility"))
+    stats = stats.withColumn("information_ratio", ratio(F.col("__beyond"), F.col("tracking_error"))).drop("__beyond")
     return stats.withColumn("sharpe", sharpe).withColumn("alpha", F.col("mean") - (weekly_rate + F.col("beta") * (F.col("__market") - weekly_rate))).drop("__market")
 
 

@@ -12,13 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlark.functions.formats import month_day
+from ledgerlark.functions.formats import dollars, grouped, iso_day, month_day, signed_percent
 from ledgerlark.functions.semantics import cents, if_set, or_else, ratio, round_half_up, text_or_else, try_number
 from ledgerlark.operators import matching, positions, ranking, rebalancing, series, valuation
 from ledgerlark.operators.allocation import allocation, concentration, largest
 from ledgerlark.plans.tables import read_table
 from ledgerlark.sources import envelopes
-from ledgerlark.sources.readers import only_symbols, symbols
+from ledgerlark.sources.readers import between_times, only_symbols, symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,10 +70,11 @@ _QUOTES_SQL = """
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts")
-    events = read_table(spark, sf_dir, "events").withColumn("previous_close", F.lag("value").over(w))
-    found = valuation.latest(events, "user_id", "ts", ["value", "previous_close"])
-    return found.select(F.col("user_id").alias("input_pos"), F.col("value").alias("price"), F.when(F.col("user_id") % 5 == 0, 0.0).otherwise(F.col("previous_close")).alias("previous_close"))
+    # a limit by rank, which Spark applies in each task before rows are shuffled
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts")))
+    last = read_table(spark, sf_dir, "events").select("user_id", "ts", "value").withColumn("rank", rank).filter("rank <= 2")
+    found = last.groupBy("user_id").agg(F.max(F.when(F.col("rank") == 1, F.col("value"))).alias("price"), F.max(F.when(F.col("rank") == 2, F.col("value"))).alias("previous_close"))
+    return found.select(F.col("user_id").alias("input_pos"), "price", F.when(F.col("user_id") % 5 == 0, 0.0).otherwise(F.col("previous_close")).alias("previous_close"))
 
 
 # History: cents of orders by month.
@@ -103,7 +104,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lot_value(spark: SparkSession, sf_dir: str, group: str) -> DataFrame:
-    lots = read_table(spark, sf_dir, "lineitem").select("l_partkey", cents(F.col("l_extendedprice")).alias("cents"))
+    lots = read_table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum(cents(F.col("l_extendedprice"))).alias("cents"))
     return allocation(lots.join(read_table(spark, sf_dir, "part").select("p_partkey", group), F.col("l_partkey") == F.col("p_partkey")), group, "cents")
 
 
@@ -175,7 +176,7 @@ def _days(spark, sf_dir):
     return read_table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.sum(cents(F.col("value"))).alias("cents"))
 
 
-@query(f"WITH {_DAYS_SQL}, d AS (SELECT cents - lag(cents) OVER (ORDER BY day) AS x FROM days) SELECT count(*) FILTER (x > 0) AS green, count(*) FILTER (x <= 0) AS red FROM d")
+@query(f"WITH {_DAYS_SQL}, d AS (SELECT CASE row_number() OVER (ORDER BY day) WHEN 1 THEN NULL WHEN 2 THEN cents ELSE cents - lag(cents) OVER (ORDER BY day) END AS x FROM days) SELECT count(*) FILTER (x > 0) AS green, count(*) FILTER (x <= 0) AS red FROM d")
 def sign_split_counts(spark, sf_dir):
     changes = series.period_changes(_days(spark, sf_dir).withColumn("of", F.lit(0)), ["of"], "day", ["cents"])
     return positions.sign_counts(changes, "cents_change")
@@ -204,19 +205,22 @@ def laggards_filtered(spark, sf_dir):
 
 
 _SORTED = {"sort_price_asc": (ranking.SortState("entry_price", 0), "entry_price ASC, input_pos"), "sort_delta_desc": (ranking.SortState("delta", 1), "coalesce(nullif(delta, 0), -999) DESC, input_pos"), "sort_value_asc": (ranking.SortState("current_investment", 0), "coalesce(current_investment, 0) ASC, input_pos"), "sort_name": (ranking.SortState("delta", 2), "ticker ASC, input_pos"), "sort_unknown_key": (ranking.SortState("none", 1), "input_pos")}
+_SORTED_POSITIONS = {"sort_positions_shares_desc": (ranking.SortState("shares", 1), "shares DESC, input_pos"), "sort_positions_invested_asc": (ranking.SortState("initial_investment", 0), "initial_investment ASC, input_pos"), "sort_positions_ticker_desc": (ranking.SortState("ticker", 1), "ticker DESC, input_pos"), "sort_positions_return_asc": (ranking.SortState("return_pct", 0), "delta ASC NULLS FIRST, input_pos")}
 
 
-def _sorted_query(state):
+def _sorted_query(state, keys):
     def run(spark, sf_dir):
-        held = _holdings(spark, sf_dir)
-        ranked = ranking.numbered(held, ranking.order_of(state, ranking.HOLDING_KEYS), ["sector"])
-        return ranked.select("sector", "rank", "input_pos")
+        held = _holdings(spark, sf_dir).withColumn("return_pct", F.col("delta")).withColumn("shelf", F.col("input_pos") % 100)
+        ranked = ranking.numbered(held, ranking.order_of(state, keys), ["sector", "shelf"])
+        return ranked.select("sector", "shelf", "rank", "input_pos")
 
     return run
 
 
-for _name, (_state, _order) in _SORTED.items():
-    query(f"WITH {_HOLDINGS_SQL} SELECT sector, row_number() OVER (PARTITION BY sector ORDER BY {_order}) AS rank, input_pos FROM holdings", _name)(_sorted_query(_state))
+# numbered within 600 groups (type and shelf), so that a window's task never holds more than a small part of all rows
+for _keys, _sorts in ((ranking.HOLDING_KEYS, _SORTED), (ranking.POSITION_KEYS, _SORTED_POSITIONS)):
+    for _name, (_state, _order) in _sorts.items():
+        query(f"WITH {_HOLDINGS_SQL} SELECT sector, input_pos % 100 AS shelf, row_number() OVER (PARTITION BY sector, input_pos % 100 ORDER BY {_order}) AS rank, input_pos FROM holdings", _name)(_sorted_query(_state, _keys))
 
 
 @query(f"""
@@ -248,16 +252,16 @@ def dimension_default(spark, sf_dir):
 
 
 @query("""
-    WITH t AS (SELECT 'W1' AS week, CAST(l_shipdate AS DATE) AS exec_date, l_partkey AS ticker, 'BUY' AS action, l_quantity AS shares FROM lineitem WHERE year(l_shipdate) = 1996
-      UNION ALL SELECT 'W2', CAST(l_shipdate AS DATE), l_partkey, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END, l_quantity FROM lineitem WHERE year(l_shipdate) = 1997
-      UNION ALL SELECT 'W3', CAST(l_shipdate AS DATE), l_partkey, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END, l_quantity FROM lineitem WHERE year(l_shipdate) = 1998),
+    WITH t AS (SELECT 'W1' AS week, CAST(l_shipdate AS DATE) AS exec_date, l_partkey AS ticker, 'BUY' AS action, l_quantity AS shares FROM lineitem WHERE l_shipdate < DATE '1997-01-01'
+      UNION ALL SELECT 'W2', CAST(l_shipdate AS DATE), l_partkey, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END, l_quantity FROM lineitem WHERE l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01'
+      UNION ALL SELECT 'W3', CAST(l_shipdate AS DATE), l_partkey, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END, l_quantity FROM lineitem WHERE l_shipdate >= DATE '1998-01-01' OR l_shipdate IS NULL),
     p AS (SELECT CAST(o_orderdate AS DATE) AS exec_date, o_custkey AS ticker, max(o_totalprice) AS price FROM orders GROUP BY 1, 2)
     SELECT week, CAST(exec_date AS VARCHAR) AS exec_date, ticker, action, shares, price FROM t LEFT JOIN p USING (exec_date, ticker)
 """)
 def trade_history(spark, sf_dir):
-    lots = read_table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("exec_date"), F.col("l_partkey").alias("ticker"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("action"), F.col("l_quantity").alias("shares"), F.lit(0).alias("at"))
-    year = lambda y: lots.filter(F.year("exec_date") == y)
-    trades = matching.trade_history(("W1", "BUY", year(1996)), ("W2", None, year(1997)), ("W3", None, year(1998)))
+    lots = read_table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("time"), F.col("l_shipdate").cast("date").alias("exec_date"), F.col("l_partkey").alias("ticker"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("action"), F.col("l_quantity").alias("shares"), F.lit(0).alias("at"))
+    # every lot is in one of the parts: one scan, in which each part is a condition
+    trades = matching.labelled_history(lots, ("W1", "BUY", F.col("time") < "1997-01-01"), ("W2", None, F.col("time") < "1998-01-01"), ("W3", None, F.lit(True)))
     prices = read_table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("exec_date"), F.col("o_custkey").alias("ticker")).agg(F.max("o_totalprice").alias("price"))
     return matching.with_prices(trades, prices).select("week", _text("exec_date"), "ticker", "action", "shares", "price")
 
@@ -284,7 +288,8 @@ def _bars_query(mode):
     def run(spark, sf_dir):
         events = read_table(spark, sf_dir, "events")
         trades = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("trade_id"), "user_id", F.col("ts").alias("at"))
-        bars = events.filter("event_type <> 'purchase'").select(F.col("event_id").alias("bar_seq"), "user_id", F.col("ts").alias("bar_ts"), F.col("value").alias("open"))
+        span = trades.agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        bars = between_times(events, "ts", span, "first", "last", "1 DAY").filter("event_type <> 'purchase'").select(F.col("event_id").alias("bar_seq"), "user_id", F.col("ts").alias("bar_ts"), F.col("value").alias("open"))
         return matching.match_bars(trades, bars, "user_id", mode).select("trade_id", "user_id", "bar_seq", "open")
 
     return run
@@ -297,7 +302,8 @@ query(_bars_sql("away, bar_ts, bar_seq"), "exec_price_nearest")(_bars_query(matc
 @query("""
     WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1, 2),
     c AS (SELECT event_type, day, CAST(sum(cents) OVER w AS BIGINT) AS cumulative, row_number() OVER w AS n FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day))
-    SELECT event_type, CAST(day AS VARCHAR) AS day, cumulative, cumulative_change FROM (SELECT *, cumulative - lag(cumulative, 1, 0) OVER (PARTITION BY event_type ORDER BY day) AS cumulative_change FROM c) WHERE n > 1
+    SELECT event_type, CAST(day AS VARCHAR) AS day, cumulative, cumulative_change
+    FROM (SELECT *, CASE n WHEN 2 THEN cumulative ELSE cumulative - lag(cumulative) OVER (PARTITION BY event_type ORDER BY day) END AS cumulative_change FROM c) WHERE n > 1
 """)
 def period_changes(spark, sf_dir):
     days = read_table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.sum(cents(F.col("value"))).alias("cents"))
@@ -370,11 +376,31 @@ def latest_snapshot(spark, sf_dir):
     return valuation.latest(read_table(spark, sf_dir, "events"), "user_id", "ts", ["event_id", "value", "event_type"]).select("user_id", "event_id", "value", (F.col("event_type") == "view").alias("is_open"))
 
 
-@query()
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS key, arg_max(value, event_id) AS price FROM events GROUP BY 1, 2")
 def price_map_json(spark, sf_dir):
     events = read_table(spark, sf_dir, "events").withColumn("day", F.col("ts").cast("date"))
     nested = envelopes.nested_prices(events, "day", "event_type", "event_id", F.col("value"))
-    return nested.select("day", F.to_json("prices").alias("body"), F.size(F.map_keys("prices")).alias("n"))
+    read = nested.select("day", F.from_json(F.to_json("prices"), "map<string,double>").alias("prices"))
+    return read.select(_text("day"), F.explode("prices").alias("key", "price"))
+
+
+@query("""
+    WITH b AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[' || props || ', ' || props || ']' WHEN 1 THEN props END AS body FROM events)
+    SELECT event_id, CASE WHEN json_type(body) = 'ARRAY' THEN json_array_length(body)::BIGINT WHEN body IS NOT NULL THEN 1 END AS n,
+      CASE WHEN json_type(body) = 'ARRAY' THEN CAST(json_extract(body, '$[0].k') AS BIGINT) + CAST(json_extract(body, '$[1].k') AS BIGINT) ELSE CAST(json_extract(body, '$.k') AS BIGINT) END AS total FROM b
+""")
+def one_or_list(spark, sf_dir):
+    at = F.col("event_id") % 3
+    body = F.when(at == 0, F.concat(F.lit("["), "props", F.lit(", "), "props", F.lit("]"))).when(at == 1, F.col("props"))
+    items = envelopes.one_or_many(body, "struct<k:bigint>")
+    rows = read_table(spark, sf_dir, "events").select("event_id", items.alias("items"))
+    return rows.select("event_id", F.when(F.col("items").isNotNull(), F.size("items")).cast("bigint").alias("n"), F.aggregate("items", F.lit(0).cast("bigint"), lambda n, x: n + x["k"]).alias("total"))
+
+
+@query("SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS exec_date, event_type AS ticker FROM events")
+def exploded_executions(spark, sf_dir):
+    plans = read_table(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("exec_date")).agg(F.collect_set("event_type").alias("tickers"))
+    return matching.exploded(plans).select(_text("exec_date"), "ticker")
 
 
 @query("SELECT p_partkey, p_brand FROM part WHERE p_brand IN ('Brand#2', 'Brand#17')")
@@ -403,14 +429,15 @@ _DAILY_SQL = """
 @query(f"""
     WITH {_DAILY_SQL}
     SELECT event_type, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS volatility, round(regr_slope(ret, market), 5) AS beta,
-      round((avg(ret) - 0.0007) / stddev_samp(ret), 5) AS sharpe, round(avg(ret) - (0.0007 + regr_slope(ret, market) * (avg(market) - 0.0007)), 5) + 0.0 AS alpha FROM k GROUP BY 1
+      round((avg(ret) - 0.0007) / stddev_samp(ret), 5) AS sharpe, round(avg(ret) - (0.0007 + regr_slope(ret, market) * (avg(market) - 0.0007)), 5) + 0.0 AS alpha,
+      round(corr(ret, market), 5) AS correlation, round(stddev_samp(ret - market), 6) AS tracking_error, round(avg(ret - market) / nullif(stddev_samp(ret - market), 0), 5) AS information_ratio, round(quantile_cont(ret, 0.05), 6) AS var_95 FROM k GROUP BY 1
 """)
 def risk_metrics(spark, sf_dir):
     days = read_table(spark, sf_dir, "events").groupBy("event_type", F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("v"))
     rets = days.withColumn("ret", ratio(F.col("v"), F.lag("v").over(Window.partitionBy("event_type").orderBy("day"))) - 1).filter("ret is not null")
     market = rets.filter("event_type = 'view'").select("day", F.col("ret").alias("market"))
     figures = series.risk(rets.join(market, "day"), ["event_type"], "ret", "market", 0.0007)
-    return figures.select("event_type", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("mean", 6), ("volatility", 6), ("beta", 5), ("sharpe", 5), ("alpha", 5))])
+    return figures.select("event_type", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("mean", 6), ("volatility", 6), ("beta", 5), ("sharpe", 5), ("alpha", 5), ("correlation", 5), ("tracking_error", 6), ("information_ratio", 5), ("var_95", 6))])
 
 
 @query("""
@@ -477,9 +504,9 @@ def array_higher_order(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings").select("vec_id", F.size(F.filter(v, lambda x: x > 0)).cast("bigint").alias("n_up"), F.transform(v, lambda x: (x * F.lit(2).cast("float")).cast("float"))[0].cast("double").alias("doubled"))
 
 
-@query("SELECT vec_id, place, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(range(0, 5)) AS place, unnest(embedding[1:5]) AS x FROM embeddings)")
+@query("SELECT vec_id, place, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS place, unnest(embedding) AS x FROM embeddings)")
 def unnest_positions(spark, sf_dir):
-    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 5)).alias("place", "x")).select("vec_id", F.col("place").cast("bigint").alias("place"), F.col("x").cast("double").alias("x"))
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "x")).select("vec_id", F.col("place").cast("bigint").alias("place"), F.col("x").cast("double").alias("x"))
 
 
 @query("WITH f AS (SELECT s_nationkey, arg_min(s_name, s_suppkey) AS s_name FROM supplier GROUP BY 1) SELECT c_custkey, s_name FROM customer JOIN f ON c_nationkey = s_nationkey")
@@ -519,6 +546,24 @@ def scalar_date(spark, sf_dir):
     return read_table(spark, sf_dir, "orders").select("o_orderkey", day.cast("string").alias("day"), F.date_sub(day, 1).cast("string").alias("before"), F.date_add(day, 2).cast("string").alias("after"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("millis"))
 
 
+@query("""
+    WITH x AS (SELECT o_orderkey, o_totalprice - 200000 AS x FROM orders)
+    SELECT o_orderkey, CASE WHEN x < 0 THEN '-$' ELSE '$' END || format('{:,.2f}', abs(x)) AS two, '$' || CASE WHEN x < 0 THEN '-' ELSE '' END || format('{:,.2f}', abs(x)) AS sign_after,
+      CASE WHEN x < 0 THEN '-$' ELSE '$' END || rtrim(rtrim(format('{:,.3f}', abs(x)), '0'), '.') AS short, format('{:,}', CAST(o_orderkey * 1000 AS BIGINT)) AS grouped,
+      CASE WHEN x >= 0 THEN '+' ELSE '' END || format('{:.2f}', x) || '%' AS percent FROM x
+""")
+def money_labels(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") - 200000).alias("x"))
+    x = F.col("x")
+    return rows.select("o_orderkey", dollars(x, 2, 2).alias("two"), dollars(x, 2, 2, sign_first=False).alias("sign_after"), dollars(x).alias("short"), grouped(F.col("o_orderkey") * 1000).alias("grouped"), signed_percent(x).alias("percent"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(epoch_ms(o_orderdate) + 30600000 AS BIGINT) AS millis FROM orders")
+def iso_instants(spark, sf_dir):
+    iso = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T08:30:00.000Z"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", iso_day(iso).cast("string").alias("day"), F.unix_millis(F.to_timestamp(iso)).alias("millis"))
+
+
 _METRICS = {"quantity": (lambda: F.sum(F.col("l_quantity").cast("bigint")), "CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT)"), "value": (lambda: F.sum(cents(F.col("l_extendedprice"))), "CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT)"), "lots": (lambda: F.count(F.lit(1)), "count(*)")}
 
 
@@ -556,8 +601,9 @@ _YEAR_SHARES = "SELECT l_partkey AS ticker, CAST(sum(CAST(l_quantity AS BIGINT))
     SELECT ticker, CASE WHEN change > 0 THEN 'BUY' ELSE 'SELL' END AS action, abs(change) AS shares FROM d WHERE change <> 0
 """)
 def trades_between_years(spark, sf_dir):
-    lots = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ticker"), F.col("l_quantity").cast("bigint").alias("shares"), F.year("l_shipdate").alias("year"))
-    return rebalancing.trades_between(lots.filter("year = 1996"), lots.filter("year = 1997"))
+    lots = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ticker"), F.col("l_quantity").cast("bigint").alias("shares"), F.col("l_shipdate").alias("time"))
+    both = lots.filter((F.col("time") >= "1996-01-01") & (F.col("time") < "1998-01-01"))  # a range that reaches the scan
+    return rebalancing.trades_of(both, F.col("time") < "1997-01-01")
 
 
 @query("""

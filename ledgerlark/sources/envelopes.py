@@ -27,6 +27,12 @@ def nested_prices(df: DataFrame, day: str, key: str, seq: str, value: Column) ->
     return later_wins(df, [day, key], seq, value).groupBy(day).agg(F.map_from_entries(entries).alias("prices"))
 
 
+def one_or_many(body: Column, schema: str) -> Column:
+    """JSON of one object or of a list of them, as an array of structs. Null, and what is neither: null."""
+    text = F.ltrim(body)
+    return F.when(F.startswith(text, F.lit("[")), F.from_json(body, f"array<{schema}>")).when(F.startswith(text, F.lit("{")), F.array(F.from_json(body, schema)))
+
+
 def quote_envelope(prices: DataFrame, timestamp: str, source: str, market_state: str) -> DataFrame:
     """prices (one row with a map) as a JSON text, with when and whence it is and whether the market is open."""
     fields = F.struct("prices", F.lit(timestamp).alias("timestamp"), F.lit(source).alias("source"), F.lit(market_state).alias("marketState"), F.lit(market_state == "REGULAR").alias("isOpen"))

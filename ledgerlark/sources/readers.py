@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql.types import StructType
 
 from ledgerlark.sources.schemas import BARS, PORTFOLIO, QUOTES
 
+log = logging.getLogger(__name__)
+
 
 def rows(spark: SparkSession, values: Iterable[tuple], schema: str) -> DataFrame:
     """A small table given in the program, such as a dimension."""
@@ -66,6 +69,30 @@ def between_days(df: DataFrame, column: str, day: str, before: int = 1, after: i
     return df.filter(F.col(column).between(F.date_sub(F.lit(day).cast("date"), before), F.date_add(F.lit(day).cast("date"), after)))
 
 
+def between_times(df: DataFrame, column: str, span: DataFrame, first: str, last: str, tolerance: str) -> DataFrame:
+    """Rows whose time lies between the first and last of a one-row span, and a tolerance beyond both; the bounds are constants that reach the scan."""
+    bounds = span.select((F.col(first) - F.expr(f"INTERVAL {tolerance}")).alias("a"), (F.col(last) + F.expr(f"INTERVAL {tolerance}")).alias("b")).first()
+    if bounds is None or bounds.a is None:
+        return df.limit(0)
+    return df.filter(F.col(column).between(F.lit(bounds.a), F.lit(bounds.b)))
+
+
+def each_alone(fetch: Callable[[list[str]], list[dict]], key: str) -> Callable[[list[str]], list[dict]]:
+    """A client that asks for each symbol by itself; one that fails is logged and gives a row with the symbol alone, and the rest go on."""
+
+    def run(wanted: list[str]) -> list[dict]:
+        found = []
+        for symbol in wanted:
+            try:
+                found += fetch([symbol])
+            except Exception:
+                log.exception("%s could not be fetched", symbol)
+                found.append({key: symbol})
+        return found
+
+    return run
+
+
 def land(fetch: Callable[[list[str]], list[dict]], spark: SparkSession, wanted: list[str], path: str, schema: str = QUOTES) -> DataFrame:
     """Lands what a remote client returns for all symbols in one call, and reads it back; how to reach the remote side is the caller's."""
     names = StructType.fromDDL(schema).fieldNames()

@@ -29,7 +29,8 @@ def keep_latest(spark: SparkSession, source: str, schema: str, target: str, chec
 
     Each batch merges into the snapshot and writes it anew under its own number,
     so a batch that runs twice gives the same, and a reader finds the last
-    complete one with snapshot(). A batch without rows, or one that `accept`
+    complete one with snapshot(). The one before stays for readers that have begun
+    on it, older ones are removed. A batch without rows, or one that `accept`
     refuses, leaves the snapshot as it is.
     """
     columns = [c for c in StructType.fromDDL(schema).fieldNames() if c != key]
@@ -41,24 +42,45 @@ def keep_latest(spark: SparkSession, source: str, schema: str, target: str, chec
         before = snapshot(spark, target, schema, below=number)
         rows = good.select(key, *columns) if before is None else good.select(key, *columns).unionByName(before.select(key, *columns))
         latest(rows, key, order, columns).write.mode("overwrite").parquet(f"{target}/batch={number:012d}")
+        for folder in _complete(spark, target)[:-2]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger(seconds)).start()
 
 
-def snapshot(spark: SparkSession, target: str, schema: str, below: int | None = None) -> DataFrame | None:
-    """The last complete snapshot (before batch `below`), None if there is none."""
+def _complete(spark: SparkSession, target: str) -> list[str]:
+    """Folders of the complete snapshots, the oldest first."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     pattern = jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*/_SUCCESS")
     found = pattern.getFileSystem(conf).globStatus(pattern) or []
-    folders = sorted(f.getPath().getParent().toString() for f in found)
+    return sorted(f.getPath().getParent().toString() for f in found)
+
+
+def snapshot(spark: SparkSession, target: str, schema: str, below: int | None = None) -> DataFrame | None:
+    """The last complete snapshot (before batch `below`), None if there is none."""
+    folders = _complete(spark, target)
     if below is not None:
         folders = [f for f in folders if int(f.rsplit("=", 1)[1]) < below]
     return spark.read.schema(schema).parquet(folders[-1]) if folders else None
 
 
+def has_all(key: str, value: str, wanted: list[str]) -> Callable[[DataFrame], bool]:
+    """Whether a table has a value for each of the wanted keys."""
+
+    def complete(df: DataFrame) -> bool:
+        return df.filter(F.col(key).isin(wanted) & F.col(value).isNotNull()).agg(F.count_distinct(key)).first()[0] == len(set(wanted))
+
+    return complete
+
+
 def written_once(spark: SparkSession, path: str, make: Callable[[], DataFrame], complete: Callable[[DataFrame], bool] = lambda df: not df.isEmpty()) -> DataFrame:
-    """A table that is made at its first use and read ever after. One that is not complete is returned, but not kept."""
+    """A table that is made at its first use and read ever after.
+
+    One that is not complete (by default an empty one; has_all() asks for each
+    key) is returned, but not kept, so the next use tries again.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if done.getFileSystem(conf).exists(done):

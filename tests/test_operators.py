@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,10 +33,23 @@ def test_texts_ratio_and_rounding(spark):
 
 
 def test_formats(spark):
-    assert formats.fixed(0.125, 2) == "0.13" and formats.fixed(1.005, 2) == "1.00" and formats.fixed(None, 1) is None
-    assert formats.dollars(-1234.5, 2, 2) == "-$1,234.50" and formats.dollars(-1234.5, 2, 2, sign_first=False) == "$-1,234.50" and formats.dollars(1234.0, 0, 0) == "$1,234"
-    r = one(spark, a=formats.signed_percent(F.lit(1.5)), b=formats.month_day(F.lit(dt.date(2025, 8, 26))), c=formats.fixed_label(F.lit(None).cast("double"), 2), d=formats.clock(F.lit("2026-01-02 15:04:05").cast("timestamp")))
-    assert (r.a, r.b, r.c, r.d) == ("+1.50%", "Aug 26", None, "3:04:05 PM")
+    r = one(spark, a=formats.signed_percent(F.lit(1.5)), b=formats.month_day(F.lit(dt.date(2025, 8, 26))), c=formats.fixed(F.lit(None).cast("double"), 2), d=formats.clock(F.lit("2026-01-02 15:04:05").cast("timestamp")), e=formats.iso_day(F.lit("2026-01-02T23:59:59.999Z")))
+    assert (r.a, r.b, r.c, r.d, r.e) == ("+1.50%", "Aug 26", None, "3:04:05 PM", dt.date(2026, 1, 2))
+
+
+def test_money(spark):
+    x = F.lit(-1234.5)
+    r = one(spark, a=formats.dollars(x, 2, 2), b=formats.dollars(x, 2, 2, sign_first=False), c=formats.dollars(F.lit(1234.0), 0, 0), d=formats.dollars(x), e=formats.grouped(F.lit(1234567)), f=formats.grouped(F.lit(0.1), 2), g=formats.grouped(F.lit(2.0), 1), h=formats.dollars(F.lit(None).cast("double")))
+    assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g, r.h) == ("-$1,234.50", "$-1,234.50", "$1,234", "-$1,234.5", "1,234,567", "0.10", "2.0", None)
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 3])
+def test_fixed_decimals_are_exact(spark, digits):
+    rng = np.random.default_rng(digits)
+    values = [0.125, 1.005, 2.5, -2.5, 0.5, -0.001, 0.0, 999.9995, 0.9999, 1e-9, 5e-324, 123456789.125, 2.0**52 + 0.5, float("nan"), None, *(rng.normal(0, 1000, 300)), *(rng.integers(-4000, 4000, 300) / 16), *(rng.random(200) ** 9)]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double")
+    exact = lambda v: None if v is None or v != v else str(Decimal(v).quantize(Decimal(1).scaleb(-digits), rounding=ROUND_HALF_UP))
+    assert [r.y for r in df.select(formats.fixed(F.col("x"), digits).alias("y")).collect()] == [exact(v) for v in values]
 
 
 def holdings(spark):
@@ -68,6 +83,7 @@ def test_sorts(spark):
     assert order(ranking.SortState("delta", ranking.DESCENDING)) == ["A", "E", "F", "B", "C", "D"]
     assert order(ranking.SortState("delta", ranking.ASCENDING)) == ["B", "C", "D", "E", "F", "A"]
     assert order(ranking.SortState("nothing")) == ["A", "B", "C", "D", "E", "F"]
+    assert [r.ticker for r in ranking.sorted_by(h, ranking.SortState("shares", ranking.DESCENDING), ranking.POSITION_KEYS).collect()] == ["F", "E", "A", "B", "C", "D"]
     assert order(ranking.SortState("theme"))[:2] == ["F", "E"]  # by a locale: Memory before mRNA
     s = ranking.SortState("x")
     assert s.clicked("x").cycle == 1 and s.clicked("x").clicked("x").cycle == 2 and s.clicked("x").clicked("x").clicked("x").cycle == 0 and s.clicked("y") == ranking.SortState("y")
@@ -136,6 +152,8 @@ def test_series(spark):
     df = spark.createDataFrame([("p", dt.date(2025, 11, 24) + dt.timedelta(7 * i), float(v)) for i, v in enumerate(values)], "of string, date date, cum double")
     got = [round(r.cum_change, 6) for r in series.period_changes(df, ["of"], "date", ["cum"]).orderBy("date").collect()]
     assert got == [2.5, 3.3, 3.4, -1.7, 3.3, 2.7, 2.7, 2.3] and abs(sum(got) - 18.5) < 1e-9
+    based = series.period_changes(df.withColumn("cum", F.col("cum") + 1), ["of"], "date", ["cum"]).orderBy("date").collect()
+    assert [round(r.cum_change, 6) for r in based][:2] == [3.5, 3.3]  # the first period is its own value, whatever the base
     assert [r.is_last for r in series.flag_last(df, ["of"], "date").orderBy("date").collect()] == [False] * 8 + [True]
     assert series.to_first(df.filter("cum > 0"), ["of"], "date", "cum", "x").orderBy("date").first().x == 0
     level = spark.createDataFrame([("p", i, v) for i, v in enumerate([100.0, 120.0, 90.0, 130.0])], "of string, i int, v double")
@@ -162,6 +180,11 @@ def test_risk(spark):
     df = spark.createDataFrame([("p", 0.0262, 0.0232), ("p", 0.0192, -0.0029)], "of string, ret double, market double")
     r = series.risk(df, ["of"], "ret", "market", 0.03557 / 52).first()
     assert (r.mean, r.volatility, r.beta, r.sharpe) == pytest.approx((0.0227, 0.00495, 0.268, 4.448), abs=2e-3)
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(0.01, 0.02, (2, 50))
+    r = series.risk(spark.createDataFrame([("p", float(x), float(y)) for x, y in zip(a, b, strict=True)], "of string, ret double, market double"), ["of"], "ret", "market", 0.0).first()
+    error = np.std(a - b, ddof=1)
+    assert (r.correlation, r.tracking_error, r.information_ratio, r.var_95) == pytest.approx((np.corrcoef(a, b)[0, 1], error, np.mean(a - b) / error, np.quantile(a, 0.05)))
 
 
 def test_ledger(spark):
@@ -203,6 +226,8 @@ def test_envelopes(spark):
     df = spark.createDataFrame([(1, "A", 1.0), (2, "A", 2.0), (3, "B", 3.0)], "seq bigint, k string, v double")
     body = envelopes.quote_envelope(envelopes.price_map(df, "k", "seq", F.col("v")), "2026-01-02T00:00:00Z", "live", "REGULAR").first()
     assert json.loads(body.body) == {"prices": {"A": 2.0, "B": 3.0}, "timestamp": "2026-01-02T00:00:00Z", "source": "live", "marketState": "REGULAR", "isOpen": True} and body.status == 200
+    many = spark.createDataFrame([('{"a": 1}',), (' [{"a": 1}, {"a": 2}]',), ("[]",), ("7",), (None,)], "body string")
+    assert [r.x and [y.a for y in r.x] for r in many.select(envelopes.one_or_many(F.col("body"), "struct<a:int>").alias("x")).collect()] == [[1], [1, 2], [], None, None]
     bad = envelopes.error_envelope(df, "no answer").first()
     assert json.loads(bad.body) == {"prices": {}, "error": "no answer"} and bad.status == 502
 
@@ -220,6 +245,9 @@ def test_snapshot_stream(spark, tmp_path):
     assert arrive(row(1, "A", 1.0), row(2, "B", 2.0)) == {"A": 1.0, "B": 2.0}
     assert arrive(row(3, "A", 3.0)) == {"A": 3.0, "B": 2.0}
     assert arrive(row(4, None, 9.0)) == {"A": 3.0, "B": 2.0}  # a bad batch keeps the snapshot
+    for n in range(5, 8):
+        assert arrive(row(n, "C", float(n)))["C"] == n
+    assert len(list((tmp_path / "out").glob("batch=*/_SUCCESS"))) == 2  # older ones are removed
     with pytest.raises(ValueError):
         snapshots.trigger(5)
     assert snapshots.trigger() == {"processingTime": "900 seconds"}
@@ -233,6 +261,28 @@ def test_written_once(spark, tmp_path):
     assert made == [1]
     assert snapshots.written_once(spark, str(tmp_path / "u"), lambda: spark.range(0)).count() == 0
     assert snapshots.written_once(spark, str(tmp_path / "u"), make).count() == 2
+    prices = lambda *rows: spark.createDataFrame(list(rows), "k string, v double")
+    both = snapshots.has_all("k", "v", ["A", "B"])
+    assert snapshots.written_once(spark, str(tmp_path / "w"), lambda: prices(("A", 1.0), ("B", None)), both).count() == 2
+    assert snapshots.written_once(spark, str(tmp_path / "w"), lambda: prices(("A", 1.0), ("B", 2.0)), both).filter("v = 2").count() == 1
+
+
+def test_one_symbol_that_fails_leaves_the_others(spark, tmp_path):
+    def fetch(wanted):
+        if wanted == ["B"]:
+            raise OSError("no answer")
+        return [{"symbol": s, "price": 1.0} for s in wanted]
+
+    got = readers.land(readers.each_alone(fetch, "symbol"), spark, ["A", "B", "C"], str(tmp_path / "q"))
+    assert {r.symbol: r.price for r in got.collect()} == {"A": 1.0, "B": None, "C": 1.0}
+
+
+def test_bars_are_pruned_by_time(spark):
+    t = lambda d: dt.datetime(2026, 1, d)
+    bars = spark.createDataFrame([(i, "A", t(i), 1.0) for i in range(1, 12)], schemas.BARS)
+    span = spark.createDataFrame([(t(5), t(6))], "a timestamp, b timestamp")
+    assert sorted(r.bar_seq for r in readers.between_times(bars, "bar_ts", span, "a", "b", "1 DAY").collect()) == [4, 5, 6, 7]
+    assert readers.between_times(bars, "bar_ts", span.limit(0).selectExpr("min(a) a", "max(b) b"), "a", "b", "1 DAY").count() == 0
 
 
 def test_rebalancing(spark):

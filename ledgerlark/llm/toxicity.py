@@ -14,14 +14,18 @@
    estimates each voter's accuracy and their correlations. A label weighs
    documents / (4 * labels), so all labels together weigh a quarter of all
    documents, however large the table is.
-4. A linear classifier learns the model's posterior labels from counts of
-   lexicon entries, and scores every document.
+4. A linear classifier learns the model's posteriors from counts of lexicon
+   entries: those of the labelled sample, where the label counts as one more
+   voter of accuracy `TRUST`, and those of `UNLABELLED` other texts at most (the
+   distinct ones with the smallest hashes). It scores every document, so texts
+   are read twice: for the counts of votes, and for the scores.
 
 Scores depend on the text alone. Labels are used only of rows for whose id
 `crc32(id as text) mod 5` is not 0; null labels and ids are left out, of several
 labels of an id the largest counts. Without labels the fixed list alone votes.
 Null and empty texts score like texts without any hit. Repeated rows are each
-scored. Further columns are ignored.
+scored. Labels may be of any type that can be cast to int. Further columns are
+ignored by toxicity() and kept by without_toxic().
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ from ledgerlark.llm.scratch import written
 
 #: Labelled rows that the lexicon and the classifier learn from at most; mined entries at most; the least toxic texts that an entry is in.
 SAMPLE, MINED, SUPPORT = 20_000, 192, 5
+#: Texts without labels that the classifier learns from at most, and how often a label is taken to be right.
+UNLABELLED, TRUST = 20_000, 0.98
 #: How much an entry must tell (a log-likelihood ratio), and what of the texts with it must be toxic at least.
 TELLS, PURE = 20.0, 0.7
 #: Bytes of the beginnings of words that are mined.
@@ -112,11 +118,23 @@ def one_text() -> F.Column:
 def sample_of(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
     """At most `bound` labelled rows that may be learnt from, one an id: doc_id, text, toxic."""
     usable = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
-    picked = bounded(usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id", bound)
+    picked = bounded(usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "doc_id", bound)
     rows = docs.join(F.broadcast(picked.withColumnRenamed("doc_id", "of")), F.col("doc_id") == F.col("of"))
     return rows.groupBy("doc_id").agg(one_text(), F.max("toxic").alias("toxic")).select("doc_id", "text", "toxic")
 
 
+def others_of(docs: DataFrame, bound: int = UNLABELLED) -> DataFrame:
+    """At most `bound` distinct texts, those with the smallest hashes: text."""
+    hashed = docs.select(F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("h"), "text").filter("text is not null")
+    n = docs.count()
+    if n > bound:
+        # hashes alone tell where to cut, so no task gathers texts that are not in the sample
+        likely = hashed.filter(F.col("h") < int((1 << 40) * min(1.0, 2.0 * bound / n))).select("h").distinct().orderBy("h").limit(bound)
+        last = likely.agg(F.max("h").alias("h")).first().h
+        hashed = hashed.filter(F.col("h") <= (last if last is not None else -1))
+    return hashed.groupBy("h").agg(F.min("text").alias("text")).select("text")
+
+
 def _term_counts(batches):
     for batch in batches:
         for part in slices(batch, "text"):
@@ -143,33 +161,67 @@ def mined_terms(sample: DataFrame) -> list[int]:
     return [r.term % 2**64 for r in found.orderBy(F.desc("tells"), "term").limit(MINED).collect()]
 
 
-def _described(known: Lexicon, keep: list[str]):
-    """For each text: hits (entries and their counts), votes (a letter each) and words."""
-    sorted_terms = known.terms
+class _Hits:
+    """What the texts of a slice hold of the lexicon: for each text and entry a count, votes (a letter each), words, and hits in all."""
+
+    def __init__(self, known: Lexicon, texts: pa.Array):
+        data, offsets = text_bytes(texts)
+        words, n = words_of(data, offsets, ALNUM), len(texts)
+        first, found = words.first, []
+        for terms in _terms(words):
+            at = np.minimum(np.searchsorted(known.terms, terms), len(known.terms) - 1)
+            hit = np.flatnonzero(known.terms[at] == terms)
+            found.append(np.stack([hit, at[hit]]))
+        place, entry = np.concatenate(found, axis=1)
+        doc = np.searchsorted(first, place, side="right") - 1
+        self.n_words = np.diff(first)
+        pairs, self.count = np.unique(doc * len(known.terms) + entry, return_counts=True)
+        self.doc, self.entry = np.divmod(pairs, len(known.terms))
+        self.total = np.bincount(doc, minlength=n)
+
+        groups = np.zeros((n, len(ABUSE) + MINED_GROUPS), dtype=bool)
+        groups[doc, known.group[entry]] = True
+        hit_words = np.unique(place)
+        of = np.searchsorted(first, hit_words, side="right") - 1
+        several = np.bincount(of, minlength=n)
+        beside = np.zeros(n, dtype=bool)
+        beside[of[1:][(of[1:] == of[:-1]) & (np.diff(hit_words) <= 8)]] = True
+        shout = 2 * _per_text((data >= 65) & (data <= 90), offsets) > np.diff(offsets)
+        calls = _per_text((data[:-1] == 33) & ((data[1:] == 33) | (data[1:] == 49)), np.minimum(offsets, max(len(data) - 1, 0))) > 3
+        never = np.zeros(n, dtype=bool)
+        voters = [(groups[:, g], ~groups[:, g]) for g in [*range(len(ABUSE) - 1), *range(len(ABUSE), len(ABUSE) + MINED_GROUPS)]]
+        voters += [(several >= 2, several == 0), ((100 * several >= self.n_words) & (several > 0), several == 0), (beside, several == 0), (shout, never), (calls | groups[:, len(ABUSE) - 1], never)]
+        letters = np.stack([np.where(yes, ord("+"), np.where(no, ord("-"), ord("0"))) for yes, no in voters], axis=1).astype(np.uint8).tobytes().decode()
+        self.votes = [letters[i * VOTERS : (i + 1) * VOTERS] for i in range(n)]
+
+    def summary(self) -> np.ndarray:
+        """Features of all hits together, a row for each text."""
+        dense = np.minimum(10.0, 100.0 * self.total / np.maximum(self.n_words, 1)) / 10
+        return np.column_stack([np.log1p(self.total), self.total >= 2, self.total == 0, dense])
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        """The classifier's probability for each text."""
+        z = np.bincount(self.doc, weights[self.entry] * np.log1p(self.count), minlength=len(self.total)) + self.summary() @ weights[-5:-1] + weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def _votes(known: Lexicon):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(_Hits(known, part.column("text")).votes, pa.string())], ["votes"])
+
+    return run
+
 
+def _examples(known: Lexicon):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                data, offsets = text_bytes(part.column("text"))
-                words = words_of(data, offsets, ALNUM)
-                first, found = words.first, []
-                for terms in _terms(words):
-                    at = np.minimum(np.searchsorted(sorted_terms, terms), len(sorted_terms) - 1)
-                    hit = np.flatnonzero(sorted_terms[at] == terms)
-                    found.append(np.stack([hit, at[hit]]))
-                place, entry = np.concatenate(found, axis=1)
-                doc = np.searchsorted(first, place, side="right") - 1
-                upper = _per_text((data >= 65) & (data <= 90), offsets)
-                calls = _per_text((data[:-1] == 33) & ((data[1:] == 33) | (data[1:] == 49)), np.minimum(offsets, max(len(data) - 1, 0)))
-                rows = []
-                for i in range(part.num_rows):
-                    mine = doc == i
-                    shout = 2 * upper[i] > offsets[i + 1] - offsets[i]
-                    rows.append(_row(known, int(first[i + 1] - first[i]), place[mine], entry[mine], shout, calls[i] > 3))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(k) for k in keep] + [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())],
-                    [*keep, "entries", "counts", "votes", "n_words"],
-                )
+                hits = _Hits(known, part.column("text"))
+                bounds = pa.array(np.searchsorted(hits.doc, np.arange(part.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (hits.entry, hits.count)]
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), *lists, pa.array(hits.votes, pa.string()), pa.array(hits.summary().tolist(), pa.list_(pa.float64()))], ["toxic", "entries", "counts", "votes", "summary"])
 
     return run
 
@@ -179,22 +231,6 @@ def _per_text(mark: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(mark, dtype=np.int64)])[offsets])
 
 
-def _row(known: Lexicon, n_words: int, place: np.ndarray, entry: np.ndarray, shout: bool, calls: bool) -> tuple:
-    entries, counts = np.unique(entry, return_counts=True)
-    groups = set(known.group[entries].tolist())
-    hit_words = np.unique(place)
-    vote = lambda yes, no=True: "+" if yes else "-" if no else "0"
-    votes = [vote(g in groups) for g in range(len(ABUSE) - 1)] + [vote(len(ABUSE) + g in groups) for g in range(MINED_GROUPS)]
-    votes += [
-        vote(len(hit_words) >= 2, not len(hit_words)),
-        vote(100 * len(hit_words) >= n_words > 0 and len(hit_words), not len(hit_words)),
-        vote(len(hit_words) > 1 and (np.diff(hit_words) <= 8).any(), not len(hit_words)),
-        vote(shout, False),
-        vote(calls or len(ABUSE) - 1 in groups, False),
-    ]
-    return entries.tolist(), counts.tolist(), "".join(votes), n_words
-
-
 def label_model(patterns: list[str], counts: np.ndarray, toxic: np.ndarray, clean: np.ndarray, rounds: int = 30) -> np.ndarray:
     """The probability of the toxic class for each pattern of votes.
 
@@ -251,64 +287,96 @@ def _tree(one_hot: np.ndarray, mass: np.ndarray) -> list[int]:
     return parent
 
 
-def _features(size: int, entries: list[int], counts: list[int], n_words: int) -> np.ndarray:
-    x = np.zeros(size + 4, dtype=np.float32)
-    total = sum(counts)
-    x[entries] = np.log1p(counts)
-    x[size:] = np.log1p(total), total >= 2, total == 0, min(10.0, 100.0 * total / max(n_words, 1)) / 10
-    return x
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 40) -> np.ndarray:
+    """Weights (the last is the constant) of a logistic regression on labels between 0 and 1, by Newton steps that are halved until they help."""
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+    w = np.zeros(x.shape[1])
 
+    def loss(w):
+        z = np.clip(x @ w, -50, 50)
+        return np.mean(np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z) + penalty * w @ w / 2
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 400) -> np.ndarray:
-    """Weights (the last is the constant) of a logistic regression on labels between 0 and 1, by accelerated gradient steps."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros(x.shape[1])
-    steps = 4.0 / (np.square(x).sum(axis=1).max() + 1e-9)
-    at, last = w.copy(), 1.0
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ at, -50, 50)))
-        grad = x.T @ (p - y) / len(x) + penalty * at
-        new = at - steps * grad
-        t = (1 + np.sqrt(1 + 4 * last * last)) / 2
-        at, w, last = new + (last - 1) / t * (new - w), new, t
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        grad = x.T @ (p - y) / len(x) + penalty * w
+        curve = (x * (p * (1 - p))[:, None]).T @ x / len(x) + penalty * np.eye(len(w))
+        step = np.linalg.solve(curve, grad)
+        while (new := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        w, before, now = w - step, now, new
+        if before - now < 1e-10:
+            break
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", bound: int = SAMPLE) -> DataFrame:
-    """A row for each row of docs: doc_id, score (0 to 1), predicted (1 if the score is 0.5 at least)."""
-    spark = docs.sparkSession
-    docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sample = written(sample_of(docs, labels, bound), "labelled")
+@dataclass
+class Model:
+    known: Lexicon
+    weights: np.ndarray
+
+
+def _posterior(q: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """q with a label (1, 0, -1: none) as one more voter."""
+    q = np.clip(q, 1e-9, 1 - 1e-9)
+    z = np.log(q / (1 - q)) + np.log(TRUST / (1 - TRUST)) * np.where(toxic < 0, 0, 2 * toxic - 1)
+    return 1 / (1 + np.exp(-z))
+
+
+def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, others: int = UNLABELLED) -> Model:
+    """Lexicon and classifier, from documents (doc_id, text) and labels (doc_id, toxic)."""
+    sample = written(sample_of(docs, labels, bound).select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
     known = lexicon(mined_terms(sample))
     size = len(known.terms)
-    more = "entries array<int>, counts array<int>, votes string, n_words long"
-    described = written(docs.mapInArrow(_described(known, ["doc_id"]), f"doc_id {kind}, {more}"), "votes")
-    learnt = sample.mapInArrow(_described(known, ["doc_id", "toxic"]), f"doc_id {kind}, toxic int, {more}").select("toxic", "entries", "counts", "votes", "n_words").collect()
-    by_votes = {r.votes: r.n for r in described.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    patterns = sorted({*by_votes, *(r.votes for r in learnt)})
-    if not patterns:
-        return docs.select(F.col("doc_id").alias(doc_id), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    by_votes = {r.votes: r.n for r in docs.select("text").mapInArrow(_votes(known), "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    texts = sample.unionByName(others_of(docs, others).withColumn("toxic", F.lit(-1)))
+    rows = texts.mapInArrow(_examples(known), "toxic int, entries array<int>, counts array<int>, votes string, summary array<double>").collect()
+    rows = sorted(rows, key=lambda r: (r.toxic, r.votes, r.entries, r.counts, r.summary))  # the same sums whatever the order of tasks
+    toxic = np.array([min(r.toxic, 1) for r in rows])
+    if not (toxic >= 0).any():
+        return Model(known, np.concatenate([np.full(size, 1.0), [1.0, 2.0, -2.0, 1.0], [-2.0]]))
+    patterns = sorted({*by_votes, *(r.votes for r in rows)})
     place = {p: i for i, p in enumerate(patterns)}
-    marks = np.zeros((2, len(patterns)))
-    for r in learnt:
-        marks[int(r.toxic > 0), place[r.votes]] += 1
-    posterior = label_model(patterns, np.array([by_votes.get(p, 0) for p in patterns], float), marks[1], marks[0])
-    if learnt:
-        x = np.array([_features(size, r.entries, r.counts, r.n_words) for r in learnt])
-        weights = fit_linear(x, np.array([posterior[place[r.votes]] for r in learnt]))
-    else:
-        weights = np.concatenate([np.full(size, 1.0), [1.0, 2.0, -2.0, 1.0], [-2.0]])
-    shared = spark.sparkContext.broadcast(weights)
-
-    def scored(batches):
-        w = shared.value
+    at = np.array([place[r.votes] for r in rows])
+    marks = [np.bincount(at[toxic == k], minlength=len(patterns)).astype(float) for k in (1, 0)]
+    q = label_model(patterns, np.array([by_votes.get(p, 0) for p in patterns], float), *marks)
+    x = np.zeros((len(rows), size + 4), dtype=np.float32)
+    for i, r in enumerate(rows):
+        x[i, r.entries] = np.log1p(r.counts)
+        x[i, size:] = r.summary
+    return Model(known, fit_linear(x, _posterior(q[at], toxic)))
+
+
+def scored(docs: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs, named k0, k1 and so on, and score."""
+    picked = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], *([] if text in keep else [docs[text].alias("text")]))
+    at = f"k{keep.index(text)}" if text in keep else "text"
+    keys = [f"k{i}" for i in range(len(keep))]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = shared.value
         for batch in batches:
-            if batch.num_rows:
-                x = np.array([_features(size, e, c, n) for e, c, n in zip(*(batch.column(k).to_pylist() for k in ("entries", "counts", "n_words")), strict=True)])
-                score = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -50, 50)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+            for part in slices(batch, at):
+                score = _Hits(own.known, part.column(at)).scores(own.weights)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(score, pa.float64())], [*keys, "score"])
+
+    kept = ", ".join(f"{k} {picked.schema[k].dataType.simpleString()}" for k in keys)
+    return picked.mapInArrow(run, f"{kept}, score double")
+
+
+def _named(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", bound: int = SAMPLE) -> DataFrame:
+    """A row for each row of docs: doc_id, score (0 to 1), predicted (1 if the score is 0.5 at least)."""
+    rows = scored(docs, fit(_named(docs, text, doc_id), labels, bound), text, [doc_id])
+    return rows.select(F.col("k0").alias(doc_id), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
 
-    out = described.mapInArrow(scored, f"doc_id {kind}, score double, predicted int")
-    return out.select(F.col("doc_id").alias(doc_id), "score", "predicted")
+def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", bound: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, that score less than 0.5. Columns go through the operator, so nothing is joined or shuffled for them."""
+    names = docs.columns
+    rows = scored(docs, fit(_named(docs, text, doc_id), labels, bound), text, names)
+    return rows.filter("score < 0.5").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)])

@@ -3,8 +3,8 @@
 Prefix sums of turn tokens place each turn on its conversation's token line. The
 line is cut every `room` tokens: the turns that lie between two cuts are a
 window, and a turn across a cut is a window of its own, so windows are aligned
-to turns. Each window begins with the conversation's system turn and repeats the
-turns before it that begin within the last `history` tokens, the nearest ones
+to turns. Each window after the conversation's system turn (its first, if it has
+several) begins with it, and each repeats the turns before it that begin within the last `history` tokens, the nearest ones
 as far as they fit; what is repeated is left out of the loss mask, so each
 assistant text is a target once. Windows keep within the budget unless a turn
 and the system turn together exceed it.
@@ -15,7 +15,11 @@ one that leaves nothing exceeds the budget in every window, which then has the
 usual least room, so that it is not repeated for each turn.
 
 A long conversation is never ordered in one task: sums are taken in blocks of
-turns, then over the blocks, and history travels to the next windows by key.
+turn numbers, then over the blocks, and history travels to the next windows by
+key. Turns that share a number, or have none, are in one block.
+
+Tokens of a turn are a column that a tokenizer stage has made (`tokens`), or
+else, and where that is null, an estimate from the text.
 
 Texts may hold anything: control strings and the escape character itself are
 escaped, and unescaped() gives the text back. Null roles and texts count as
@@ -54,14 +58,14 @@ def unescaped(text: Column, line: bool = False) -> Column:
 
 def turn_tokens(text: Column) -> Column:
     """Tokens of a text for the budget: runs of letters and digits, and single other characters that are not white space."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + MARKERS
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{N}]"))
 
 
 def _placed(turns: DataFrame) -> DataFrame:
     """Turns with `place` and `start`: the number of turns and of tokens before them in the conversation."""
     order = ["turn", "role", "text"]
     block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62)))
-    turns = turns.withColumn("block", block).withColumn("tokens", turn_tokens(F.col("text")).cast("long"))
+    turns = turns.withColumn("block", block).withColumn("tokens", (F.coalesce("tokens", turn_tokens(F.col("text"))) + MARKERS).cast("long"))
     totals = turns.groupBy("conv_id", "block").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("conv_id").alias("of"), F.col("block").alias("at"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"))
@@ -71,14 +75,14 @@ def _placed(turns: DataFrame) -> DataFrame:
     return both.select("conv_id", "role", "text", "tokens", (F.col("n") + F.col("own_n")).alias("place"), (F.col("t") + F.col("own_t")).alias("start"))
 
 
-def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFrame:
-    """Training windows of conversations (conv_id, turn, role, text).
+def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256, tokens: str | None = None) -> DataFrame:
+    """Training windows of conversations (conv_id, turn, role, text, and tokens in the column of that name, if one is given).
 
     Columns: conv_id, window (in order), formatted, n_repeated (turns at its
     beginning that are repeated), tokens, loss_spans (first, length: code points
     of formatted that are targets).
     """
-    turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), (F.col(tokens) if tokens else F.lit(None)).cast("long").alias("tokens"))
     placed = _placed(turns)
     system = placed.filter("role = 'system'").groupBy("conv_id").agg(F.min(F.struct("place", "tokens", "role", "text")).alias("system")).withColumnRenamed("conv_id", "of")
     placed = placed.join(system, placed["conv_id"].eqNullSafe(system["of"]), "left").drop("of")
@@ -97,13 +101,13 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> Da
 
     windows = windows.withColumn("free", F.expr(f"""
         {budget} - aggregate(turns, 0L, (n, x) -> n + IF(x.repeated, 0L, x.tokens))
-        - IF(system is null or exists(turns, x -> not x.repeated and x.place = system.place), 0L, system.tokens)
+        - IF(system.place < first.place, system.tokens, 0L)
     """))
     between = "first.start - x.start - IF(system.place >= x.place and system.place < first.place, system.tokens, 0L)"
     kept = F.expr(f"filter(turns, x -> not x.repeated or x.start >= first.start - {history} and (x.place <=> system.place or {between} <= free))")
     windows = windows.withColumn("turns", kept)
     again = "array(named_struct('place', system.place, 'start', 0L, 'tokens', system.tokens, 'repeated', true, 'role', system.role, 'text', system.text))"
-    windows = windows.withColumn("turns", F.expr(f"IF(system is null or exists(turns, x -> x.place = system.place), turns, concat({again}, turns))"))
+    windows = windows.withColumn("turns", F.expr(f"IF(system.place < first.place and not exists(turns, x -> x.place = system.place), concat({again}, turns), turns)"))
     parts = F.transform(
         "turns",
         lambda x: F.struct(

@@ -15,6 +15,9 @@ from ledgerlark.plans.tables import read_table
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
+#: Tokens of a chat window, and of what it repeats at most.
+CHAT_BUDGET, CHAT_HISTORY = 512, 96
+
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "token-shards")
@@ -26,7 +29,7 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = spark.sql("SELECT -1L AS conv_id, id AS turn, IF(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(tricky)
-    windows = chat.chat_windows(turns)
+    windows = chat.chat_windows(turns, CHAT_BUDGET, CHAT_HISTORY)
     # all that follows is read back from the formatted windows
     new = F.expr("slice(turns, n_repeated + 1, size(turns))")
     read = windows.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("new", new).withColumn("targets", chat.read_targets(F.col("formatted"), F.col("loss_spans")))
@@ -37,7 +40,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.stratified_shards(read_table(spark, sf_dir, "documents"), shards=24, seed=7, middle=True)
+    placed = sharding.stratified_shards(read_table(spark, sf_dir, "documents"), shards=24, seed=7)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source", "position")
 
 
@@ -87,7 +90,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_site_quality": op10_site_quality,
 }
 
+def _escaped_sql(text: str, line: bool = False) -> str:
+    for plain, code in [*chat._CODES, *([chat._LINE] if line else [])]:
+        plain, code = (x.replace("\x1b", "' || chr(27) || '").replace("\n", "' || chr(10) || '") for x in (plain, code))
+        text = f"replace({text}, '{plain}', '{code}')"
+    return text
+
+
+_CHAT_ROOM = f"greatest(left_of - {CHAT_HISTORY}, CASE WHEN left_of > 0 THEN least(left_of, {max(CHAT_BUDGET // 4, CHAT_HISTORY)}) ELSE {max(CHAT_BUDGET // 4, CHAT_HISTORY)} END)"
 ORACLES: dict[str, str] = {
+    "op2_chat_format": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        n AS (SELECT conv_id, turn, role, text, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\x09-\\x0D\\x20\\p{{L}}\\p{{N}}]')) + {chat.MARKERS} AS tokens,
+                length({_escaped_sql("role", line=True)}) + length({_escaped_sql("text")}) + {len(chat.BEGIN) + len(chat.END) + 2} AS chars FROM t),
+        p AS (SELECT *, row_number() OVER o - 1 AS place, sum(tokens) OVER o - tokens AS start FROM n WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+        s AS (SELECT conv_id AS of, min(place) AS s_place, arg_min(tokens, place) AS s_tokens, arg_min(chars, place) AS s_chars FROM p WHERE role = 'system' GROUP BY 1),
+        r AS (SELECT *, {_CHAT_ROOM} AS room FROM (SELECT *, {CHAT_BUDGET} - coalesce(s_tokens, 0) AS left_of FROM p LEFT JOIN s ON conv_id IS NOT DISTINCT FROM of)),
+        w AS (SELECT *, start // room AS cut, 2 * (start // room) + CASE WHEN (start + tokens - 1) // room > start // room THEN 1 ELSE 0 END AS win FROM r),
+        f AS (SELECT conv_id, win, min(place) AS first_place, min(start) AS first_start, sum(chars) AS own_chars, any_value(s_place) AS s_place, any_value(s_tokens) AS s_tokens, any_value(s_chars) AS s_chars,
+                {CHAT_BUDGET} - sum(tokens) - CASE WHEN any_value(s_place) < min(place) THEN any_value(s_tokens) ELSE 0 END AS free FROM w GROUP BY 1, 2),
+        h AS (SELECT f.conv_id, f.win, sum(x.chars) AS chars, bool_or(x.place = f.s_place) AS has_system FROM f JOIN w x ON f.conv_id IS NOT DISTINCT FROM x.conv_id AND x.place < f.first_place AND x.cut >= f.win // 2 - 1 AND x.start >= f.first_start - {CHAT_HISTORY}
+              WHERE x.place IS NOT DISTINCT FROM f.s_place OR f.first_start - x.start - CASE WHEN f.s_place >= x.place AND f.s_place < f.first_place THEN f.s_tokens ELSE 0 END <= f.free GROUP BY 1, 2),
+        c AS (SELECT f.conv_id, sum(own_chars + coalesce(chars, 0) + CASE WHEN s_place < first_place AND NOT coalesce(has_system, false) THEN s_chars ELSE 0 END) AS chars, count(*) AS n_windows
+              FROM f LEFT JOIN h ON f.conv_id IS NOT DISTINCT FROM h.conv_id AND f.win = h.win GROUP BY 1),
+        d AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss FROM p GROUP BY 1)
+        SELECT d.conv_id, CAST(n_turns AS BIGINT) AS n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars, CAST(n_windows AS BIGINT) AS n_windows
+        FROM d JOIN c ON d.conv_id IS NOT DISTINCT FROM c.conv_id
+    """,
     "op4_stratified_shards": """
         WITH RECURSIVE t(i, c, k) AS (SELECT i, i, 0 FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM t WHERE k < 8),
         crcs AS (SELECT list(c ORDER BY i) AS crc FROM t WHERE k = 8),
@@ -95,7 +125,7 @@ ORACLES: dict[str, str] = {
                     list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)) AS b FROM documents),
         d AS (SELECT doc_id, source, size, xor(list_reduce(b, lambda a, x: xor(a // 256, crc[xor(a, x) % 256 + 1])), 4294967295) AS text_crc32 FROM bytes, crcs),
         r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws('|', '7', doc_id, text_crc32)), doc_id, size) - 1 AS rank, count(*) OVER (PARTITION BY source) AS n FROM d),
-        p AS (SELECT *, row_number() OVER (ORDER BY (rank + 0.5::DOUBLE) / n, source, rank) - 1 AS position, count(*) OVER () AS whole FROM r),
+        p AS (SELECT *, row_number() OVER (ORDER BY (rank + ('0x' || substr(md5('7|' || coalesce('s' || source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE) / n, coalesce('s' || source, 'n'), rank) - 1 AS position, count(*) OVER () AS whole FROM r),
         q AS (SELECT *, position * 24 // whole AS shard FROM p)
         SELECT doc_id, source, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, position - (shard * whole + 23) // 24 AS slot, CAST(NULL AS INTEGER) AS grown_shard, position FROM q
     """,

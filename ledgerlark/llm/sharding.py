@@ -9,10 +9,6 @@ shard's range begins and ends depends on the hashes of all sources, so with n
 sources a shard's length in the order varies by about the root of n rows, and a
 large source's part of it by its share of that.
 
-With `middle`, u is 1/2 for all sources. Then many sources of the same few rows
-all have the same fractional ranks, fill some shards alone and push the others
-out of them. The registered query's SQL has this law.
-
 Ranks over a large group never need the group in one task. Rows fall into about
 rows / `CELL` cells by the leading digits of what they are sorted by; a rank is
 the number of rows in earlier cells, from a sum over the cells' counts, and the
@@ -44,7 +40,7 @@ def _ranked(df: DataFrame, group: list[str], cell: str, order: list[str], rank:
     return placed.join(offsets, [*group, cell]).withColumn(rank, F.col("__offset") + F.col("__place")).drop("__offset", "__place")
 
 
-def stratified_shards(docs: DataFrame, shards: int, seed: int = 0, text: str = "text", doc_id: str = "doc_id", source: str = "source", middle: bool = False) -> DataFrame:
+def stratified_shards(docs: DataFrame, shards: int, seed: int = 0, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """A row for each row of docs: doc_id, source, size, text_crc32, position (in the order of all rows), shard, slot (in the shard)."""
     size = F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long") + ROW_BYTES
     crc = F.crc32(F.coalesce(docs[text], F.lit("")).cast("binary"))
@@ -59,8 +55,7 @@ def stratified_shards(docs: DataFrame, shards: int, seed: int = 0, text: str = "
     ranked = _ranked(keyed, ["stratum"], "cell", ["key", "doc_id", "size"], "rank").drop("cell")
     sizes = base.groupBy("stratum").agg(F.count(F.lit(1)).alias("of"))
     hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("stratum")).cast("binary"))
-    offset = F.lit(0.5) if middle else F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / 2**32
-    sizes = sizes.withColumn("u", offset)
+    sizes = sizes.withColumn("u", F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / 2**32)
     spread = ranked.join(sizes, "stratum").withColumn("share", (F.col("rank") + F.col("u")) / F.col("of"))
     spread = spread.withColumn("cell", F.floor(F.col("share") * cells))
     placed = _ranked(spread, [], "cell", ["share", "stratum", "rank"], "position")

@@ -24,10 +24,8 @@ def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what operator 9 takes for toxic; of rows that repeat an id, all if one is."""
-    scores = toxicity.toxicity(docs, read_table(spark, sf_dir, "labels"))
-    toxic = scores.filter("predicted = 1").select(F.col("doc_id").alias("__of"))
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(F.col("__of")), "left_anti")
+    """Drops what operator 9 takes for toxic, each row by its own text."""
+    return toxicity.without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

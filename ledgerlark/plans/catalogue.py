@@ -452,10 +452,10 @@ def quote_normalise(spark, sf_dir):
     return valuation.normalised_quotes(raw).select(F.col("seq").alias("event_id"), or_else(F.col("price"), 1.0).alias("price"), "market_state", "symbol")
 
 
-@query("SELECT s_name AS ticker, s_acctbal AS ret, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place, s_nationkey FROM supplier")
+@query("SELECT s_name AS ticker, s_acctbal AS ret, s_suppkey % 10 AS shelf, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 10 ORDER BY s_acctbal DESC, s_suppkey) AS place, s_nationkey FROM supplier")
 def chart_projection(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("ticker"), F.col("s_acctbal").alias("ret"), "s_nationkey", "s_suppkey")
-    return ranking.numbered(rows, [F.desc("ret"), F.col("s_suppkey")], ["s_nationkey"], "place").drop("s_suppkey")
+    rows = read_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("ticker"), F.col("s_acctbal").alias("ret"), (F.col("s_suppkey") % 10).alias("shelf"), "s_nationkey", "s_suppkey")
+    return ranking.numbered(rows, [F.desc("ret"), F.col("s_suppkey")], ["s_nationkey", "shelf"], "place").drop("s_suppkey")
 
 
 @query(f"""
@@ -521,9 +521,10 @@ def map_guard(spark, sf_dir):
     return maps.withColumn("n", F.size(F.map_keys("prices")).cast("bigint")).filter("n > 0").select("user_id", "n")
 
 
-@query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_name COLLATE icu_noaccent, p_partkey) AS place FROM part")
+@query("SELECT p_partkey, p_brand, p_partkey % 10 AS shelf, row_number() OVER (PARTITION BY p_brand, p_partkey % 10 ORDER BY p_name COLLATE icu_noaccent, p_partkey) AS place FROM part")
 def collated_sort(spark, sf_dir):
-    return ranking.numbered(read_table(spark, sf_dir, "part"), [F.collate(F.col("p_name"), "UNICODE"), F.col("p_partkey")], ["p_brand"], "place").select("p_partkey", "p_brand", "place")
+    parts = read_table(spark, sf_dir, "part").withColumn("shelf", F.col("p_partkey") % 10)
+    return ranking.numbered(parts, [F.collate(F.col("p_name"), "UNICODE"), F.col("p_partkey")], ["p_brand", "shelf"], "place").select("p_partkey", "p_brand", "shelf", "place")
 
 
 @query("SELECT event_id, abs(value - 20) AS away, floor(value * 10 + 0.5) / 10.0::DOUBLE AS rounded, try_cast(event_type AS DOUBLE) AS no_number, value * 9 / 52 AS part, CASE WHEN value <> 0 THEN value * 100 END AS pct FROM events")

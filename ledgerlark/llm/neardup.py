@@ -14,7 +14,8 @@ a region's size. Candidates are
 3. in larger regions that are still not connected, an exact rest: sets that
    regions hold together are ordered by rarity against a few of them, and a
    pair's first common shingle must leave room for the overlap that it needs.
-   Only sets outside the largest component look for partners.
+   Only sets outside the largest component look for partners. Where many sets
+   begin with the same shingle, they meet in pieces of a bounded size.
 
 So in a region every pair of similarity 0.8 or more is compared, or already
 connected. Two such sets miss all common regions with a probability of
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.llm.bytewords import NOT_SPACE, mixed, shingle_sets, slices, text_bytes, words_of
-from ledgerlark.llm.components import components
+from ledgerlark.llm.components import components, extended
 from ledgerlark.llm.scratch import written
 
 TREES, DEPTH = 32, 4
@@ -47,6 +48,8 @@ FIRST = 6
 SMALL, NEAR = 24, 3
 #: Sets that stand for those that regions hold together.
 HUBS = 8
+#: Members of a region, and sets that share a rare shingle, that are joined under one key; those of a larger one are dealt out over several.
+PIECE = 256
 #: Sets of a region that one task orders at most on average; a larger region is dealt out, its parts joined by their first sets.
 ORDERED = 4096
 
@@ -127,9 +130,11 @@ def _between_components(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """Members of regions with several components, with the number of sets of their region."""
-    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("region", "sets")
-    return members.join(sizes, "region")
+    """Members (with the number of sets of their region) of regions with several components; a large region is joined in pieces."""
+    pieces = F.ceil(F.col("sets") / PIECE).cast("int")
+    open_ = members.groupBy("region").agg(F.max("sets").alias("sets"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    open_ = open_.select("region", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    return members.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int")).join(open_, ["region", "piece"]).drop("piece")
 
 
 def _shingles(words: int):
@@ -177,8 +182,13 @@ def _rest(members: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     common = hubs.mapInArrow(_shingles(words), "cluster long, shingle long").groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").groupBy("cluster").agg(F.collect_list("shingle").alias("common"))
     described = nodes.join(texts, "node").join(common, "cluster", "left").select("cluster", "node", "n", "component", "outside", "text", "common")
     rows = written(described.mapInArrow(_rare_first(words, percent), "cluster long, node long, n long, component long, outside boolean, shingle long, place long"), "rare-first")
-    side = lambda df, x: df.select("cluster", "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "outside", "place")])
-    met = side(rows.filter("outside"), "a").join(side(rows, "b"), ["cluster", "shingle"])
+    # a shingle that many sets begin with: those that look for partners meet the others in pieces
+    often = rows.groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > PIECE).select("cluster", "shingle", F.ceil(F.col("k") / PIECE).cast("int").alias("pieces"))
+    often = written(often, "often")  # written, so that the join can deal out such a shingle's rows
+    rows = written(rows.join(often, ["cluster", "shingle"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1))), "in-pieces")
+    side = lambda df, x: df.select("cluster", "shingle", "piece", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "component", "outside", "place")])
+    seeking = rows.filter("outside").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    met = side(seeking, "a").join(side(rows.withColumn("piece", F.pmod(F.xxhash64("node"), "pieces").cast("int")), "b"), ["cluster", "shingle", "piece"])
     needed = F.expr(f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}")
     met = met.filter((F.col("component_a") != F.col("component_b")) & (~F.col("outside_b") | (F.col("node_a") < F.col("node_b"))) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= needed))
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
@@ -199,18 +209,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     members = in_trees.join(shared, "region").withColumn("part", F.when(F.col("sets") > ORDERED, F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / ORDERED))).otherwise(0))
     order = Window.partitionBy("region", "part").orderBy("further", "node")
     lags = [F.struct(F.lag("node", k).over(order).alias("node"), F.lag("n", k).over(order).alias("n")) for k in range(1, NEAR + 1)]
-    members = written(members.select("region", "tree", "node", "n", "first", F.filter(F.array(*lags), lambda x: x["node"].isNotNull()).alias("before")), "members")
+    members = written(members.select("region", "tree", "node", "n", "first", "sets", F.filter(F.array(*lags), lambda x: x["node"].isNotNull()).alias("before")), "members")
 
     texts = written(docs.join(members.select("node").distinct(), docs["doc_id"] == F.col("node")).select("node", "text"), "texts")
     head = F.when((F.size("before") == 0) & (F.col("first") != F.col("node")), F.col("first"))
     last = members.filter(F.col("tree") < FIRST).select(F.coalesce(F.get("before", F.lit(0))["node"], head).alias("x"), F.col("node").alias("y"), F.coalesce(F.get("before", F.lit(0))["n"], "n").alias("n_a"), F.col("n").alias("n_b"))
     near = last.filter("x is not null").filter(_alike_in_size(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = written(confirmed(near, texts, words, percent), "links")
-    found = components(links)
+    found = written(components(confirmed(near, texts, words, percent)), "components")
 
     # regions that these neighbours have not connected
     at = F.coalesce("component", "node").alias("component")
-    open_ = written(_unsettled(members.join(found, "node", "left").select("region", "tree", "node", "n", "before", at)), "unsettled")
+    open_ = written(_unsettled(members.join(found, "node", "left").select("region", "tree", "node", "n", "sets", "before", at)), "unsettled")
     if not open_.isEmpty():
         small = open_.filter(F.col("sets") <= SMALL).join(sets.select("node", "prefixes"), "node")
         large = open_.filter(F.col("sets") > SMALL)
@@ -218,12 +227,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         beside = large.select(F.col("node").alias("y"), F.col("n").alias("n_b"), "component", F.explode("before").alias("b")).select(F.col("b.node").alias("x"), F.col("b.n").alias("n_a"), "y", "n_b", "component").filter(_alike_in_size(percent)).distinct()
         beside = beside.join(of, "x", "left").filter(F.coalesce("component_x", "x") != F.col("component")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         more = _between_components(small, percent).union(beside).distinct()
-        links = written(links.union(confirmed(more, texts, words, percent)), "links")
-        found = components(links)
-        open_ = written(_unsettled(large.drop("component", "sets").join(found, "node", "left").select("region", "node", "n", at)), "unsettled")
+        found = extended(found, confirmed(more, texts, words, percent))
+        open_ = written(_unsettled(large.drop("component").join(found, "node", "left").select("region", "node", "n", "sets", at)), "unsettled")
         if not open_.isEmpty():
-            links = written(links.union(confirmed(_rest(open_, texts, words, percent), texts, words, percent)), "links")
-            found = components(links)
+            found = extended(found, confirmed(_rest(open_, texts, words, percent), texts, words, percent))
     classes = sets.select("set", "node").join(found, "node", "left").select("set", F.coalesce("component", "node").alias("class"))
     out = rows.select("doc_id", "n_shingles", "set").join(classes, "set", "left")
     component = F.coalesce("class", "doc_id")

@@ -5,24 +5,29 @@ good. Sites add to it: the mean of p over a host's documents, and over those of
 a path of that host, are evidence about what stands there. Means of few
 documents say little, so they are shrunk: a path's towards its host's, a host's
 towards the global one, by prior weights that are estimated from how much the
-means of hosts, and of paths inside hosts, differ beyond chance (method of
-moments). A document itself is left out of its site's means. Its score is
+means of hosts, and of paths inside hosts, differ beyond chance. With w the
+variance of p inside groups and b the variance between their true means, both by
+the method of moments (one-way analysis of variance with unequal groups), a
+prior weighs w / b documents (at least 1, at most a million, the latter where
+nothing differs beyond chance). A document itself is left out of its site's
+means. Its score is
 
     logit(score) = logit(p) - logit(global mean) + logit(shrunk mean of its path)
 
-Sums run over all documents, partially aggregated before they are shuffled, in
-millionths, so they do not depend on the order of rows.
+Sums run over all documents, partially aggregated before they are shuffled, as
+whole numbers (millionths and their squares), so they do not depend on the order
+of rows.
 
 The classifier is an additive logistic model over quantile bins of text
 statistics, fitted on `SAMPLE` labelled rows at most, one an id (ids and texts
 with the smallest hashes), for whose id `crc32(id as text) mod 5` is not 0. Without labels p is the
 same for all. Null and empty texts have the statistics of an empty text; null
-hosts and paths are each a site. Repeated rows are each scored. Further columns
-are ignored.
+hosts and paths are each a site. Repeated rows are each scored. Labels may be of
+any type that can be cast to int. Further columns are ignored.
 
-`documents` has no url. By default, and in the registered query, source stands
-for the host and lang for the path, so sites there are few and large; sparse
-sites, for which means are shrunk, occur only where a caller names other columns.
+page_rows() makes rows of web pages, whose urls have hosts and paths. `documents`
+has no url: in the registered query source stands for the host and lang for the
+path there, beside all pages.
 """
 
 from __future__ import annotations
@@ -77,13 +82,14 @@ def _fitted(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(statistics(part.column("text")).tolist(), pa.list_(pa.float64())), part.column("quality")], ["x", "quality"])
 
-    rows = sample.select("text", "quality").mapInArrow(run, "x array<double>, quality int").orderBy("quality", "x").collect()
+    rows = sample.select("text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "x array<double>, quality int").collect()
+    rows = sorted(rows, key=lambda r: (r.quality, r.x))  # the same sums whatever the order of tasks
     width = statistics(pa.array([""])).shape[1]
     if not rows:
         return np.zeros((width, BINS)), np.zeros(width * (BINS + 1) + 1)
     x = np.array([r.x for r in rows])
     edges = np.quantile(x, np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
-    return edges, fit_linear(_binned(x, edges), np.array([float(r.quality > 0) for r in rows]), penalty=1e-4, rounds=600)
+    return edges, fit_linear(_binned(x, edges), np.array([float(r.quality > 0) for r in rows]), penalty=1e-4)
 
 
 def classified(docs: DataFrame, labels: DataFrame, keep: list[str], bound: int = SAMPLE) -> DataFrame:
@@ -106,18 +112,28 @@ def classified(docs: DataFrame, labels: DataFrame, keep: list[str], bound: int =
     return docs.select(*keep, "text").mapInArrow(run, f"{schema}, p long")
 
 
-def _weight(groups: DataFrame, parent_mean: F.Column, n: str, total: str) -> F.Column:
-    """The prior weight m of Beta(m * mean, m * (1 - mean)) that fits how group means differ, as an aggregate.
+def page_rows(pages: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, host, path) of pages (page_id, url, html): doc_id is -1 - page_id, path the url's path up to its last part, text what is shown."""
+    url = F.col("url")
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    path = F.regexp_replace(F.regexp_replace(F.try_parse_url(url, F.lit("PATH")), "/+$", ""), "/[^/]*$", "")
+    shown = F.regexp_replace("html", r"(?is)<!--.*?-->|<(script|style|nav|head)\b.*?</\1\s*>", " ")
+    shown = F.regexp_replace(F.regexp_replace(shown, r"(?i)<(br|/?p|/?h[1-6]|/?div|/?li|/?tr)\b[^>]*>", "\n"), r"<[^>]*>", " ")
+    for code, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        shown = F.replace(shown, F.lit(code), F.lit(sign))
+    return pages.select((-1 - F.col("page_id")).cast("long").alias("doc_id"), F.trim(shown).alias("text"), host.alias("host"), path.alias("path"))
 
-    With v the mean of p(1-p) and d the mean squared difference from the
-    parent's mean beyond what the groups' own sizes explain: m = v / d - 1.
-    """
-    mean = F.col(total) / F.col(n) / 1e6
-    between = F.sum(F.col(n) * F.pow(mean - parent_mean, 2))
-    noise = F.sum(parent_mean * (1 - parent_mean))
-    spread = (between - noise) / F.sum(n)
-    v = F.sum(F.col(n) * parent_mean * (1 - parent_mean)) / F.sum(n)
-    return F.when(spread > v * 1e-6, F.least(F.lit(1e6), F.greatest(F.lit(1.0), v / spread - 1))).otherwise(F.lit(1e6))
+
+def _squares(n: str, total: str, squares: str) -> F.Column:
+    """The sum of squared differences from a group's mean, from its sums."""
+    return F.greatest(F.lit(0.0), F.col(squares).cast("double") - F.pow(F.col(total).cast("double"), 2) / F.col(n)) / 1e12
+
+
+def _prior(inside: float, between: float, rows: int, groups: int, parents: int, spread: float) -> float:
+    """How many documents a prior weighs; spread: the rows less what the groups' sizes take (sums of squared sizes over the parents' sizes)."""
+    w = inside / max(1, rows - groups)
+    b = (between - (groups - parents) * w) / spread if spread > 0 else 0.0
+    return min(1e6, max(1.0, w / b)) if b > 0 else 1e6
 
 
 def quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", host: str = "source", path: str = "lang", bound: int = SAMPLE) -> DataFrame:
@@ -125,16 +141,18 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     site = lambda c: F.coalesce(F.concat(F.lit("s"), docs[c].cast("string")), F.lit("n"))
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"), site(host).alias("host"), site(path).alias("path"))
     rows = written(classified(docs, labels, ["doc_id", "host", "path"], bound), "classified")
-    paths = written(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("t")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("t").alias("ht"))
-    whole = hosts.agg(F.sum("hn").alias("gn"), F.sum("ht").alias("gt")).withColumn("mean", F.col("gt") / F.col("gn") / 1e6)
-    host_weight = hosts.crossJoin(F.broadcast(whole)).agg(_weight(hosts, F.col("mean"), "hn", "ht").alias("m_host"))
-    path_weight = paths.join(hosts, "host").agg(_weight(paths, F.col("ht") / F.col("hn") / 1e6, "n", "t").alias("m_path"))
-    prior = whole.crossJoin(F.broadcast(host_weight)).crossJoin(F.broadcast(path_weight)).first()
-    if prior is None or prior["gn"] is None:
-        mean, m_host, m_path = 0.5, 1.0, 1.0
-    else:
-        mean, m_host, m_path = prior["mean"], prior["m_host"], prior["m_path"]
+    square = (F.col("p") * F.col("p")).cast("decimal(38,0)")
+    paths = written(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("t"), F.sum(square).alias("s")), "paths")
+    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("t").alias("ht"), F.sum("s").alias("hs")), "hosts")
+    whole = hosts.agg(F.sum("hn").alias("n"), F.sum("ht").alias("t"), F.count(F.lit(1)).alias("hosts"), F.sum(_squares("hn", "ht", "hs")).alias("inside"), F.sum(F.pow("hn", F.lit(2))).alias("sizes")).first()
+    mean, m_host, m_path = 0.5, 1.0, 1.0
+    if whole.n:
+        mean = whole.t / whole.n / 1e6
+        apart = lambda n, t, of: F.col(n) * F.pow(F.col(t) / F.col(n) / 1e6 - of, 2)
+        between = hosts.agg(F.sum(apart("hn", "ht", F.lit(mean))).alias("b")).first().b
+        m_host = _prior(whole.inside, between, whole.n, whole.hosts, 1, whole.n - whole.sizes / whole.n)
+        nested = paths.join(hosts, "host").agg(F.count(F.lit(1)).alias("paths"), F.sum(_squares("n", "t", "s")).alias("inside"), F.sum(apart("n", "t", F.col("ht") / F.col("hn") / 1e6)).alias("b"), F.sum(F.pow("n", F.lit(2)) / F.col("hn")).alias("sizes")).first()
+        m_path = _prior(nested.inside, nested.b, whole.n, nested.paths, whole.hosts, whole.n - nested.sizes)
     sites = paths.join(hosts, "host")
     both = rows.join(sites, ["host", "path"])
     own = F.col("p")

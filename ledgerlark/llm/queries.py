@@ -73,7 +73,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    rows = docs.unionByName(quality.page_rows(read_table(spark, sf_dir, "pages")))
+    scores = quality.quality(rows, read_table(spark, sf_dir, "labels"), host="host", path="path")
     return scores.withColumn("held_out", toxicity.held_out(F.col("doc_id"))).withColumn("kept", F.col("predicted") == 1)
 
 

@@ -1,11 +1,17 @@
 """Tables between two steps, in the folder that all executors share.
 
+It is the one that spark.checkpoint.dir names, or else the context's. Without
+either, only a session whose executors are threads of the driver gets a new
+local folder; any other is an error, since executors would write to disks that
+the others do not see.
+
 They stay until that folder is cleared, since a result that is read later needs
 them.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests on one machine), a new one is set."""
+    """The folder named in spark.checkpoint.dir, or the context's checkpoint folder."""
     context = spark.sparkContext
     if folder := context.getConf().get("spark.checkpoint.dir"):
         return folder.rstrip("/")
     if not context.getCheckpointDir():
+        if not re.match(r"local(\[.*\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     return context.getCheckpointDir().rstrip("/")
 

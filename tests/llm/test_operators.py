@@ -192,6 +192,18 @@ def test_near_duplicates_by_the_exact_rest(spark, monkeypatch):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == brute_components(texts, 2)
 
 
+def test_large_regions_meet_in_pieces(spark, monkeypatch):
+    texts = list(copies(np.random.default_rng(9), 100, 120, 12))
+    monkeypatch.setattr(neardup, "PIECE", 7)
+    for name in ("FIRST", "NEAR"):
+        monkeypatch.setattr(neardup, name, 1)
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    rest, seen = neardup._rest, []
+    monkeypatch.setattr(neardup, "_rest", lambda members, *a: seen.append(members.count()) or rest(members, *a))
+    got = by_id(neardup.near_duplicates(docs_of(spark, texts), words=2))
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == brute_components(texts, 2) and seen[0] > 7
+
+
 def test_pairs_of_a_small_region_are_all_confirmed(spark):
     members = spark.createDataFrame([(1, 0, i, 10, i, bytes([i] * 128), [7] * 32) for i in (5, 6)], "region long, tree int, node long, n long, component long, sketch binary, prefixes array<long>")
     assert [(r.a, r.b) for r in neardup._between_components(members, 80).collect()] == [(5, 6)]
@@ -204,11 +216,18 @@ def test_near_duplicates_of_nothing_and_without_ids(docs, spark):
     assert got == [(0, None, True), (3, 3, True), (3, 3, True), (5, 3, False), (9, 9, True)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [components.FINISH, 0, 60])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(components, "FINISH", finish)
     path = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)] + [(900, x) for x in range(901, 960)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(path, "a bigint, b bigint")).collect()}
     assert set(got) == {*range(201), 500, 501, *range(900, 960)}
     assert all(c == (0 if v <= 200 else 500 if v < 600 else 900) for v, c in got.items())
+    found = components.components(spark.createDataFrame(path, "a bigint, b bigint"))
+    more = components.extended(found, spark.createDataFrame([(150, 501), (77, 960), (960, 961), (1, 2)], "a bigint, b bigint"))
+    wider = {r.node: r.component for r in more.collect()}
+    assert set(wider) == {*got, 77, 960, 961} and all(c == (0 if v <= 501 else 900 if v < 960 else 0) for v, c in wider.items() if v not in (77, 960, 961))
+    assert wider[77] == wider[960] == wider[961] == 0 and len(wider) == more.count()
 
 
 # operator 8
@@ -247,6 +266,8 @@ def test_decontamination(spark, monkeypatch, limit):
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.scan(rows, bench).collect()}
     want = brute_hits(SUSPECTS, ITEMS, 13)
     assert got == want
+    twice = rows.union(rows)
+    assert sorted((r.doc_id, r.n_hit) for r in decontam.scan(twice, bench).collect()) == sorted((d, x[1]) for d, x in want.items() for _ in range(2))
     left = decontam.without_documents(rows, bench)
     assert left.columns == rows.columns
     assert {r.doc_id for r in left.collect()} == {d for d, (n, h, _) in want.items() if not (h and 20 * h >= n)}
@@ -362,6 +383,95 @@ def test_sparse_sites_are_shrunk(labelled, spark):
     assert alone[0] < alone[2] <= alone[1]
 
 
+def test_site_posteriors_are_what_is_described(labelled, spark):
+    """Hosts and paths that differ, against the description worked out in Python."""
+    _, labels, rows = labelled
+    rng = np.random.default_rng(6)
+    good, bad = [t for _, t, q, _ in rows if q], [t for _, t, q, _ in rows if not q]
+    more = []
+    for h in range(12):
+        for p in range(int(rng.integers(1, 5))):
+            rate = np.clip(0.5 + (h - 6) / 20 + rng.normal(0, 0.15), 0, 1)
+            for _ in range(int(rng.integers(1, 30))):
+                pick = good if rng.random() < rate else bad
+                more.append((f"h{h}", f"/p{p}" if p else None, pick[int(rng.integers(0, len(pick)))]))
+    docs = spark.createDataFrame([(i, t, "train", "/") for i, t, _, _ in rows] + [(5000 + k, t, h, p) for k, (h, p, t) in enumerate(more)], "doc_id bigint, text string, host string, path string")
+    got = quality.quality(docs.union(docs.filter("doc_id = 5003")), labels, host="host", path="path").collect()  # a repeated row counts twice
+    p, site = np.array([r.p_text for r in got]), [(r.host, r.path) for r in got]
+    groups = lambda keys: {k: p[[i for i, x in enumerate(keys) if x == k]] for k in set(keys)}
+
+    def weight(own, parent_of, parents):
+        n, k = len(p), len(own)
+        inside = sum(((x - x.mean()) ** 2).sum() for x in own.values()) / (n - k)
+        between = sum(len(x) * (x.mean() - parent_of(key)[0]) ** 2 for key, x in own.items()) - (k - parents) * inside
+        spread = n - sum(len(x) ** 2 / parent_of(key)[1] for key, x in own.items())
+        return min(1e6, max(1.0, inside / (between / spread))) if between > 0 else 1e6
+
+    hosts, paths, mean = groups([h for h, _ in site]), groups(site), p.mean()
+    m_host = weight(hosts, lambda key: (mean, len(p)), 1)
+    m_path = weight(paths, lambda key: (hosts[key[0]].mean(), len(hosts[key[0]])), len(hosts))
+    assert 1 < m_host < 1e3 and 1 < m_path < 1e4
+    for r in got:
+        h, q = hosts[r.host], paths[r.host, r.path]
+        p_host = (h.sum() - r.p_text + m_host * mean) / (len(h) - 1 + m_host)
+        p_path = (q.sum() - r.p_text + m_path * p_host) / (len(q) - 1 + m_path)
+        z = np.log(r.p_text / (1 - r.p_text)) - np.log(mean / (1 - mean)) + np.log(p_path / (1 - p_path))
+        assert (r.p_host, r.p_path, r.score) == pytest.approx((p_host, p_path, 1 / (1 + np.exp(-z))), rel=1e-6)
+
+
+def test_page_rows(spark):
+    pages = [(0, "HTTP://Www.A.example/en/x/12.html?q=1#t", "<html><script>var a='<p>';</script><body><p>One &amp; two</p><!-- no --><b>three</b></body></html>"), (1, "http://b.example/", ""), (2, None, None), (3, "no url at all", "<p>")]
+    got = {r.doc_id: (r.host, r.path, r.text) for r in quality.page_rows(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert got[-1][:2] == ("www.a.example", "/en/x") and " ".join(got[-1][2].split()) == "One & two three"
+    assert got[-2] == ("b.example", "", "") and got[-3] == (None, None, None) and got[-4][0] is None
+
+
+def test_quality_and_toxicity_of_awkward_rows(labelled, docs, spark):
+    _, labels, _ = labelled
+    wide = labels.selectExpr("doc_id", "cast(quality as bigint) quality", "cast(toxic as string) toxic", "'x' text", "'x' source")
+    every = docs.union(docs).withColumn("score", F.lit("x")).withColumn("p", F.lit("x"))
+    for rows in (quality.quality(every, wide).collect(), toxicity.toxicity(every, wide).collect()):
+        assert len(rows) == 2 * len(TEXTS) and all(0 <= r.score <= 1 for r in rows)
+        scores = {}
+        for r in rows:
+            scores.setdefault(r.doc_id, set()).add(round(r.score, 9))
+        assert all(len(x) == 1 for x in scores.values())  # repeated rows score alike
+    left = toxicity.without_toxic(every, wide)
+    assert left.columns == every.columns and left.count() > len(TEXTS)
+
+
+def test_label_model_against_one_row_at_a_time():
+    """Expectation maximisation over single rows instead of patterns, with each step written out."""
+    rng = np.random.default_rng(5)
+    votes = ["".join(rng.choice(list("-0+"), 3, p=[0.6, 0.1, 0.3])) for _ in range(60)]
+    label = [int(rng.integers(0, 2)) if i < 12 else None for i in range(60)]
+    patterns = sorted(set(votes))
+    counts = np.array([votes.count(x) for x in patterns], float)
+    marks = [np.array([sum(v == x and y == k for v, y in zip(votes, label, strict=True)) for x in patterns], float) for k in (1, 0)]
+    got = dict(zip(patterns, toxicity.label_model(patterns, counts, *marks, rounds=3), strict=True))
+    known = [y for y in label if y is not None]
+    weight, share = 60 / max(1.0, 4 * len(known)), (sum(known) + 1) / (len(known) + 2)
+    q = {}
+    for x in patterns:
+        own = [y for v, y in zip(votes, label, strict=True) if v == x and y is not None]
+        q[x] = (sum(own) + share) / (len(own) + 1) if own else 1 / (1 + np.exp(-2 * (x.count("+") - 0.25 * x.count("-"))))
+    for _ in range(3):
+        rows = [(v, 1 - q[v], q[v]) for v in votes] + [(v, weight * (1 - y), weight * y) for v, y in zip(votes, label, strict=True) if y is not None]
+        one_hot = np.eye(3)[[["-0+".index(c) for c in x] for x in patterns]]
+        parent = toxicity._tree(one_hot, np.array([[sum(r[1 + k] for r in rows if r[0] == x) for x in patterns] for k in (0, 1)]))
+        new = {}
+        for x in patterns:
+            logs = [np.log(1 - share), np.log(share)]
+            for k in (0, 1):
+                for j, pa_ in enumerate(parent):
+                    at = lambda v, j=j: v[j]
+                    alike = [r for r in rows if pa_ < 0 or r[0][pa_] == x[pa_]]
+                    logs[k] += np.log((sum(r[1 + k] for r in alike if at(r[0]) == x[j]) + 0.5) / (sum(r[1 + k] for r in alike) + 1.5))
+            new[x] = 1 / (1 + np.exp(logs[0] - logs[1]))
+        q = new
+    assert all(abs(got[x] - q[x]) < 1e-9 for x in patterns)
+
+
 # operator 4
 def test_stratified_shards(docs, spark):
     rows = docs_of(spark, [f"t{i % 40}" for i in range(500)] + TEXTS)
@@ -446,6 +556,26 @@ def test_chat_windows_keep_within_the_budget(spark):
     assert any(len(r.turns) - r.n_repeated == 1 and r.n_repeated and 180 <= r.tokens <= 200 for r in read)
 
 
+def test_a_late_system_turn_and_given_tokens(spark):
+    turns = [(1, k, "system" if k == 10 else ["user", "assistant"][k % 2], "x" * 9, 20) for k in range(30)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string, pieces int")
+    read = chat.chat_windows(df, budget=200, history=40, tokens="pieces").withColumn("turns", chat.read_turns(F.col("formatted"))).orderBy("window").collect()
+    seen = 0
+    for r in read:
+        system = [k for k, t in enumerate(r.turns) if t.role == "system"]
+        assert system == ([] if seen + len(r.turns) - r.n_repeated <= 10 else system) and (seen <= 10 or system), "only from its place on"
+        assert r.tokens == 24 * len(r.turns) <= 200
+        seen += len(r.turns) - r.n_repeated
+    assert seen == 30 and len(read) > 4
+
+
+def test_chat_of_long_texts(spark):
+    turns = [(0, 0, "system", LONG), (0, 1, "user", LONG), (0, 2, "assistant", LONG), (0, 3, "assistant", "")]
+    windows = chat.chat_windows(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"), budget=512, history=96)
+    read = windows.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("targets", chat.read_targets(F.col("formatted"), F.col("loss_spans"))).orderBy("window").collect()
+    assert [t.text for r in read for t in r.turns[r.n_repeated :]] == [LONG, LONG, LONG, ""] and [t for r in read for t in r.targets] == [LONG, ""]
+
+
 # operator 1
 def test_token_shards(docs, spark, tmp_path):
     folder = f"file://{tmp_path}/shards"

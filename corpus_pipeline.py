@@ -3,6 +3,18 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 kept, which is written as Parquet and read again. All but the last return the
 columns of documents.
+
+In every stage null texts count as empty, texts of any length are read whole,
+an empty table gives an empty table with the same columns, and further columns
+are kept, whatever their names. Besides:
+
+* toxicity decides on each row by its own text; an empty text has no hits.
+* exact_dedup keeps of equal texts the row with the largest id (a null id is the
+  smallest); rows that repeat both id and text are kept together.
+* near_dedup keeps of each group the document with the smallest id, with all its
+  rows; rows without an id, and documents without words, are kept.
+* decontamination decides on each row by its own text; a row without words stays.
+* tokens returns a row for each row it gets.
 """
 
 from __future__ import annotations
@@ -20,7 +32,8 @@ from ledgerlark.plans.tables import read_table
 
 def _kept(docs: DataFrame, decided: DataFrame) -> DataFrame:
     """Rows of docs whose id is among `decided` (a column doc_id)."""
-    return docs.join(decided.select(F.col("doc_id").alias("__of")), docs["doc_id"].eqNullSafe(F.col("__of")), "left_semi")
+    decided = decided.select(F.col("doc_id").alias("__of"))
+    return docs.join(decided, docs["doc_id"].eqNullSafe(decided["__of"]), "left_semi")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +44,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts keeps the document with the largest id."""
     kept = exactdedup.exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__of"), F.col("text_sha256").alias("__sha"))
-    same = docs["doc_id"].eqNullSafe(F.col("__of")) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("__sha"))
+    same = docs["doc_id"].eqNullSafe(kept["__of"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == kept["__sha"])
     return docs.join(kept, same, "left_semi")
 
 

@@ -1,9 +1,10 @@
 """Operator 9: toxicity by weak supervision.
 
-1. Lexicons. Besides a fixed list of abusive words, words and beginnings of
-   words are mined that mark toxic texts in a bounded sample of labelled rows
-   (one row of each of `SAMPLE` ids, those with the smallest hashes; where an
-   id has several texts, the one with the smallest hash).
+1. Lexicons. Besides a fixed list of abusive words (without those that mostly
+   stand in clean texts of the sample), words and beginnings of words are mined
+   that mark toxic texts in a bounded sample of labelled rows (one row of each
+   of `SAMPLE` ids, those with the smallest hashes; where an id has several
+   texts, the one with the smallest hash).
 2. Voters. Each document gets votes (toxic, clean, abstain) of groups of lexicon
    entries and of patterns (several hits, their density, two side by side,
    shouting, exclamations).
@@ -96,8 +97,8 @@ class Lexicon:
     group: np.ndarray
 
 
-def lexicon(mined: list[int]) -> Lexicon:
-    groups = {t: len(ABUSE) + i % MINED_GROUPS for i, t in enumerate(mined)} | _fixed_terms()
+def lexicon(mined: list[int], ordinary: set[int] = frozenset()) -> Lexicon:
+    groups = {t: len(ABUSE) + i % MINED_GROUPS for i, t in enumerate(mined)} | {t: g for t, g in _fixed_terms().items() if t not in ordinary}
     terms = np.array(sorted(groups), dtype=np.uint64)
     return Lexicon(terms, np.array([groups[t] for t in terms.tolist()]))
 
@@ -148,17 +149,19 @@ def _term_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), *map(pa.array, counts)], ["term", "toxic", "clean"])
 
 
-def mined_terms(sample: DataFrame) -> list[int]:
-    """Numbers of the words and beginnings that tell most of toxic texts, the most telling first."""
+def mined_terms(sample: DataFrame) -> tuple[list[int], set[int]]:
+    """Numbers of the words and beginnings that tell most of toxic texts, the most telling first, and of fixed words that mostly stand in clean ones."""
     counts = sample.mapInArrow(_term_counts, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     n = sample.agg(F.coalesce(F.sum(F.expr("int(toxic > 0)")), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     if not 0 < n.t < n.n:
-        return []
+        return [], set()
     share = n.t / n.n
     both = F.col("a") + F.col("b")
     tells = 2 * (F.col("a") * F.log(F.col("a") / (both * share)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (both * (1 - share)))).otherwise(0))
     found = counts.filter((F.col("term") != 0) & (F.col("a") >= SUPPORT) & (F.col("a") >= PURE * both)).withColumn("tells", F.round(tells, 6)).filter(F.col("tells") >= TELLS)
-    return [r.term % 2**64 for r in found.orderBy(F.desc("tells"), "term").limit(MINED).collect()]
+    fixed = [t - 2**64 if t >= 2**63 else t for t in _fixed_terms()]
+    ordinary = counts.filter(F.col("term").isin(fixed) & (both >= SUPPORT) & (F.col("a") < PURE * both)).select("term").collect()
+    return [r.term % 2**64 for r in found.orderBy(F.desc("tells"), "term").limit(MINED).collect()], {r.term % 2**64 for r in ordinary}
 
 
 class _Hits:
@@ -326,7 +329,7 @@ def _posterior(q: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, others: int = UNLABELLED) -> Model:
     """Lexicon and classifier, from documents (doc_id, text) and labels (doc_id, toxic)."""
     sample = written(sample_of(docs, labels, bound).select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
-    known = lexicon(mined_terms(sample))
+    known = lexicon(*mined_terms(sample))
     size = len(known.terms)
     by_votes = {r.votes: r.n for r in docs.select("text").mapInArrow(_votes(known), "votes string").groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = sample.unionByName(others_of(docs, others).withColumn("toxic", F.lit(-1)))

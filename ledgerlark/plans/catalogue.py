@@ -440,16 +440,23 @@ def risk_metrics(spark, sf_dir):
     return figures.select("event_type", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("mean", 6), ("volatility", 6), ("beta", 5), ("sharpe", 5), ("alpha", 5), ("correlation", 5), ("tracking_error", 6), ("information_ratio", 5), ("var_95", 6))])
 
 
-@query("""
-    SELECT event_id, coalesce(nullif(CASE WHEN event_id % 6 = 0 THEN NULL ELSE value END, 0), 1) AS price, coalesce(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END, 'CLOSED') AS market_state, event_type AS symbol
+_QUOTE_FIELDS = ("price", "change", "change_percent", "previous_close", "open", "high", "low")
+
+
+@query(f"""
+    SELECT event_id, event_type AS symbol, {", ".join(f"coalesce(CASE WHEN event_id % {k + 3} <> 0 THEN value * {k + 1} END, 0) AS {c}" for k, c in enumerate(_QUOTE_FIELDS))},
+      CAST(coalesce(CASE WHEN event_id % 5 <> 0 THEN event_id * 100 END, 0) AS BIGINT) AS volume, coalesce(CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END, 'CLOSED') AS market_state,
+      coalesce(CASE WHEN event_id % 7 <> 0 THEN concat('n', user_id) END, event_type) AS name, CAST(epoch_us(ts) AS BIGINT) AS last_update
     FROM events WHERE event_type <> 'error'
 """)
 def quote_normalise(spark, sf_dir):
+    at = F.col("event_id")
     raw = read_table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("symbol"), F.when(F.col("event_id") % 6 != 0, or_else(F.col("value"), 1.0)).alias("price"),
-        *[F.lit(None).cast("double").alias(c) for c in ("change", "change_percent", "previous_close", "open", "high", "low")], F.lit(None).cast("bigint").alias("volume"), F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("market_state"), F.lit(None).cast("string").alias("name"), F.col("ts").alias("last_update"),
-    )
-    return valuation.normalised_quotes(raw).select(F.col("seq").alias("event_id"), or_else(F.col("price"), 1.0).alias("price"), "market_state", "symbol")
+        at.alias("seq"), F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type")).alias("symbol"),
+        *[F.when(at % (k + 3) != 0, F.col("value") * (k + 1)).alias(c) for k, c in enumerate(_QUOTE_FIELDS)], F.when(at % 5 != 0, at * 100).alias("volume"),
+        F.when(at % 4 != 0, F.col("event_type")).alias("market_state"), F.when(at % 7 != 0, F.concat(F.lit("n"), F.col("user_id").cast("string"))).alias("name"), F.col("ts").alias("last_update"),
+    )
+    return valuation.normalised_quotes(raw).withColumn("last_update", F.unix_micros(F.col("last_update").cast("timestamp"))).withColumnRenamed("seq", "event_id")
 
 
 @query("SELECT s_name AS ticker, s_acctbal AS ret, s_suppkey % 10 AS shelf, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 10 ORDER BY s_acctbal DESC, s_suppkey) AS place, s_nationkey FROM supplier")

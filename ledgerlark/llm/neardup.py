@@ -129,12 +129,17 @@ def _between_components(members: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
-def _unsettled(members: DataFrame) -> DataFrame:
-    """Members (with the number of sets of their region) of regions with several components; a large region is joined in pieces."""
+def _with_region(members: DataFrame, regions: DataFrame) -> DataFrame:
+    """Members (region, sets: how many sets it has, and others) with what is known of their regions (region, sets, and others); a large region is joined in pieces."""
     pieces = F.ceil(F.col("sets") / PIECE).cast("int")
-    open_ = members.groupBy("region").agg(F.max("sets").alias("sets"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    open_ = open_.select("region", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-    return members.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int")).join(open_, ["region", "piece"]).drop("piece")
+    regions = regions.withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("sets")
+    return members.withColumn("piece", F.pmod(F.xxhash64("node"), pieces).cast("int")).join(regions, ["region", "piece"]).drop("piece")
+
+
+def _unsettled(members: DataFrame) -> DataFrame:
+    """Members of regions with several components."""
+    regions = members.groupBy("region").agg(F.max("sets").alias("sets"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    return _with_region(members, regions.select("region", "sets"))
 
 
 def _shingles(words: int):
@@ -170,16 +175,18 @@ def _rare_first(words: int, percent: int):
 
 
 def _rest(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """All pairs between components that can be alike, of sets that regions hold together; members: region, node, n, component."""
-    heads = members.groupBy("region").agg(F.min("node").alias("head"))
-    clusters = components(members.join(heads, "region").select(F.col("head").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "cluster")
+    """All pairs between components that can be alike, of sets that regions hold together; members: region, sets, node, n, component."""
+    heads = members.groupBy("region").agg(F.max("sets").alias("sets"), F.min("node").alias("head"))
+    clusters = components(_with_region(members, heads).select(F.col("head").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "cluster")
     nodes = members.select("node", "n", "component").distinct().join(clusters, "node")
     sizes = nodes.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("sets"))
-    largest = sizes.groupBy("cluster").agg(F.max(F.struct("sets", "component"))["component"].alias("largest"))
+    # what is known of clusters is written, so that joins can deal out a large cluster's sets
+    largest = written(sizes.groupBy("cluster").agg(F.max(F.struct("sets", "component"))["component"].alias("largest")), "largest")
     nodes = written(nodes.join(largest, "cluster").withColumn("outside", F.col("component") != F.col("largest")).drop("largest"), "clusters")
     hubs = nodes.groupBy("cluster").agg(F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node"))["node"] for k in range(HUBS)])).alias("hubs"))
     hubs = hubs.select("cluster", F.explode("hubs").alias("node")).join(texts, "node").select("cluster", "text")
     common = hubs.mapInArrow(_shingles(words), "cluster long, shingle long").groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").groupBy("cluster").agg(F.collect_list("shingle").alias("common"))
+    common = written(common, "common")
     described = nodes.join(texts, "node").join(common, "cluster", "left").select("cluster", "node", "n", "component", "outside", "text", "common")
     rows = written(described.mapInArrow(_rare_first(words, percent), "cluster long, node long, n long, component long, outside boolean, shingle long, place long"), "rare-first")
     # a shingle that many sets begin with: those that look for partners meet the others in pieces

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlark.llm.scratch import written
+from ledgerlark.llm.scratch import removed, written
 
 #: Pairs that one task joins up at most.
 FINISH = 200_000
@@ -57,25 +57,30 @@ def components(pairs: DataFrame) -> DataFrame:
         if roots is None:
             roots = taken
         else:
-            moved = taken.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            roots = written(roots.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+            moved, before = taken.select(F.col("node").alias("root"), F.col("root").alias("next")), roots
+            roots = written(before.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+            removed(before)
         if n <= FINISH:
             break
         at_a = taken.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         at_b = taken.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = edges.join(at_a, "a").join(at_b, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        edges = written(moved.distinct(), "pairs")
+        before, edges = edges, written(moved.distinct(), "pairs")
+        removed(before, *([taken] if taken is not roots else []))
         k += 1
+    removed(edges, *([taken] if taken is not roots else []))
     smallest = roots.groupBy("root").agg(F.min("node").alias("component"))
     return roots.join(smallest, "root").select("node", "component")
 
 
 def extended(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The components of the graph whose components are `found`, with further pairs added: only what these join is worked out anew."""
+    """The components of the graph whose components are `found` (which is used up), with further pairs added: only what these join is worked out anew."""
     of = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     between = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("x"), F.coalesce("cb", "b").alias("y"))
     between = written(between, "between")
     joined = components(between.select(F.col("x").alias("a"), F.col("y").alias("b")))
     nodes = found.unionByName(between.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("component")), F.struct(F.col("b").alias("node"), F.col("y").alias("component")))).alias("s")).select("s.*")).distinct()
     moved = joined.select(F.col("node").alias("component"), F.col("component").alias("next"))
-    return written(nodes.join(moved, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "components")
+    out = written(nodes.join(moved, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "components")
+    removed(between, found)
+    return out

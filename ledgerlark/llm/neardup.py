@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.llm.bytewords import NOT_SPACE, mixed, shingle_sets, slices, text_bytes, words_of
 from ledgerlark.llm.components import components, extended
-from ledgerlark.llm.scratch import written
+from ledgerlark.llm.scratch import removed, written
 
 TREES, DEPTH = 32, 4
 #: Trees whose neighbours are compared first; sets of a region that are all compared; how far neighbours may be in the order of a larger one.
@@ -235,9 +235,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
         beside = beside.join(of, "x", "left").filter(F.coalesce("component_x", "x") != F.col("component")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         more = _between_components(small, percent).union(beside).distinct()
         found = extended(found, confirmed(more, texts, words, percent))
-        open_ = written(_unsettled(large.drop("component").join(found, "node", "left").select("region", "node", "n", "sets", at)), "unsettled")
+        before, open_ = open_, written(_unsettled(large.drop("component").join(found, "node", "left").select("region", "node", "n", "sets", at)), "unsettled")
         if not open_.isEmpty():
             found = extended(found, confirmed(_rest(open_, texts, words, percent), texts, words, percent))
+        removed(before)
+    removed(members, texts, open_)
     classes = sets.select("set", "node").join(found, "node", "left").select("set", F.coalesce("component", "node").alias("class"))
     out = rows.select("doc_id", "n_shingles", "set").join(classes, "set", "left")
     component = F.coalesce("class", "doc_id")

@@ -5,8 +5,8 @@ either, only a session whose executors are threads of the driver gets a new
 local folder; any other is an error, since executors would write to disks that
 the others do not see.
 
-They stay until that folder is cleared, since a result that is read later needs
-them.
+Those that a result reads stay until that folder is cleared; those that nothing
+reads any more are removed.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where the tables of this program's run lie.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir, or the context's checkpoint folder."""
@@ -40,4 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def removed(*tables: DataFrame) -> None:
+    """Removes written tables that no result reads."""
+    for table in tables:
+        if path := _PATHS.pop(table, None):
+            context = table.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -24,46 +24,58 @@ def trigger(seconds: int | None = INTERVALS[0]) -> dict:
     return {"processingTime": f"{seconds} seconds"}
 
 
-def keep_latest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, order: str, seconds: int | None = None, accept: Callable[[DataFrame], bool] | None = None) -> StreamingQuery:
+def keep_latest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, key: str, order: str, seconds: int | None = None, accept: Callable[[DataFrame], bool] | None = None, buckets: int = 64) -> StreamingQuery:
     """Keeps under `target` the last row of each key among all rows that have arrived under `source` (JSON lines).
 
-    Each batch merges into the snapshot and writes it anew under its own number,
-    so a batch that runs twice gives the same, and a reader finds the last
-    complete one with snapshot(). The one before stays for readers that have begun
-    on it, older ones are removed. A batch without rows, or one that `accept`
-    refuses, leaves the snapshot as it is.
+    Keys are dealt into buckets. Each batch merges into the buckets that its keys
+    are in and writes those anew under its own number, all of them complete at
+    once, so a batch that runs twice gives the same, what it doesn't touch isn't
+    rewritten, and a reader finds the last complete version of each bucket with
+    snapshot(). Of each bucket the version before stays for readers that have
+    begun on it, older ones are removed. A batch without rows, or one that
+    `accept` refuses, leaves the snapshot as it is.
     """
     columns = [c for c in StructType.fromDDL(schema).fieldNames() if c != key]
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, number: int) -> None:
-        good = batch.filter(F.col(key).isNotNull())
+        good = batch.filter(F.col(key).isNotNull()).select(key, *columns)
         if good.isEmpty() or (accept and not accept(good)):
             return
-        before = snapshot(spark, target, schema, below=number)
-        rows = good.select(key, *columns) if before is None else good.select(key, *columns).unionByName(before.select(key, *columns))
-        latest(rows, key, order, columns).write.mode("overwrite").parquet(f"{target}/batch={number:012d}")
-        for folder in _complete(spark, target)[:-2]:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        touched = {r[0] for r in good.select(bucket).distinct().collect()}
+        before = [paths[-1] for b, paths in _versions(spark, target, below=number).items() if b in touched]
+        rows = good.unionByName(spark.read.schema(schema).parquet(*before).select(key, *columns)) if before else good
+        merged = latest(rows, key, order, columns).withColumn("bucket", bucket)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={number:012d}")
+        for path in (p for paths in _versions(spark, target).values() for p in paths[:-2]):
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     stream = spark.readStream.schema(schema).json(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger(seconds)).start()
 
 
-def _complete(spark: SparkSession, target: str) -> list[str]:
-    """Folders of the complete snapshots, the oldest first."""
+def _versions(spark: SparkSession, target: str, below: int | None = None) -> dict[int, list[str]]:
+    """For each bucket the folders of its versions in complete batches (before batch `below`), the oldest first."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{target}/batch=*/_SUCCESS")
-    found = pattern.getFileSystem(conf).globStatus(pattern) or []
-    return sorted(f.getPath().getParent().toString() for f in found)
 
+    def found(pattern: str) -> list[str]:
+        path = jvm.org.apache.hadoop.fs.Path(f"{target}/{pattern}")
+        return [f.getPath().toString() for f in path.getFileSystem(conf).globStatus(path) or []]
 
-def snapshot(spark: SparkSession, target: str, schema: str, below: int | None = None) -> DataFrame | None:
-    """The last complete snapshot (before batch `below`), None if there is none."""
-    folders = _complete(spark, target)
-    if below is not None:
-        folders = [f for f in folders if int(f.rsplit("=", 1)[1]) < below]
-    return spark.read.schema(schema).parquet(folders[-1]) if folders else None
+    complete = {f.rsplit("/", 2)[1] for f in found("batch=*/_SUCCESS")}
+    out: dict[int, list[str]] = {}
+    for folder in sorted(found("batch=*/bucket=*")):
+        _, batch, bucket = folder.rsplit("/", 2)
+        if batch in complete and (below is None or int(batch.split("=")[1]) < below):
+            out.setdefault(int(bucket.split("=")[1]), []).append(folder)
+    return out
+
+
+def snapshot(spark: SparkSession, target: str, schema: str) -> DataFrame | None:
+    """The last complete version of all buckets, None if there is none."""
+    folders = [paths[-1] for paths in _versions(spark, target).values()]
+    return spark.read.schema(schema).parquet(*folders) if folders else None
 
 
 def has_all(key: str, value: str, wanted: list[str]) -> Callable[[DataFrame], bool]:

@@ -247,7 +247,9 @@ def test_snapshot_stream(spark, tmp_path):
     assert arrive(row(4, None, 9.0)) == {"A": 3.0, "B": 2.0}  # a bad batch keeps the snapshot
     for n in range(5, 8):
         assert arrive(row(n, "C", float(n)))["C"] == n
-    assert len(list((tmp_path / "out").glob("batch=*/_SUCCESS"))) == 2  # older ones are removed
+    kept = [p.parent.name for p in (tmp_path / "out").glob("batch=*/bucket=*")]
+    versions = {b: len(list((tmp_path / "out").glob(f"batch=*/bucket={b}"))) for b in {int(p.name[7:]) for p in (tmp_path / "out").glob("batch=*/bucket=*")}}
+    assert len(versions) == 3 and sorted(versions.values()) == [1, 2, 2] and len(kept) == 5  # only what a batch touches is written, and older versions are removed
     with pytest.raises(ValueError):
         snapshots.trigger(5)
     assert snapshots.trigger() == {"processingTime": "900 seconds"}

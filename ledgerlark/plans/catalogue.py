@@ -217,7 +217,7 @@ def _sorted_query(state, keys):
     return run
 
 
-# numbered within 600 groups (type and shelf), so that a window's task never holds more than a small part of all rows
+# numbered within 600 groups (type and shelf), not in six
 for _keys, _sorts in ((ranking.HOLDING_KEYS, _SORTED), (ranking.POSITION_KEYS, _SORTED_POSITIONS)):
     for _name, (_state, _order) in _sorts.items():
         query(f"WITH {_HOLDINGS_SQL} SELECT sector, input_pos % 100 AS shelf, row_number() OVER (PARTITION BY sector, input_pos % 100 ORDER BY {_order}) AS rank, input_pos FROM holdings", _name)(_sorted_query(_state, _keys))

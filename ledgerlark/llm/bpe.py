@@ -61,7 +61,7 @@ _ID = (1 << _BITS) - 1
 #: How a rank and a place in a piece share a number; pieces of up to `SHORT` bytes are merged together, so many at a time.
 _PLACE, _NO_RANK, SHORT, TOGETHER = 6, 1 << 24, 60, 4096
 #: Characters that are read at a time, and bytes of text whose tokens are looked up together, besides a longer single text.
-BLOCK, TEXTS = 1 << 16, 4 << 20
+BLOCK, TEXTS = 1 << 16, 1 << 20
 
 
 def _byte_letters() -> dict[int, str]:

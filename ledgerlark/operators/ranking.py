@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlark.functions.semantics import or_else
+from ledgerlark.plans.shared import written
 
 ASCENDING, DESCENDING, BY_NAME = 0, 1, 2
+#: Bits of a row's number inside its partition, in what Spark numbers rows by.
+_INSIDE = 33
 
 
 @dataclass(frozen=True)
@@ -74,3 +77,21 @@ def first_match(df: DataFrame, condition: Column, pos: str) -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], by: list[str], name: str = "rank") -> DataFrame:
     """Each row's number, from 1, within its group."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def globally_numbered(df: DataFrame, order: list[Column], name: str = "rank", first: int = 1) -> DataFrame:
+    """Each row's number among all rows, without one task that sees all of them.
+
+    Rows are dealt into ranges of the order and sorted inside; the table that
+    this gives is written, with each row's number in its range. A second pass
+    counts the ranges and adds to each what lies before it. The order should
+    tell all rows apart: equal rows share a range, and get numbers as they come.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    ranged = written(ranged, "ranges")
+    part = F.shiftright("__id", _INSIDE)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))  # a row for each range, whatever the size
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    placed = ranged.withColumn("__part", part).join(F.broadcast(offsets), "__part")
+    return placed.withColumn(name, F.col("__before") + F.col("__id").bitwiseAND((1 << _INSIDE) - 1) + first).drop("__part", "__id", "__before")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, bytewords, chat, components, decontam, exactdedup, neardup, quality, sharding, tokencount, tokenshards, toxicity
+from ledgerlark.llm import bpe, bytewords, chat, components, decontam, exactdedup, fim, neardup, quality, sharding, tokencount, tokenshards, toxicity
 from ledgerlark.llm.queries import BYTE_BPE, ORACLES, PIECE_BPE, QUERIES
 from tests.oracle import assert_same
 
@@ -626,6 +626,56 @@ def test_permutation(size):
     assert size < 100 or (p != tokenshards.permuted(np.arange(size, dtype=np.uint64), size, 10)).any()
 
 
+# operator 13
+UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def brute_fim(doc_id, text, percent=50):
+    text, h = text or "", hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[8 * i : 8 * i + 8], 16) for i in range(4))
+    units = UNIT.findall(text)
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= percent:
+        return len(units), "plain", None, None, text
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    out = f"<S>{s}<P>{p}<M>{m}" if h4 % 100 < 80 else f"<P>{p}<S>{s}<M>{m}"
+    return len(units), "spm" if h4 % 100 < 80 else "psm", len(p), len(m), out
+
+
+@pytest.mark.parametrize("block", [1, 3, 16, 1024])
+def test_fill_in_middle(spark, block):
+    texts = [*TEXTS, "<P> x", "a <S>b", "<M>", "x <P", "P> y < <S", "< M>", " \x85 \xa0 \u2028 ", "\x0b\x0c", *[f"é{'x' * k} " * k for k in range(40)]]
+    rows = [*enumerate(texts), (None, "no id at all"), (7, "one two"), (7, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("form", F.lit(0)).withColumn("output", F.lit(1))
+    for percent in (50, 100):
+        made = fim.fill_in_middle(docs, percent=percent, block=block)
+        got = made.withColumn("text", fim.restored(F.col("output"), F.col("form"))).collect()
+        key = lambda x: tuple(map(repr, x))
+        assert sorted(((r.doc_id, r.n, r.form, r.prefix_chars, r.middle_chars, r.output, r.text) for r in got), key=key) == sorted(((i, *brute_fim(i, t, percent), t or "") for i, t in rows), key=key)
+        assert percent < 100 or {r.form for r in got} == {"plain", "psm", "spm"}
+    assert fim.fill_in_middle(docs.limit(0)).count() == 0
+
+
+def test_trees_find_every_unit():
+    texts = ["", "a", " ", " a  b ", "é" * 50, "one two three " * 40, "\n", "日本 語 " * 30]
+    data, offsets = bytewords.text_bytes(pa.array(texts))
+    for block in (1, 2, 7, 64):
+        trees = fim.UnitTrees(data, offsets, block)
+        for i, t in enumerate(texts):
+            units = UNIT.findall(t)
+            assert trees.n[i] == len(units)
+            k = np.arange(len(units) + 1)
+            places, chars = trees.cut(np.full(len(k), i), k)
+            want = ["".join(units[:n]) for n in k]
+            assert places.tolist() == [len(x.encode()) for x in want] and chars.tolist() == [len(x) for x in want]
+
+
+def test_sentinels_are_checked(docs):
+    for bad in (("<P>", "<P>", "<M>"), ("P", "<S>", "<M>"), ("<P>", "<<S>", "<M>")):
+        with pytest.raises(ValueError):
+            fim.fill_in_middle(docs, sentinels=bad)
+
+
 # words and queries
 def test_words_of_slices():
     texts = pa.array(["Foo bar", "", None, "baz  qux", "é"])

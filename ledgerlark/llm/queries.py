@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, chat, decontam, exactdedup, fim, neardup, quality, sharding, tokencount, tokenshards, toxicity
-from ledgerlark.llm.scratch import new_path
+from ledgerlark.llm import alignment, bpe, chat, decontam, exactdedup, fim, mixing, neardup, quality, sharding, tokencount, tokenshards, toxicity
+from ledgerlark.llm.scratch import new_path, written
+from ledgerlark.operators.ranking import globally_numbered
 from ledgerlark.plans.tables import read_table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,6 +80,23 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("held_out", toxicity.held_out(F.col("doc_id"))).withColumn("kept", F.col("predicted") == 1)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(read_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    # weights 5, 2 and 1 as integrals: sources of 5 fade from 7.5 to 2.5, those of 2 are steady, those of 1 grow from 0.5 to 1.5
+    ranked = globally_numbered(docs.select("source").distinct(), [F.col("source").asc_nulls_last()], "at", first=0)
+    point = lambda at, *weights: F.struct(F.lit(at).alias("at"), F.expr(f"array({', '.join(map(str, weights))})[at % 3]").cast("double").alias("weight"))
+    schedules = ranked.select("source", F.array(point(0.0, 7.5, 2, 0.5), point(1.0, 2.5, 2, 1.5)).alias("points"))
+    placed = written(mixing.mixed(docs, schedules, amount=1.5, repeats=2, seed=12), "mix")
+    # the training order, gathered again by document
+    order = mixing.training_order(placed).groupBy(F.col("stratum").alias("of"), F.col("rank").alias("at")).agg(F.sum("words").alias("taken"), F.count(F.lit(1)).alias("n_copies"), F.min("slot").alias("first_slot"))
+    both = placed.drop("taken").join(order, (placed["stratum"] == order["of"]) & (placed["rank"] == order["at"]), "left")
+    return both.select("doc_id", "source", "size", "source_size", "target", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("taken", "n_copies")], "first_slot")
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(read_table(spark, sf_dir, "documents"))
     text = fim.restored(F.col("output"), F.col("form"))  # rebuilt from output and form alone
@@ -96,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_site_quality": op10_site_quality,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_curriculum": op12_curriculum,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -172,6 +192,22 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
         FROM w LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    "op12_curriculum": """
+        WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS stratum, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+        g AS (SELECT stratum, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+        w AS (SELECT *, CAST(source_size * 2 AS DOUBLE) AS most, CAST(list_extract([5, 2, 1], 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) AS DOUBLE) AS weight, CAST(list_extract([-5, 0, 1], 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) AS DOUBLE) AS slope FROM g),
+        f AS (SELECT most, weight, 1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE AS words, coalesce(sum(most) OVER (ORDER BY most / weight, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(weight) OVER (ORDER BY most / weight, stratum ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_ FROM w),
+        l AS (SELECT arg_min((words - full_) / open_, most / weight) AS level FROM f WHERE most > (words - full_) / open_ * weight),
+        t AS (SELECT stratum, source_size, weight, slope, least(most, weight * level) AS target FROM w, l),
+        p AS (SELECT d.*, source_size, weight, weight - slope / 2 AS first_weight, slope, target, CAST(round(target) AS BIGINT) AS demand,
+                CAST(coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, row_number() OVER o - 1 AS rank
+              FROM d JOIN t USING (stratum) WINDOW o AS (PARTITION BY d.stratum ORDER BY md5(concat_ws('|', '12', doc_id, size)), doc_id)),
+        c AS (SELECT stratum, rank, epoch, least(size, demand - (epoch * source_size + before)) AS words, (epoch * source_size + before) / demand::DOUBLE * weight AS x, first_weight, slope
+              FROM p, (SELECT unnest([0, 1]) AS epoch) WHERE size > 0 AND epoch * source_size + before < demand),
+        s AS (SELECT *, row_number() OVER (ORDER BY least(1.0::DOUBLE, CASE WHEN x > 0 THEN 2 * x / (first_weight + sqrt(greatest(0, first_weight * first_weight + 2 * slope * x))) ELSE 0 END), stratum, epoch, rank) - 1 AS slot FROM c),
+        q AS (SELECT stratum, rank, CAST(sum(words) AS BIGINT) AS taken, count(*) AS n_copies, min(slot) AS first_slot FROM s GROUP BY 1, 2)
+        SELECT doc_id, source, size, source_size, target, coalesce(taken, 0) AS taken, coalesce(n_copies, 0) AS n_copies, first_slot FROM p LEFT JOIN q USING (stratum, rank)
+    """,
     "op13_fill_in_middle": """
         WITH h AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS h FROM documents),
         u AS (SELECT doc_id, text, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS units,

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, over texts with all awkward cases."""
 
+import bisect
 import hashlib
 import itertools
 import re
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlark.llm import bpe, bytewords, chat, components, decontam, exactdedup, fim, neardup, quality, sharding, tokencount, tokenshards, toxicity
+from ledgerlark.llm import alignment, bpe, bytewords, chat, components, decontam, exactdedup, fim, mixing, neardup, quality, runningsums, sharding, tokencount, tokenshards, toxicity
 from ledgerlark.llm.queries import BYTE_BPE, ORACLES, PIECE_BPE, QUERIES
 from tests.oracle import assert_same
 
@@ -626,6 +627,190 @@ def test_permutation(size):
     assert size < 100 or (p != tokenshards.permuted(np.arange(size, dtype=np.uint64), size, 10)).any()
 
 
+# operator 11
+def brute_alignments(texts):
+    """For each text the contract's figures, pair by pair, with both libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(BYTE_BPE)
+    a.encode_special_tokens = True
+    letters = {c: b for b, c in bpe._byte_letters().items()}
+    b = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    of_b = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("\u2581", " ").encode()
+    found, counts = [], {}
+    for t in texts:
+        ids = (a.encode(" " + (t or ""), add_special_tokens=False).ids, b.encode(t or "")) if t else ([], [])
+        tokens = [[bytes(letters[c] for c in a.id_to_token(i)) for i in ids[0]], list(map(of_b, ids[1]))]
+        if not t or any(b"".join(x) != (" " + t).encode() for x in tokens):
+            found.append(([], [], [], []))
+            continue
+        spans = [list(itertools.pairwise([0, *itertools.accumulate(map(len, x))])) for x in tokens]
+        links, j = [], 0
+        for i, (p, q) in enumerate(spans[0]):
+            while spans[1][j][1] <= p:
+                j += 1
+            links += [(i, k) for k in itertools.takewhile(lambda k: k < len(spans[1]) and spans[1][k][0] < q, itertools.count(j))]
+        cuts = sorted({q for _, q in spans[0]} & {q for _, q in spans[1]})
+        groups = [[[], []] for _ in cuts]
+        for s in (0, 1):
+            for i, (_, q) in zip(ids[s], spans[s], strict=True):
+                groups[bisect.bisect_left(cuts, q)][s].append(i)
+        found.append((*ids, groups, links))
+        for pair in {(ids[0][i], ids[1][k]) for i, k in links}:
+            counts[pair] = counts.get(pair, 0) + 1
+    most = {}
+    for (i, _), n in counts.items():
+        most[i] = max(n, most.get(i, 0))
+    out = []
+    for ids_a, ids_b, groups, links in found:
+        own = [(ids_a[i], ids_b[k]) for i, k in links]
+        text = ";".join("|".join(",".join(map(str, side)) for side in g) for g in groups)
+        out.append((len(ids_a), len(ids_b), len(groups), len(links), sum(counts[p] == most[p[0]] for p in own), sum(counts[p] for p in own), hashlib.sha256(text.encode()).hexdigest() if text else ""))
+    return out
+
+
+AWKWARD = [*TEXTS[:-2], "x" * 700, "\u4e2d\u6587" * 90 + " end", "a" * 300 + "  " + "b" * 300, "caf\u00e9 na\u00efve \U0001f600\U0001f601", "tabs\t\tand\r\nlines\n\n  twice", "one two", "x\x00y", "Lorem ipsum dolor sit amet, " * 30]
+
+
+@pytest.mark.parametrize(("stride", "dictionary"), [(1, None), (7, 0), (256, 40), (1 << 20, None)])
+def test_alignment(spark, stride, dictionary):
+    docs = docs_of(spark, AWKWARD).withColumn("n_a", F.lit("x")).withColumn("pairs", F.lit(1))
+    got = by_id(alignment.scored(docs, BYTE_BPE, PIECE_BPE, dictionary=dictionary)) if stride == 256 else None
+    if got is None:
+        found = alignment.aligned(docs, BYTE_BPE, PIECE_BPE, stride=stride)
+        want = brute_alignments(AWKWARD)
+        assert [(r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256) for r in sorted(found.collect(), key=lambda r: r.doc_id)] == [(*w[:4], w[6]) for w in want]
+        if dictionary == 0:
+            got = by_id(alignment.scored(docs, BYTE_BPE, PIECE_BPE, dictionary=0))
+    if got:
+        assert [tuple(got[i])[1:] for i in range(len(AWKWARD))] == brute_alignments(AWKWARD)
+
+
+def test_alignment_of_long_texts_and_repeats(spark, monkeypatch):
+    texts = [LONG, "word " * 400 + "x" * 300 + " end", LONG]
+    want = brute_alignments(texts)
+    both = alignment.tokenizers(BYTE_BPE, PIECE_BPE)
+    monkeypatch.setattr(alignment, "PIECE", 1000)
+    for size in (50, 1000, 10_000):
+        assert all(" ".join(alignment.pieces_of(t, size)) == t for t in texts)
+    for t, w in zip(texts, want, strict=True):  # in pieces, as a text of more than PIECE characters is read
+        pieces = list(alignment.pieces_of(t, 1000))
+        assert len(pieces) > 1
+        (row,) = alignment._summary(both, [t], 256)
+        assert (*row[:5],) == (*w[:4], w[6])
+        pairs, times = np.frombuffer(row[5], "<i8"), np.frombuffer(row[6], "<u4")
+        assert (np.diff(pairs) > 0).all() and times.sum() == row[3]
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(None, texts[0]), (5, texts[1]), (5, texts[1]), (5, texts[1])], "doc_id bigint, text string")
+    got = [tuple(r) for r in alignment.scored(docs, BYTE_BPE, PIECE_BPE).collect()]
+    want = brute_alignments([texts[0], texts[1], texts[1], texts[1]])
+    assert sorted(got, key=repr) == sorted([(None, *want[0]), *[(5, *w) for w in want[1:]]], key=repr)
+    assert alignment.scored(docs.limit(0), BYTE_BPE, PIECE_BPE).count() == 0
+
+
+def test_alignments_are_what_the_figures_say(spark):
+    docs = docs_of(spark, AWKWARD)
+    rows, want = by_id(alignment.alignments(docs, BYTE_BPE, PIECE_BPE)), brute_alignments(AWKWARD)
+    for i, w in enumerate(want):
+        r = rows[i]
+        assert (len(r.ids_a), len(r.ids_b), len(r.cuts), len(r.links_a)) == w[:4]
+        groups, a, b = [], 0, 0
+        for k in r.cuts:
+            groups.append(",".join(map(str, r.ids_a[a : r.links_a[k] + 1])) + "|" + ",".join(map(str, r.ids_b[b : r.links_b[k] + 1])))
+            a, b = r.links_a[k] + 1, r.links_b[k] + 1
+        assert (hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "") == w[6]
+
+
+def test_lockstep():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        texts = [int(x) for x in rng.integers(1, 60, 6)]
+        offsets = np.concatenate([[0], np.cumsum(texts)])
+        inner = [np.unique(np.concatenate([offsets[1:], rng.integers(1, offsets[-1] + 1, 30)])) for _ in range(2)]
+        starts = np.unique(np.concatenate([offsets[:-1], rng.integers(0, offsets[-1], 9)]))
+        a, b, cut = alignment.lockstep(*inner, starts)
+        begins = [np.append(0, e[:-1]) for e in inner]
+        want = [(i, j) for i in range(len(inner[0])) for j in range(len(inner[1])) if begins[0][i] < inner[1][j] and begins[1][j] < inner[0][i]]
+        assert list(zip(a.tolist(), b.tolist(), strict=True)) == want
+        assert cut.tolist() == [bool(inner[0][i] == inner[1][j]) for i, j in want]
+
+
+# operator 12
+def brute_level(sources, words):
+    """Excess over a source's most is shared by weight until none is above."""
+    fixed, level = set(), None
+    while len(fixed) < len(sources):
+        level = (words - sum(sources[s][0] for s in fixed)) / sum(w for s, (_, w) in sources.items() if s not in fixed)
+        above = {s for s, (most, w) in sources.items() if s not in fixed and w * level > most}
+        if not above:
+            break
+        fixed |= above
+    return {s: most if s in fixed else w * level for s, (most, w) in sources.items()}
+
+
+def brute_time(points, q):
+    """When the integral of a schedule reaches the part q of the whole, by halving."""
+    def upto(t):
+        total = 0.0
+        for (a, v), (b, w) in itertools.pairwise([(0.0, points[0][1]), *points, (1.0, points[-1][1])]):
+            if (to := min(b, t)) > a:
+                total += (to - a) * (v + v + (w - v) * (to - a) / (b - a)) / 2
+        return total
+
+    lo, hi = 0.0, 1.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if upto(mid) < q * upto(1.0) else (lo, mid)
+    return hi
+
+
+SCHEDULES = {"a": [(0.0, 3.0), (0.5, 1.0), (1.0, 2.0)], "b": [(0.25, 1.0), (0.75, 0.0)], None: [(0.0, 0.0), (1.0, 8.0)], "d": [(0.5, 0.25)]}
+
+
+@pytest.mark.parametrize("cell", [2, 4096])
+def test_mixing(spark, monkeypatch, cell):
+    monkeypatch.setattr(mixing, "CELL", cell)
+    monkeypatch.setattr(runningsums, "BLOCK", 3)
+    rng = np.random.default_rng(12)
+    rows = [(i, "w " * int(rng.integers(0, 30)), rng.choice(["a", "b", "", "d", "left out"], p=[0.5, 0.2, 0.1, 0.1, 0.1]).item() or None) for i in range(300)]
+    rows += [(300, "\x0b x\x0cy  z\u00a0z ", "b"), (301, None, "b"), (None, "one two", "a"), (7, "w w", "a"), (7, "w w", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("target", F.lit("x")).withColumn("stratum", F.lit(1))
+    schedules = spark.createDataFrame([(s, p) for s, p in SCHEDULES.items()], "source string, points array<struct<at:double,weight:double>>")
+    placed = mixing.mixed(docs, schedules, amount=1.2, repeats=2, seed=3)
+    got = placed.collect()
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted(((r.doc_id, r.source, r.size) for r in got), key=repr) == sorted(((i, s, size(t)) for i, t, s in rows), key=repr)
+    whole = {s: sum(size(t) for _, t, x in rows if x == s) for s in {x for _, _, x in rows}}
+    area = lambda p: sum((b - a) * (v + w) / 2 for (a, v), (b, w) in itertools.pairwise([(0.0, p[0][1]), *p, (1.0, p[-1][1])]))
+    targets = {"left out": 0.0} | brute_level({s: (2 * whole[s], area(p)) for s, p in SCHEDULES.items()}, 1.2 * sum(whole.values()))
+    for s in whole:
+        own = sorted((r for r in got if r.source == s), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(len(own))) and {r.source_size for r in own} == {whole[s]}
+        assert all(abs(r.target - targets[s]) < 1e-6 for r in own) and sum(r.taken for r in own) == round(targets[s])
+        before = 0
+        for r in own:
+            want = [(e, e * whole[s] + before) for e in (0, 1) if r.size and e * whole[s] + before < round(targets[s])]
+            assert [c.epoch for c in r.copies] == [e for e, _ in want] and r.taken <= 2 * r.size
+            for c, (_, start) in zip(r.copies, want, strict=True):
+                assert c.words == min(r.size, round(targets[s]) - start) and abs(c.time - brute_time(SCHEDULES[s], start / round(targets[s]))) < 1e-6
+            before += r.size
+    order = sorted(mixing.training_order(placed).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in order] == list(range(len(order))) and len(order) == sum(len(r.copies) for r in got)
+    assert [r.time for r in order] == sorted(r.time for r in order)
+    again = mixing.mixed(docs.repartition(7), schedules, amount=1.2, repeats=2, seed=3).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
+
+
+def test_mixing_of_nothing_and_of_all(docs, spark):
+    schedules = spark.createDataFrame([("s0", [(0.0, 1.0)]), ("s1", [(0.0, 1.0)])], "source string, points array<struct<at:double,weight:double>>")
+    empty = mixing.mixed(docs.limit(0), schedules)
+    assert empty.count() == 0 and mixing.training_order(empty).count() == 0
+    assert {r.taken for r in mixing.mixed(docs, schedules.limit(0)).collect()} == {0}  # no schedule, no weight
+    all_of = mixing.mixed(docs, schedules, amount=9.0, repeats=3).collect()
+    assert all(r.taken == (3 * r.size if r.source else 0) for r in all_of)
+
+
 # operator 13
 UNIT = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 

@@ -18,7 +18,7 @@ from ledgerlark.operators import matching, positions, ranking, rebalancing, seri
 from ledgerlark.operators.allocation import allocation, concentration, largest
 from ledgerlark.plans.tables import read_table
 from ledgerlark.sources import envelopes
-from ledgerlark.sources.readers import between_times, only_symbols, symbols
+from ledgerlark.sources.readers import only_symbols, symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,17 +210,15 @@ _SORTED_POSITIONS = {"sort_positions_shares_desc": (ranking.SortState("shares",
 
 def _sorted_query(state, keys):
     def run(spark, sf_dir):
-        held = _holdings(spark, sf_dir).withColumn("return_pct", F.col("delta")).withColumn("shelf", F.col("input_pos") % 100)
-        ranked = ranking.numbered(held, ranking.order_of(state, keys), ["sector", "shelf"])
-        return ranked.select("sector", "shelf", "rank", "input_pos")
+        held = _holdings(spark, sf_dir).withColumn("return_pct", F.col("delta"))
+        return ranking.globally_numbered(held, ranking.order_of(state, keys)).select("sector", "rank", "input_pos", "ticker")
 
     return run
 
 
-# numbered within 600 groups (type and shelf), not in six
 for _keys, _sorts in ((ranking.HOLDING_KEYS, _SORTED), (ranking.POSITION_KEYS, _SORTED_POSITIONS)):
     for _name, (_state, _order) in _sorts.items():
-        query(f"WITH {_HOLDINGS_SQL} SELECT sector, input_pos % 100 AS shelf, row_number() OVER (PARTITION BY sector, input_pos % 100 ORDER BY {_order}) AS rank, input_pos FROM holdings", _name)(_sorted_query(_state, _keys))
+        query(f"WITH {_HOLDINGS_SQL} SELECT sector, row_number() OVER (ORDER BY {_order}) AS rank, input_pos, ticker FROM holdings", _name)(_sorted_query(_state, _keys))
 
 
 @query(f"""
@@ -288,8 +286,7 @@ def _bars_query(mode):
     def run(spark, sf_dir):
         events = read_table(spark, sf_dir, "events")
         trades = events.filter("event_type = 'purchase'").select(F.col("event_id").alias("trade_id"), "user_id", F.col("ts").alias("at"))
-        span = trades.agg(F.min("at").alias("first"), F.max("at").alias("last"))
-        bars = between_times(events, "ts", span, "first", "last", "1 DAY").filter("event_type <> 'purchase'").select(F.col("event_id").alias("bar_seq"), "user_id", F.col("ts").alias("bar_ts"), F.col("value").alias("open"))
+        bars = events.filter("event_type <> 'purchase'").select(F.col("event_id").alias("bar_seq"), "user_id", F.col("ts").alias("bar_ts"), F.col("value").alias("open"))
         return matching.match_bars(trades, bars, "user_id", mode).select("trade_id", "user_id", "bar_seq", "open")
 
     return run
@@ -459,10 +456,10 @@ def quote_normalise(spark, sf_dir):
     return valuation.normalised_quotes(raw).withColumn("last_update", F.unix_micros(F.col("last_update").cast("timestamp"))).withColumnRenamed("seq", "event_id")
 
 
-@query("SELECT s_name AS ticker, s_acctbal AS ret, s_suppkey % 10 AS shelf, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 10 ORDER BY s_acctbal DESC, s_suppkey) AS place, s_nationkey FROM supplier")
+@query("SELECT s_name AS ticker, s_acctbal AS ret, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS place, s_nationkey FROM supplier")
 def chart_projection(spark, sf_dir):
-    rows = read_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("ticker"), F.col("s_acctbal").alias("ret"), (F.col("s_suppkey") % 10).alias("shelf"), "s_nationkey", "s_suppkey")
-    return ranking.numbered(rows, [F.desc("ret"), F.col("s_suppkey")], ["s_nationkey", "shelf"], "place").drop("s_suppkey")
+    rows = read_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("ticker"), F.col("s_acctbal").alias("ret"), "s_nationkey", "s_suppkey")
+    return ranking.globally_numbered(rows, [F.desc("ret"), F.col("s_suppkey")], "place").drop("s_suppkey")
 
 
 @query(f"""
@@ -528,10 +525,15 @@ def map_guard(spark, sf_dir):
     return maps.withColumn("n", F.size(F.map_keys("prices")).cast("bigint")).filter("n > 0").select("user_id", "n")
 
 
-@query("SELECT p_partkey, p_brand, p_partkey % 10 AS shelf, row_number() OVER (PARTITION BY p_brand, p_partkey % 10 ORDER BY p_name COLLATE icu_noaccent, p_partkey) AS place FROM part")
+@query("""
+    WITH n AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN replace(replace(p_name, 'a', 'á'), 'e', 'É') WHEN 1 THEN upper(p_name) ELSE p_name END AS name FROM part)
+    SELECT p_partkey, name, row_number() OVER (ORDER BY name COLLATE en, p_partkey) AS place FROM n
+""")
 def collated_sort(spark, sf_dir):
-    parts = read_table(spark, sf_dir, "part").withColumn("shelf", F.col("p_partkey") % 10)
-    return ranking.numbered(parts, [F.collate(F.col("p_name"), "UNICODE"), F.col("p_partkey")], ["p_brand", "shelf"], "place").select("p_partkey", "p_brand", "shelf", "place")
+    at, name = F.col("p_partkey") % 3, F.col("p_name")
+    accents = F.replace(F.replace(name, F.lit("a"), F.lit("á")), F.lit("e"), F.lit("É"))
+    parts = read_table(spark, sf_dir, "part").select("p_partkey", F.when(at == 0, accents).when(at == 1, F.upper(name)).otherwise(name).alias("name"))
+    return ranking.globally_numbered(parts, [F.collate(F.col("name"), "UNICODE"), F.col("p_partkey")], "place")
 
 
 @query("SELECT event_id, abs(value - 20) AS away, floor(value * 10 + 0.5) / 10.0::DOUBLE AS rounded, try_cast(event_type AS DOUBLE) AS no_number, value * 9 / 52 AS part, CASE WHEN value <> 0 THEN value * 100 END AS pct FROM events")

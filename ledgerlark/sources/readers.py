@@ -70,11 +70,13 @@ def between_days(df: DataFrame, column: str, day: str, before: int = 1, after: i
 
 
 def between_times(df: DataFrame, column: str, span: DataFrame, first: str, last: str, tolerance: str) -> DataFrame:
-    """Rows whose time lies between the first and last of a one-row span, and a tolerance beyond both; the bounds are constants that reach the scan."""
-    bounds = span.select((F.col(first) - F.expr(f"INTERVAL {tolerance}")).alias("a"), (F.col(last) + F.expr(f"INTERVAL {tolerance}")).alias("b")).first()
-    if bounds is None or bounds.a is None:
-        return df.limit(0)
-    return df.filter(F.col(column).between(F.lit(bounds.a), F.lit(bounds.b)))
+    """Rows whose time lies between the first and last of a one-row span, and a tolerance beyond both.
+
+    Both bounds are scalar subqueries: nothing runs while the query is built, and
+    the scan gets their values before it starts.
+    """
+    bound = lambda c, sign: span.select(F.expr(f"`{c}` {sign} INTERVAL {tolerance}")).scalar()
+    return df.filter((F.col(column) >= bound(first, "-")) & (F.col(column) <= bound(last, "+")))
 
 
 def each_alone(fetch: Callable[[list[str]], list[dict]], key: str) -> Callable[[list[str]], list[dict]]:

@@ -137,6 +137,55 @@ def test_bars_in_time(spark, mode, want):
     assert {r.trade_id: r.bar_seq for r in matching.match_bars(trades, bars, "k", mode).collect()} == want
 
 
+@pytest.mark.parametrize("mode", ["first", "nearest"])
+def test_bars_of_a_hot_key(spark, mode):
+    """Against all pairs: ties in time, ends of the tolerance, times before 1970, rows without key or time."""
+    rng = np.random.default_rng(3)
+    start = dt.datetime(1969, 12, 31)
+    at = lambda n: [start + dt.timedelta(seconds=int(x)) for x in rng.integers(0, 40 * 3600, n)]
+    bars = [(int(s), k, t, float(s)) for s, k, t in zip(rng.permutation(600), rng.choice(["A", "B"], 600, p=[0.9, 0.1]).tolist(), at(600), strict=True)]
+    trades = [(i, k, t) for i, (k, t) in enumerate(zip(rng.choice(["A", "B", "C"], 300).tolist(), at(300), strict=True))]
+    trades += [(1000 + i, "A", t + dt.timedelta(seconds=d)) for i, (_, _, t, _) in enumerate(bars[:30]) for d in (0, 3600, -3600)][:90]
+    hour = dt.timedelta(hours=1)
+    want = {}
+    for i, k, t in trades:
+        near = [(abs(x - t), x, s) for s, y, x, _ in bars if y == k and abs(x - t) < hour]
+        if near:
+            want.setdefault((i, t), min(near, key=lambda b: b[2])[2] if mode == "first" else min(near)[2])
+    trades += [(5000, None, start), (5001, "A", None)]
+    frames = spark.createDataFrame(trades, "trade_id bigint, k string, at timestamp"), spark.createDataFrame([*bars, (9000, None, start, 0.0), (9001, "A", None, 0.0)], "bar_seq bigint, k string, bar_ts timestamp, open double")
+    for cells in (1, 64):
+        matching.CELLS = cells
+        got = {(r.trade_id, r["at"]): r.bar_seq for r in matching.match_bars(*frames, "k", mode, "1 hour").collect()}
+        assert got == want
+    assert matching.match_bars(frames[0].limit(0), frames[1], "k", mode).count() == 0 and matching.match_bars(frames[0], frames[1].limit(0), "k", mode).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["first", "nearest"])
+def test_bars_of_a_hot_key_take_linear_work(spark, mode):
+    """100,000 bars and as many trades of one key in one day: no operator of the plan makes more rows than a few of each."""
+    bars = spark.range(100_000).selectExpr("id AS bar_seq", "'A' AS k", "timestamp_micros(1700000000000000 + id * 7 % 86400 * 1000000) AS bar_ts", "1D AS open")
+    trades = spark.range(100_000).selectExpr("id AS trade_id", "'A' AS k", "timestamp_micros(1700000000000000 + id * 11 % 86400 * 1000000) AS at")
+    found = matching.match_bars(trades, bars, "k", mode)
+    found.collect()
+    rows = []
+
+    def walk(node):
+        metrics = node.metrics()
+        if metrics.contains("numOutputRows"):
+            rows.append(metrics.apply("numOutputRows").value())
+        kids = node.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i))
+        if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            walk(node.plan())
+
+    walk(found._jdf.queryExecution().executedPlan())
+    assert rows and max(rows) <= 700_000
+
+
 def test_history_of_trades(spark):
     schema = "exec_date date, ticker string, action string, shares bigint, at bigint"
     rows = spark.createDataFrame([(dt.date(2026, 1, 2), "A", "SELL", 1, 0)], schema)
@@ -287,6 +336,13 @@ def test_bars_are_pruned_by_time(spark):
     assert readers.between_times(bars, "bar_ts", span.limit(0).selectExpr("min(a) a", "max(b) b"), "a", "b", "1 DAY").count() == 0
 
 
+def test_bounds_reach_the_scan(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    span = events.filter("event_type = 'purchase'").selectExpr("min(ts) a", "max(ts) b")
+    plan = readers.between_times(events, "ts", span, "a", "b", "1 DAY")._jdf.queryExecution().toString()
+    assert "scalar-subquery" in plan.split("PushedFilters")[0] and "Join" not in plan
+
+
 def test_rebalancing(spark):
     from ledgerlark.operators import rebalancing
 

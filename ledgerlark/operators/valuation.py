@@ -66,3 +66,23 @@ def with_dimension(df: DataFrame, dimension: DataFrame, on: str, column: str, de
 
 def open_for_trade(state: Column) -> Column:
     return state == "REGULAR"
+
+
+def home_row(name: str, initial: Column, current: Column, return_pct: Column) -> list[Column]:
+    """The columns of one portfolio's statistics: what it began with, what it is worth, and its return by its own rule."""
+    return [F.lit(name).alias("portfolio"), initial.alias("initial"), current.alias("current"), return_pct.alias("return_pct")]
+
+
+def with_dividends(initial: Column, final: Column, dividends: Column) -> list[Column]:
+    """Rule of the dividend portfolio: dividends are in its value, but not in its return."""
+    return home_row("dividends", initial, final + dividends, returns_on(final, initial)["return_pct"])
+
+
+def reinvested(injected: Column, open_value: Column, available: Column) -> list[Column]:
+    """Rule of the reinvesting portfolio: open positions and the cash that is left, against all cash that has come in."""
+    return home_row("reinvested", injected, open_value + available, returns_on(open_value + available, injected)["return_pct"])
+
+
+def estimated(total_initial: Column, estimated_current: Column, estimated_return: Column) -> list[Column]:
+    """Rule of the estimated portfolio: unpriced holdings count at cost, in its value and in its return."""
+    return home_row("estimated", total_initial, estimated_current, estimated_return)

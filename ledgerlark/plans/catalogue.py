@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.formats import dollars, grouped, iso_day, month_day, signed_percent
 from ledgerlark.functions.semantics import cents, if_set, or_else, ratio, round_half_up, text_or_else, try_number
-from ledgerlark.operators import matching, positions, ranking, rebalancing, series, valuation
+from ledgerlark.operators import carry, matching, positions, ranking, rebalancing, series, valuation
 from ledgerlark.operators.allocation import allocation, concentration, largest
+from ledgerlark.plans.shared import written
 from ledgerlark.plans.tables import read_table
 from ledgerlark.sources import envelopes
 from ledgerlark.sources.readers import only_symbols, symbols
@@ -146,7 +147,8 @@ _TOTALS_SQL = """
     FROM s
 """)
 def portfolio_metrics(spark, sf_dir):
-    held = _holdings(spark, sf_dir)
+    # written once: sums and both lists read it, and lots are scanned and summed once
+    held = written(_holdings(spark, sf_dir).select("input_pos", "current_price", "initial_investment", "current_investment", "delta"), "holdings")
     listed = lambda rows, sign, name: rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((sign * F.coalesce("delta", F.lit(0.0))).alias("d"), (-sign * F.col("input_pos")).alias("p")))), lambda x: F.abs(x["p"]).cast("string")), ",").alias(name))
     gainers = listed(ranking.top(held, "delta", 5, "input_pos"), -1, "gainers")
     losers = listed(ranking.bottom(held, "delta", 5, "input_pos"), 1, "losers")
@@ -160,13 +162,13 @@ def zero_price_gap(spark, sf_dir):
 
 
 @query("""
-    WITH t AS (SELECT o_totalprice - 200000 AS ret FROM orders WHERE o_orderstatus <> 'P')
+    WITH t AS (SELECT o_totalprice - 200000 AS ret FROM orders)
     SELECT count(*) FILTER (ret > 0) AS winners, count(*) AS total, round(count(*) FILTER (ret > 0)::DOUBLE / count(*) * 100, 6) AS rate_pct FROM t
 """)
 def win_rate(spark, sf_dir):
     orders = read_table(spark, sf_dir, "orders").withColumn("ret", F.col("o_totalprice") - 200000)
     part = lambda s: orders.filter(F.col("o_orderstatus") == s).select("o_orderkey", "ret")
-    return positions.win_rate(part("O"), part("F")).withColumn("rate_pct", F.round("rate_pct", 6))
+    return positions.win_rate(part("O"), part("F"), part("P")).withColumn("rate_pct", F.round("rate_pct", 6))
 
 
 _DAYS_SQL = "days AS (SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents FROM events GROUP BY 1)"
@@ -330,9 +332,9 @@ def ordinal_label_join(spark, sf_dir):
 
 
 def _against_market(spark, sf_dir):
-    found = _segments(spark, sf_dir)
-    market = found.filter("segment = 'MACHINERY'").select(F.col("ret").alias("market"))
-    return found.crossJoin(F.broadcast(market))
+    """Segments with the market's return, a conditional maximum over the segments (a row each)."""
+    market = F.max(F.when(F.col("segment") == "MACHINERY", F.col("ret"))).over(Window.partitionBy(F.lit(0)))
+    return _segments(spark, sf_dir).withColumn("market", market)
 
 
 @query(f"""
@@ -368,6 +370,53 @@ def cash_ledger(spark, sf_dir):
     return series.ledger(events, "kind", "cents")
 
 
+# Cash accounts: a customer's closed orders are proceeds, all others purchases; of a day, proceeds come first.
+_ACCOUNTS_SQL = """
+    moves AS (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 1 ELSE -1 END * CAST(round(o_totalprice * 100) AS BIGINT) AS amount,
+                row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderstatus <> 'F', o_orderkey) AS n FROM orders),
+    kept(o_custkey, n, available, injected) AS (SELECT o_custkey, 0, 0::BIGINT, 0::BIGINT FROM moves WHERE n = 1
+      UNION ALL SELECT m.o_custkey, m.n, greatest(k.available + m.amount, 0), k.injected + greatest(-(k.available + m.amount), 0) FROM kept k JOIN moves m ON m.o_custkey = k.o_custkey AND m.n = k.n + 1),
+    accounts AS (SELECT o_custkey, CAST(max(n) AS BIGINT) AS n, arg_max(injected, n) AS injected, arg_max(available, n) AS available FROM kept GROUP BY 1)
+"""
+
+
+def _accounts(spark, sf_dir):
+    amount = cents(F.col("o_totalprice")) * F.when(F.col("o_orderstatus") == "F", 1).otherwise(-1)
+    moves = read_table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderdate").alias("time"), (F.col("o_orderstatus") != "F").alias("buys"), "o_orderkey", amount.alias("amount"))
+    rows = carry.cash_accounts(moves, ["o_custkey"], F.year("time"), ["time", "buys", "o_orderkey"], "amount")
+    return rows.groupBy("o_custkey").agg(F.max("number").alias("n"), F.sum("injection").alias("injected"), F.max_by("available", "number").alias("available"))
+
+
+@query(f"WITH RECURSIVE {_ACCOUNTS_SQL} SELECT * FROM accounts")
+def residual_cash(spark, sf_dir):
+    return _accounts(spark, sf_dir)
+
+
+_TICKS_SQL = "t AS (SELECT event_id, event_type, CAST(ts AS DATE) AS day, ts, CAST(round(value * 100) AS BIGINT) AS cents FROM events)"
+
+
+def _ticks(spark, sf_dir):
+    return read_table(spark, sf_dir, "events").select("event_id", "event_type", "ts", cents(F.col("value")).alias("cents"))
+
+
+@query(f"""
+    WITH {_TICKS_SQL}
+    SELECT event_id, event_type, row_number() OVER w AS number, cents - lag(cents) OVER w AS change, round(cents::DOUBLE / nullif(first_value(cents) OVER w, 0) - 1, 6) AS since_first,
+      CAST(sum(cents) OVER w AS BIGINT) AS running, max(cents) OVER w AS peak FROM t WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+""")
+def tick_series(spark, sf_dir):
+    rows = carry.along(_ticks(spark, sf_dir), ["event_type"], F.to_date("ts"), ["ts", "event_id"], "cents")
+    return rows.select("event_id", "event_type", "number", (F.col("cents") - F.col("previous")).alias("change"), F.round(ratio(F.col("cents"), F.col("first")) - 1, 6).alias("since_first"), "running", "peak")
+
+
+@query(f"""
+    WITH {_TICKS_SQL}, p AS (SELECT event_type, cents, max(cents) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS peak FROM t)
+    SELECT event_type, round(min(cents::DOUBLE / nullif(peak, 0) - 1), 6) AS max_drawdown FROM p GROUP BY 1
+""")
+def tick_drawdown(spark, sf_dir):
+    return carry.deepest_fall(_ticks(spark, sf_dir), ["event_type"], F.to_date("ts"), ["ts", "event_id"], "cents").select("event_type", F.round("max_drawdown", 6).alias("max_drawdown"))
+
+
 @query("SELECT user_id, event_id, value, event_type = 'view' AS is_open FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1")
 def latest_snapshot(spark, sf_dir):
     return valuation.latest(read_table(spark, sf_dir, "events"), "user_id", "ts", ["event_id", "value", "event_type"]).select("user_id", "event_id", "value", (F.col("event_type") == "view").alias("is_open"))
@@ -471,14 +520,23 @@ def live_position_rows(spark, sf_dir):
     return valuation.live_rows(held, _quotes(spark, sf_dir).withColumnRenamed("previous_close", "change"), "input_pos")
 
 
-@query("""
-    SELECT o_orderstatus AS portfolio, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS initial, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) + 391100 AS BIGINT) AS current,
-      round(391100::DOUBLE / sum(CAST(round(o_totalprice * 100) AS BIGINT))::DOUBLE * 100, 8) AS return_pct FROM orders GROUP BY 1
+@query(f"""
+    WITH RECURSIVE {_MONTHS_SQL}, {_HOLDINGS_SQL}, {_TOTALS_SQL}, {_ACCOUNTS_SQL},
+    dogs AS (SELECT arg_min(cents, month) AS initial, arg_max(cents, month) AS final, (SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) FROM orders WHERE o_orderstatus = 'P') AS dividends FROM months),
+    plays AS (SELECT CAST(sum(injected) AS BIGINT) AS injected, CAST(sum(available) AS BIGINT) AS available, (SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) FROM orders WHERE o_orderstatus = 'O') AS open_value FROM accounts)
+    SELECT 'dividends' AS portfolio, initial, final + dividends AS current, round((final - initial)::DOUBLE / initial * 100, 6) AS return_pct FROM dogs
+    UNION ALL SELECT 'reinvested', injected, open_value + available, round((open_value + available - injected)::DOUBLE / injected * 100, 6) FROM plays
+    UNION ALL SELECT 'estimated', total_initial, priced_current + unpriced_initial, round((priced_current + unpriced_initial - total_initial)::DOUBLE / total_initial * 100, 6) FROM s
 """)
 def home_stats(spark, sf_dir):
-    sums = read_table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("portfolio")).agg(F.sum(cents(F.col("o_totalprice"))).alias("initial"))
-    figures = valuation.returns_on(F.col("current"), F.col("initial"))
-    return sums.withColumn("current", F.col("initial") + F.lit(391100)).select("portfolio", "initial", "current", F.round(figures["return_pct"], 8).alias("return_pct"))
+    orders = read_table(spark, sf_dir, "orders")
+    worth = lambda status, name: orders.filter(F.col("o_orderstatus") == status).agg(F.sum(cents(F.col("o_totalprice"))).alias(name))
+    ends = _months(spark, sf_dir).agg(F.min_by("cents", "month").alias("first"), F.max_by("cents", "month").alias("last"))
+    dividends = ends.crossJoin(F.broadcast(worth("P", "dividends"))).select(*valuation.with_dividends(F.col("first"), F.col("last"), F.col("dividends")))
+    cash = _accounts(spark, sf_dir).agg(F.sum("injected").alias("injected"), F.sum("available").alias("available"))
+    reinvested = cash.crossJoin(F.broadcast(worth("O", "open"))).select(*valuation.reinvested(F.col("injected"), F.col("open"), F.col("available")))
+    estimated = positions.totals(_holdings(spark, sf_dir)).select(*valuation.estimated(F.col("total_initial"), F.col("estimated_current"), F.col("estimated_return")))
+    return dividends.unionByName(reinvested).unionByName(estimated).withColumn("return_pct", F.round("return_pct", 6))
 
 
 @query(f"""
@@ -502,10 +560,11 @@ def nth_element(spark, sf_dir):
     return read_table(spark, sf_dir, "embeddings").select("vec_id", F.try_element_at(v, F.lit(2)).cast("double").alias("second"), F.try_element_at(v, F.lit(3)).cast("double").alias("third"), F.size(F.slice(v, 2, F.size(v))).cast("bigint").alias("n_rest"), F.try_element_at(F.reverse(v), F.lit(1)).cast("double").alias("last"))
 
 
-@query("SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS n_up, CAST(list_transform(embedding, lambda x: x * 2)[1] AS DOUBLE) AS doubled FROM embeddings")
+@query("SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS n_up, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2)), 6) AS doubled FROM embeddings")
 def array_higher_order(spark, sf_dir):
     v = F.col("embedding")
-    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.size(F.filter(v, lambda x: x > 0)).cast("bigint").alias("n_up"), F.transform(v, lambda x: (x * F.lit(2).cast("float")).cast("float"))[0].cast("double").alias("doubled"))
+    doubled = F.aggregate(F.transform(v, lambda x: x.cast("double") * 2), F.lit(0.0), lambda n, x: n + x)
+    return read_table(spark, sf_dir, "embeddings").select("vec_id", F.size(F.filter(v, lambda x: x > 0)).cast("bigint").alias("n_up"), F.round(doubled, 6).alias("doubled"))
 
 
 @query("SELECT vec_id, place, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS place, unnest(embedding) AS x FROM embeddings)")

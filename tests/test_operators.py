@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.functions import formats, semantics
-from ledgerlark.operators import matching, positions, ranking, series, valuation
+from ledgerlark.operators import carry, matching, positions, ranking, series, valuation
 from ledgerlark.operators.allocation import allocation, concentration
 from ledgerlark.sources import envelopes, readers, schemas
 from ledgerlark.streaming import snapshots
@@ -186,6 +186,82 @@ def test_bars_of_a_hot_key_take_linear_work(spark, mode):
     assert rows and max(rows) <= 700_000
 
 
+def test_numbers_among_all_rows(spark):
+    rows = spark.range(1000).selectExpr("id", "hash(id) % 50 AS k").repartition(7)
+    got = ranking.globally_numbered(rows, [F.desc("k"), F.col("id")]).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 1001)) and [(-r.k, r.id) for r in got] == sorted((-r.k, r.id) for r in got)
+    assert ranking.globally_numbered(rows.limit(0), [F.col("id")]).count() == 0
+
+
+def test_carried_series(spark):
+    """Against a walk over each series, with blocks of one row, of several, and without rows."""
+    rng = np.random.default_rng(1)
+    rows = [(s, int(t), i, None if v == 7 else int(v)) for i, (s, t, v) in enumerate(zip(rng.choice(["a", "b", None], 400, p=[0.8, 0.1, 0.1]).tolist(), rng.integers(0, 300, 400), rng.integers(-20, 40, 400), strict=True))]
+    df = spark.createDataFrame(rows, "s string, t bigint, i bigint, v bigint")
+    for width in (1, 30, 1000):
+        got = {r.i: r for r in carry.along(df, ["s"], F.floor(F.col("t") / width), ["t", "i"], "v").collect()}
+        assert len(got) == len(rows)
+        for name in ("a", "b", None):
+            seen, running, low, previous = [], 0, 0, None
+            for n, (_, _, i, v) in enumerate(sorted((r for r in rows if r[0] == name), key=lambda r: r[1:3]), 1):
+                low_before = low
+                running += v or 0
+                low = min(low, running)
+                seen.append(v)
+                peak = max((x for x in seen if x is not None), default=None)
+                r = got[i]
+                assert (r.number, r["first"], r.previous, r.peak, r.running, r.low, r.low_before) == (n, seen[0], previous, peak, running, low, low_before)
+                previous = v
+
+
+def test_residual_cash(spark):
+    """The published account: 3,911 are left, and 101,415 have come in."""
+    days = ["2025-08-27", "2025-10-03", "2025-11-25", "2025-12-06", "2025-12-10", "2026-01-08", "2026-01-08"]
+    moves = list(enumerate(zip(days, [-53_613, -7_672, -38_175, 22_997, -24_952, 21_367, -17_456], strict=True)))
+    df = spark.createDataFrame([(i, d, a) for i, (d, a) in moves], "i bigint, day string, amount bigint")
+    for block in (F.substring("day", 1, 7), F.lit("all"), F.col("day")):
+        got = sorted(carry.cash_accounts(df.withColumn("of", F.lit(1)), ["of"], block, ["day", "i"], "amount").collect(), key=lambda r: r.number)
+        assert [r.injection for r in got] == [53_613, 7_672, 38_175, 0, 1_955, 0, 0] and sum(r.injection for r in got) == 101_415
+        assert [r.available for r in got] == [0, 0, 0, 22_997, 0, 21_367, 3_911]
+
+
+@pytest.mark.parametrize("few", [1, 50])
+def test_exact_quantiles_by_histograms(spark, monkeypatch, few):
+    monkeypatch.setattr(series, "SORTED", few)
+    monkeypatch.setattr(series, "CLASSES", 512)
+    rng = np.random.default_rng(2)
+    groups = {"even": rng.random(500), "wide": np.exp(rng.normal(0, 60, 400)), "ties": rng.integers(-1, 2, 300) * 1.0, "one": np.array([4.0]), None: np.array([-1.0, 1e308, -1e308])}
+    rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("even", None), ("even", float("nan")), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for q in (0.05, 0.5, 1.0):
+        got = {r.g: r["quantile"] for r in series.quantile(df, ["g"], "x", q).collect()}
+        assert set(got) == set(groups)
+        for g, v in groups.items():
+            at, own = q * (len(v) - 1), sorted(v)
+            a, b = own[int(np.floor(at))], own[int(np.ceil(at))]
+            assert got[g] == pytest.approx(a + (b - a) * (at - np.floor(at)), rel=1e-12)
+
+
+def test_home_rules_differ(spark):
+    df = spark.range(1)
+    figures = lambda columns: tuple(df.select(*columns).first())
+    n = lambda x: F.lit(x)
+    assert figures(valuation.with_dividends(n(8_500_000), n(8_890_000), n(391_100))) == ("dividends", 8_500_000, 9_281_100, pytest.approx(4.588235))
+    assert figures(valuation.reinvested(n(101_415), n(120_161), n(3_911))) == ("reinvested", 101_415, 124_072, pytest.approx(22.340876))
+    assert figures(valuation.estimated(n(10), n(12), n(20.0))) == ("estimated", 10, 12, 20.0)
+
+
+def test_lots_are_scanned_once(spark, sf_dir, monkeypatch):
+    from ledgerlark.plans import catalogue
+
+    scans = []
+    monkeypatch.setattr(catalogue, "written", lambda df, name: scans.append(df._jdf.queryExecution().executedPlan().toString().count("FileScan")) or df.cache())
+    catalogue.QUERIES["portfolio_metrics"](spark, sf_dir)
+    assert scans == [2]  # lineitem and part
+    for name in ("capm_alpha", "benchmark_excess"):
+        assert catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+
+
 def test_history_of_trades(spark):
     schema = "exec_date date, ticker string, action string, shares bigint, at bigint"
     rows = spark.createDataFrame([(dt.date(2026, 1, 2), "A", "SELL", 1, 0)], schema)

@@ -18,8 +18,11 @@ A long conversation is never ordered in one task: sums are taken in blocks of
 turn numbers, then over the blocks, and history travels to the next windows by
 key. Turns that share a number, or have none, are in one block.
 
-Tokens of a turn are a column that a tokenizer stage has made (`tokens`), or
-else, and where that is null, an estimate from the text.
+Tokens of a turn are a column that a tokenizer stage has made (`tokens`), to
+which its markers' are added, or else, and where that is null, the bytes of the
+formatted turn: no token of a byte-level vocabulary (or one that falls back on
+bytes) is shorter than a byte, so with any such tokenizer, and in any language, a
+window has no more tokens than it counts.
 
 Texts may hold anything: control strings and the escape character itself are
 escaped, and unescaped() gives the text back. Null roles and texts count as
@@ -39,7 +42,7 @@ CONTROL = [BEGIN, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
 _ESC = "\x1b"
 _CODES = [(_ESC, _ESC + "0"), *((c, _ESC + chr(ord("a") + i)) for i, c in enumerate(CONTROL))]
 _LINE = ("\n", _ESC + "1")
-#: Turns of a block of prefix sums, and tokens that a turn's markers count.
+#: Turns of a block of prefix sums, and tokens that a turn's markers count beside given tokens.
 BLOCK, MARKERS = 256, 4
 
 
@@ -56,16 +59,20 @@ def unescaped(text: Column, line: bool = False) -> Column:
     return text
 
 
-def turn_tokens(text: Column) -> Column:
-    """Tokens of a text for the budget: runs of letters and digits, and single other characters that are not white space."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{N}]"))
+def _head(role: Column) -> Column:
+    return F.concat(F.lit(BEGIN), escaped(role, line=True), F.lit("\n"))
+
+
+def turn_tokens(role: Column, text: Column) -> Column:
+    """What a formatted turn counts for the budget: its bytes, the most tokens that it can have."""
+    return F.octet_length(F.concat(_head(role), escaped(text), F.lit(END + "\n")))
 
 
 def _placed(turns: DataFrame) -> DataFrame:
     """Turns with `place` and `start`: the number of turns and of tokens before them in the conversation."""
     order = ["turn", "role", "text"]
     block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62)))
-    turns = turns.withColumn("block", block).withColumn("tokens", (F.coalesce("tokens", turn_tokens(F.col("text"))) + MARKERS).cast("long"))
+    turns = turns.withColumn("block", block).withColumn("tokens", F.coalesce(F.col("tokens") + MARKERS, turn_tokens(F.col("role"), F.col("text"))).cast("long"))
     totals = turns.groupBy("conv_id", "block").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(F.col("conv_id").alias("of"), F.col("block").alias("at"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n"))
@@ -111,7 +118,7 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 256, token
     parts = F.transform(
         "turns",
         lambda x: F.struct(
-            F.concat(F.lit(BEGIN), escaped(x["role"], line=True), F.lit("\n")).alias("head"), escaped(x["text"]).alias("body"), F.lit(END + "\n").alias("tail"), ((x["role"] == "assistant") & ~x["repeated"]).alias("target")
+            _head(x["role"]).alias("head"), escaped(x["text"]).alias("body"), F.lit(END + "\n").alias("tail"), ((x["role"] == "assistant") & ~x["repeated"]).alias("target")
         ),
     )
     windows = windows.withColumn("parts", parts)

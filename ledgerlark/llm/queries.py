@@ -16,8 +16,8 @@ from ledgerlark.plans.tables import read_table
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
-#: Tokens of a chat window, and of what it repeats at most.
-CHAT_BUDGET, CHAT_HISTORY = 512, 96
+#: Bytes, and so tokens at most, of a chat window and of what it repeats.
+CHAT_BUDGET, CHAT_HISTORY = 2048, 384
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ ORACLES: dict[str, str] = {
     "op2_chat_format": f"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-        n AS (SELECT conv_id, turn, role, text, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\x09-\\x0D\\x20\\p{{L}}\\p{{N}}]')) + {chat.MARKERS} AS tokens,
+        n AS (SELECT conv_id, turn, role, text, octet_length(encode({_escaped_sql("role", line=True)})) + octet_length(encode({_escaped_sql("text")})) + {len(chat.BEGIN) + len(chat.END) + 2} AS tokens,
                 length({_escaped_sql("role", line=True)}) + length({_escaped_sql("text")}) + {len(chat.BEGIN) + len(chat.END) + 2} AS chars FROM t),
         p AS (SELECT *, row_number() OVER o - 1 AS place, sum(tokens) OVER o - tokens AS start FROM n WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
         s AS (SELECT conv_id AS of, min(place) AS s_place, arg_min(tokens, place) AS s_tokens, arg_min(chars, place) AS s_chars FROM p WHERE role = 'system' GROUP BY 1),

@@ -11,8 +11,8 @@ large source's part of it by its share of that.
 
 Ranks over a large group never need the group in one task. Rows fall into about
 rows / `CELL` cells by the leading digits of what they are sorted by; a rank is
-the number of rows in earlier cells, from a sum over the cells' counts, and the
-place in the own cell. The law is `rows`: shards differ by one row at most.
+the number of rows in earlier cells, from sums over the cells' counts by blocks
+(see runningsums.py), and the place in the own cell. The law is `rows`: shards differ by one row at most.
 
 Null texts have no bytes and the checksum of the empty text; a null source is a
 source of its own. Rows that repeat id and text are interchangeable and each get
@@ -21,25 +21,16 @@ a place. No rows: no rows. Further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.runningsums import cells, summed
 from ledgerlark.llm.scratch import written
 
 #: Rows of a cell on average, and bytes that a row counts besides its text.
 CELL, ROW_BYTES = 4096, 8
 
 
-def _ranked(df: DataFrame, group: list[str], cell: str, order: list[str], rank: str) -> DataFrame:
-    """df with the place of each row in its group (all rows, if none is named) by cell and then by `order`."""
-    counts = df.groupBy(*group, cell).agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*group, cell, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
-    within = F.row_number().over(Window.partitionBy(*group, cell).orderBy(*order))
-    placed = df.withColumn("__place", within - 1)
-    return placed.join(offsets, [*group, cell]).withColumn(rank, F.col("__offset") + F.col("__place")).drop("__offset", "__place")
-
-
 def stratified_shards(docs: DataFrame, shards: int, seed: int = 0, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """A row for each row of docs: doc_id, source, size, text_crc32, position (in the order of all rows), shard, slot (in the shard)."""
     size = F.coalesce(F.octet_length(docs[text]), F.lit(0)).cast("long") + ROW_BYTES
@@ -48,17 +39,19 @@ def stratified_shards(docs: DataFrame, shards: int, seed: int = 0, text: str = "
     base = written(base.withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")).cast("binary"))), "rows")
     total = base.count()
     bits = max(0, (total // CELL).bit_length())
-    cells = 1 << bits
+    n_cells = 1 << bits
 
     lead = F.conv(F.substring("key", 1, 12), 16, 10).cast("long")
+    one = {"rows": F.lit(1)}
     keyed = base.withColumn("cell", F.shiftright(lead, 48 - bits))
-    ranked = _ranked(keyed, ["stratum"], "cell", ["key", "doc_id", "size"], "rank").drop("cell")
     sizes = base.groupBy("stratum").agg(F.count(F.lit(1)).alias("of"))
     hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("stratum")).cast("binary"))
     sizes = sizes.withColumn("u", F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / 2**32)
-    spread = ranked.join(sizes, "stratum").withColumn("share", (F.col("rank") + F.col("u")) / F.col("of"))
-    spread = spread.withColumn("cell", F.floor(F.col("share") * cells))
-    placed = _ranked(spread, [], "cell", ["share", "stratum", "rank"], "position")
+    # what is known of a source reaches its rows cell by cell
+    ranked = summed(keyed, cells(keyed, ["stratum"], "cell", one).join(sizes, "stratum"), ["stratum"], "cell", ["key", "doc_id", "size"], one)
+    spread = ranked.withColumnRenamed("before_rows", "rank").withColumn("share", (F.col("rank") + F.col("u")) / F.col("of"))
+    spread = spread.withColumn("cell", F.floor(F.col("share") * n_cells))
+    placed = summed(spread, cells(spread, [], "cell", one), [], "cell", ["share", "stratum", "rank"], one).withColumnRenamed("before_rows", "position")
     shard = F.expr(f"position * {shards} div {max(total, 1)}")
     placed = placed.withColumn("shard", shard.cast("int"))
     slot = F.expr(f"position - (shard * {max(total, 1)}L + {shards - 1}) div {shards}")

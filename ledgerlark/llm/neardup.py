@@ -50,7 +50,7 @@ SMALL, NEAR = 24, 3
 HUBS = 8
 #: Members of a region, and sets that share a rare shingle, that are joined under one key; those of a larger one are dealt out over several.
 PIECE = 256
-#: Sets of a region that one task orders at most on average; a larger region is dealt out, its parts joined by their first sets.
+#: Sets that a part of a hot region has on average; its parts are joined by their first sets.
 ORDERED = 4096
 
 _rng = np.random.Generator(np.random.PCG64(7_041_776))
@@ -201,22 +201,37 @@ def _rest(members: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links), kept."""
-    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    rows = written(described(docs, words), "described")
-    sets = rows.filter("set is not null and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "n_shingles", "prefixes")).alias("x"))
-    sets = written(sets.select("set", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), "x.prefixes"), "sets")
+def in_order(sets: DataFrame) -> DataFrame:
+    """For each set (node, n, prefixes) and tree in which it shares its region: region, tree, node, n, first (of the region), sets (in it), before (the NEAR sets before it in the order).
 
-    # the trees: a row for each set and tree, its region, and how its signature goes on
+    Regions are dealt out before rows meet what is known of them: those of more
+    than a thousandth of all sets, of which a tree has less than a thousand, are
+    broadcast, and their sets and counts are joined, and then ordered, by region
+    and part.
+    """
+    # a row for each set and tree, its region, and how its signature goes on
     in_trees = sets.select("node", "n", F.posexplode("prefixes").alias("tree", "prefix"), "prefixes").select(
         "node", "n", "tree", F.xxhash64("tree", "prefix").alias("region"), F.expr(f"prefixes[(tree + 1) % {TREES}]").alias("further")
     )
     shared = in_trees.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.min("node").alias("first")).filter("sets > 1")
-    members = in_trees.join(shared, "region").withColumn("part", F.when(F.col("sets") > ORDERED, F.pmod(F.xxhash64("node"), F.ceil(F.col("sets") / ORDERED))).otherwise(0))
+    shared = written(shared, "regions").withColumn("parts", F.when(F.col("sets") > max(ORDERED, sets.count() // 1000), F.ceil(F.col("sets") / ORDERED)).cast("int"))
+    hot = shared.filter("parts is not null").select(F.col("region").alias("hot"), "parts")
+    dealt = in_trees.join(F.broadcast(hot), F.col("region") == F.col("hot"), "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), "parts"), F.lit(0)).cast("int")).drop("hot", "parts")
+    known = shared.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    members = dealt.join(known, ["region", "part"])
     order = Window.partitionBy("region", "part").orderBy("further", "node")
     lags = [F.struct(F.lag("node", k).over(order).alias("node"), F.lag("n", k).over(order).alias("n")) for k in range(1, NEAR + 1)]
-    members = written(members.select("region", "tree", "node", "n", "first", "sets", F.filter(F.array(*lags), lambda x: x["node"].isNotNull()).alias("before")), "members")
+    return members.select("region", "tree", "node", "n", "first", "sets", F.filter(F.array(*lags), lambda x: x["node"].isNotNull()).alias("before"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """A row for each row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links), kept."""
+    docs = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
+    rows = written(described(docs, words), "described")
+    sets = rows.filter("set is not null and doc_id is not null").groupBy("set").agg(F.min(F.struct("doc_id", "n_shingles", "prefixes")).alias("x"))
+    sets = written(sets.select("set", F.col("x.doc_id").alias("node"), F.col("x.n_shingles").alias("n"), "x.prefixes"), "sets")
+
+    members = written(in_order(sets), "members")
 
     texts = written(docs.join(members.select("node").distinct(), docs["doc_id"] == F.col("node")).select("node", "text"), "texts")
     head = F.when((F.size("before") == 0) & (F.col("first") != F.col("node")), F.col("first"))

@@ -210,6 +210,35 @@ def test_pairs_of_a_small_region_are_all_confirmed(spark):
     assert [(r.a, r.b) for r in neardup._between_components(members, 80).collect()] == [(5, 6)]
 
 
+def test_pairs_at_the_threshold_are_all_found(spark):
+    """1,200 pairs whose similarity is exactly 0.8, and none besides."""
+    texts = []
+    for k in range(1200):
+        both, own = [f"w{k}x{i}" for i in range(80)], [[f"{x}{k}y{i}" for i in range(10)] for x in "ab"]
+        texts += [" ".join(both + own[0]), " ".join(own[1] + both)]
+    got = by_id(neardup.near_duplicates(docs_of(spark, texts), words=1))
+    assert all(got[2 * k].component_id == got[2 * k + 1].component_id == 2 * k for k in range(1200))
+
+
+def test_a_hot_region_is_dealt_out_before_it_is_ordered(spark, monkeypatch):
+    """With a third of all sets in one region of a tree, parts of it are ordered apart, also without broadcasts."""
+    monkeypatch.setattr(neardup, "ORDERED", 20)
+    rows = [(i, 10, [7 if tree == 0 and i % 3 == 0 else 1_000 + (i // 2) * (tree + 1) for tree in range(neardup.TREES)]) for i in range(600)]
+    sets = spark.createDataFrame(rows, "node bigint, n bigint, prefixes array<bigint>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        members = neardup.in_order(sets)
+        plan = members._jdf.queryExecution().executedPlan().toString()
+        got = members.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hot = [r for r in got if r.sets == 200]
+    assert len(hot) == 200 and sum(not r.before for r in hot) == 10 and max(len(r.before) for r in hot) == neardup.NEAR
+    assert {r.sets for r in got if r not in hot} <= {2} and all(r.first == min(x.node for x in got if x.region == r.region) for r in hot)
+    exchanges = [line for line in plan.splitlines() if "hashpartitioning" in line]
+    assert any("part" in line.split("hashpartitioning(")[1].split(")")[0] and "region" in line.split("hashpartitioning(")[1] for line in exchanges)
+
+
 def test_near_duplicates_of_nothing_and_without_ids(docs, spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c"), (5, "A b  C"), (9, None)], "doc_id bigint, text string")
@@ -510,6 +539,12 @@ def test_shards_with_many_sources_of_a_row(spark):
 
 
 # operator 2
+def chat_bytes(role, text):
+    for plain, code in chat._CODES:
+        role, text = role.replace(plain, code), text.replace(plain, code)
+    return len(f"{chat.BEGIN}{role.replace(*chat._LINE)}\n{text}{chat.END}\n".encode())
+
+
 def test_chat_windows(spark):
     rng = np.random.default_rng(2)
     words = ["hello", "</s>", "[INST]", "[/INST]", "<|turn|>", "<|end|>\n", "\x1b", "\x1ba", "x\ny", "é", "<|en", "d|>"]
@@ -521,7 +556,7 @@ def test_chat_windows(spark):
             turns.append((conv, t, role, text, 0))
     turns += [(100, 0, "assistant", "same", 0), (100, 0, "assistant", "same", 0), (101, None, None, None, 0), (None, 1, "ro\nle", "t", 0)]
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string, window int")
-    windows = chat.chat_windows(df, budget=200, history=40)
+    windows = chat.chat_windows(df, budget=800, history=160)
     read = windows.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("targets", chat.read_targets(F.col("formatted"), F.col("loss_spans"))).collect()
     for conv in {t[0] for t in turns}:
         own = sorted((r for r in read if r.conv_id == conv), key=lambda r: r.window)
@@ -529,7 +564,7 @@ def test_chat_windows(spark):
         assert [(t.role, t.text) for r in own for t in r.turns[r.n_repeated :]] == want
         assert [t for r in own for t in r.targets] == [x for r, x in want if r == "assistant"]
         for r in own:
-            assert r.tokens <= 200 or len(r.turns) - r.n_repeated == 1
+            assert r.tokens <= 800 or len(r.turns) - r.n_repeated == 1
             if want[0][0] == "system":
                 assert r.turns[0].role == "system"
     assert any(r.n_repeated > 1 for r in read)
@@ -543,18 +578,40 @@ def test_chat_windows_keep_within_the_budget(spark):
         sizes = [system] * (system > 0) + [int(rng.integers(150, 197)) if k % 6 == 5 else int(rng.integers(4, 30)) for k in range(80)]
         at = 3 * (conv % 2) if system else 0
         sizes = sizes[1 : at + 1] + sizes[:1] + sizes[at + 1 :]
-        turns += [(conv, k, "system" if system and k == at else ["user", "assistant"][k % 2], f"t{k}" + " a" * (n - 5)) for k, n in enumerate(sizes)]
+        for k, n in enumerate(sizes):
+            role = "system" if system and k == at else ["user", "assistant"][k % 2]
+            turns.append((conv, k, role, f"t{k}".ljust(10 * n - 17 - len(role), "a")))
     df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
-    read = chat.chat_windows(df, budget=200, history=40).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
-    tokens = lambda t: len(t.text.split()) + chat.MARKERS
+    read = chat.chat_windows(df, budget=2000, history=400).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
+    tokens = lambda t: len(f"{chat.BEGIN}{t.role}\n{t.text}{chat.END}\n")
     for conv in {t[0] for t in turns}:
         own = sorted((r for r in read if r.conv_id == conv), key=lambda r: r.window)
         assert [t.text for r in own for t in r.turns[r.n_repeated :]] == [x for c, _, _, x in turns if c == conv]
         for r in own:
             new, system = r.turns[r.n_repeated :], sum(tokens(t) for t in r.turns if t.role == "system")
             assert r.tokens == sum(map(tokens, r.turns))
-            assert r.tokens <= 200 or system >= 200 or (len(new) == 1 and tokens(new[0]) + system * (new[0].role != "system") > 200)
-    assert any(len(r.turns) - r.n_repeated == 1 and r.n_repeated and 180 <= r.tokens <= 200 for r in read)
+            assert r.tokens <= 2000 or system >= 2000 or (len(new) == 1 and tokens(new[0]) + system * (new[0].role != "system") > 2000)
+    assert any(len(r.turns) - r.n_repeated == 1 and r.n_repeated and 1800 <= r.tokens <= 2000 for r in read)
+
+
+def test_chat_windows_keep_within_the_budget_in_real_tokens(spark, sf_dir):
+    """With both tokenizers, over all conversations and texts without spaces."""
+    import sentencepiece
+
+    turns = [(c, t, r or "", x or "") for c, t, r, x in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    turns += [(-2, k, ["user", "assistant"][k % 2], "\u4e2d\u6587\u5b57" * 30) for k in range(40)] + [(-3, k, ["user", "assistant"][k % 2], "</s>[INST]\x1b" * 8) for k in range(40)] + [(-4, 0, "user", "\U0001f600" * 700)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    read = chat.chat_windows(df, budget=512, history=96).withColumn("turns", chat.read_turns(F.col("formatted"))).collect()
+    piece = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    over = 0
+    for r in read:
+        tokens = max(len(encoded(r.formatted)), len(piece.encode(r.formatted)) - 1)  # but for the space that the model adds
+        assert tokens <= r.tokens == len(r.formatted.encode())
+        new, system = r.turns[r.n_repeated :], [t for t in r.turns if t.role == "system"]
+        bytes_of = lambda rows: sum(chat_bytes(t.role, t.text) for t in rows)
+        assert tokens <= 512 or len(new) == 1 and bytes_of([*new, *[t for t in system if t not in new]]) > 512 or bytes_of(system) >= 512
+        over += r.tokens > 512
+    assert over < len(read) and any(r.conv_id == -2 for r in read)
 
 
 def test_a_late_system_turn_and_given_tokens(spark):
@@ -601,9 +658,11 @@ def test_token_shards_of_nothing(docs, spark, tmp_path):
 
 
 def test_slots_are_in_the_order_of_permuted_places(docs, spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tokenshards, "BLOCK", 3)  # offsets over several blocks of shards
+    monkeypatch.setattr(tokenshards, "MOST", 6)  # several files in each shard
     folder = f"file://{tmp_path}/shards"
     tokenshards.write_shards(docs, BYTE_BPE, folder, key=5, length=32, shard=40)
+    files = sorted(tmp_path.glob("shards/shard=*/part*"))
+    assert len(list(tmp_path.glob("shards/shard=*"))) == 6 and len(files) > 12 and max(f.stat().st_size for f in files) == 40 * tokenshards.record_bytes(BYTE_BPE, 32)
     got = sorted(tokenshards.read_shards(spark, BYTE_BPE, folder, length=32).collect(), key=lambda r: r.slot)
     per_doc = max(len((t or "").encode()) for t in TEXTS) // 32 + 1
     numbers = [i * per_doc + k for i, t in enumerate(TEXTS) for k in range(-(-(len(encoded(t)) + 1) // 32))]

@@ -372,14 +372,82 @@ def test_snapshot_stream(spark, tmp_path):
     assert arrive(row(4, None, 9.0)) == {"A": 3.0, "B": 2.0}  # a bad batch keeps the snapshot
     for n in range(5, 8):
         assert arrive(row(n, "C", float(n)))["C"] == n
-    kept = [p.parent.name for p in (tmp_path / "out").glob("batch=*/bucket=*")]
-    versions = {b: len(list((tmp_path / "out").glob(f"batch=*/bucket={b}"))) for b in {int(p.name[7:]) for p in (tmp_path / "out").glob("batch=*/bucket=*")}}
-    assert len(versions) == 3 and sorted(versions.values()) == [1, 2, 2] and len(kept) == 5  # only what a batch touches is written, and older versions are removed
+    buckets = [p.name for p in (tmp_path / "out").glob("version=*/rows/bucket=*")]
+    assert max(map(buckets.count, buckets)) <= 3 and len(set(buckets)) == 3  # only what a batch touches is written, and older versions are removed
+    assert len(list((tmp_path / "out" / "_manifests").glob("*.json"))) == 2
     with pytest.raises(ValueError):
         snapshots.trigger(5)
     assert snapshots.trigger() == {"processingTime": "900 seconds"}
 
 
+QUOTE = "symbol string, seq bigint, price double"
+
+
+def stream(spark, tmp_path, lines, checkpoint="ck", **options):
+    """Lines arrive in a file of their own, and a stream with that checkpoint runs over what it has not seen."""
+    folder = tmp_path / "in"
+    folder.mkdir(exist_ok=True)
+    (folder / f"{len(list(folder.iterdir())):03d}.json").write_text("\n".join(lines) + "\n" if lines else "")
+    q = snapshots.keep_latest(spark, str(folder), QUOTE, str(tmp_path / "out"), str(tmp_path / checkpoint), "symbol", "seq", **options)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    now = snapshots.snapshot(spark, str(tmp_path / "out"), QUOTE)
+    return sorted((r.symbol, r.price) for r in now.collect()) if now else None
+
+
+def quote(symbol, seq, price):
+    return json.dumps({"symbol": symbol, "seq": seq, "price": price})
+
+
+def test_snapshot_after_a_new_checkpoint_and_other_buckets(spark, tmp_path):
+    assert stream(spark, tmp_path, [quote("A", 1, 1.0), quote("B", 1, 5.0)]) == [("A", 1.0), ("B", 5.0)]
+    assert stream(spark, tmp_path, [quote("A", 2, 2.0)]) == [("A", 2.0), ("B", 5.0)]
+    assert stream(spark, tmp_path, [quote("A", 3, 3.0)], "other") == [("A", 3.0), ("B", 5.0)]  # all lines again, from batch 0 on
+    assert stream(spark, tmp_path, [quote("C", 1, 7.0)], "other", buckets=7) == [("A", 3.0), ("B", 5.0), ("C", 7.0)]
+    assert stream(spark, tmp_path, [quote("A", 4, 9.0)], "other", buckets=7) == [("A", 9.0), ("B", 5.0), ("C", 7.0)]
+    assert stream(spark, tmp_path, [quote("A", 5, 9.5)], "other", buckets=64) == [("A", 9.5), ("B", 5.0), ("C", 7.0)]
+    names = [p.name for p in (tmp_path / "out").glob("version=*")]
+    assert len(names) <= 4
+
+
+def test_every_line_is_merged_or_in_quarantine_once(spark, tmp_path):
+    from ledgerlark.streaming import manifests
+
+    out = str(tmp_path / "out")
+    state = lambda: (lambda m: (m.merged, m.quarantined))(manifests.last(spark, out))
+    held = lambda: sorted((r.value, r.reason) for r in snapshots.quarantined(spark, out).collect())
+    assert stream(spark, tmp_path, ["no json", quote(None, 1, 1.0)]) is None and state() == (0, 2)
+    assert stream(spark, tmp_path, [quote("A", 1, 1.0), '{"symbol": "B", "seq": "x"}', "", "  "]) == [("A", 1.0)] and state() == (1, 3)
+    complete = snapshots.has_all("symbol", "price", ["A", "B"])
+    assert stream(spark, tmp_path, [quote("A", 2, 2.0), "{"], accept=complete) == [("A", 1.0)] and state() == (1, 5)
+    reasons = [r for _, r in held()]
+    assert sorted(reasons) == ["keyless", "malformed", "malformed", "malformed", "refused"]
+    assert stream(spark, tmp_path, [quote("A", 3, 3.0), quote("B", 3, 4.0)], accept=complete) == [("A", 3.0), ("B", 4.0)] and state() == (3, 5)
+
+    # a batch that runs again after its version was written changes nothing
+    before = manifests.last(spark, out)
+    owner, number = next(iter(before.owners.items()))
+    for file in [*(tmp_path / "ck" / "commits").glob(str(number)), *(tmp_path / "ck" / "commits").glob(f".{number}.crc")]:
+        file.unlink()
+    assert stream(spark, tmp_path, []) == [("A", 3.0), ("B", 4.0)]
+    assert state() == (3, 5) and manifests.last(spark, out).owners[owner] >= number
+
+    # what can be mended is merged, once; the rest stays
+    mend = lambda lines: lines.withColumn("value", F.regexp_replace("value", '"seq": "x"', '"seq": 9, "price": 8.5'))
+    snapshots.replay(spark, out, QUOTE, "symbol", "seq", mend)
+    assert sorted((r.symbol, r.price) for r in snapshots.snapshot(spark, out, QUOTE).collect()) == [("A", 3.0), ("B", 8.5)] and state() == (5, 3)
+    assert sorted(r for _, r in held()) == ["keyless", "malformed", "malformed"]
+    snapshots.replay(spark, out, QUOTE, "symbol", "seq")
+    assert state() == (5, 3) and len(held()) == 3
+
+    # two writers of one version
+    later = manifests.last(spark, out)
+    manifests.commit(spark, out, later.following("x", 0, 0))
+    with pytest.raises(RuntimeError):
+        manifests.commit(spark, out, later.following("y", 0, 0))
+    assert state() == (5, 3)
+
+
 def test_written_once(spark, tmp_path):
     made = []
     make = lambda: made.append(1) or spark.range(2)

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.formats import dollars, grouped, iso_day, month_day, signed_percent
 from ledgerlark.functions.semantics import cents, if_set, or_else, ratio, round_half_up, text_or_else, try_number
-from ledgerlark.operators import carry, matching, positions, ranking, rebalancing, series, valuation
+from ledgerlark.operators import carry, matching, positions, ranking, rebalancing, series, valuation, wide_tables
 from ledgerlark.operators.allocation import allocation, concentration, largest
-from ledgerlark.plans.shared import written
+from ledgerlark.plans.shared import new_path, written
 from ledgerlark.plans.tables import read_table
-from ledgerlark.sources import envelopes
+from ledgerlark.sources import envelopes, landed, readers
 from ledgerlark.sources.readers import only_symbols, symbols
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -454,6 +454,70 @@ def symbol_filter(spark, sf_dir):
     return only_symbols(read_table(spark, sf_dir, "part"), "p_brand", symbols("", "Brand#2,Brand#17")).select("p_partkey", "p_brand")
 
 
+@query("""
+    SELECT event_id AS bar_seq, event_type AS symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(epoch_us(ts) AS BIGINT) AS at, value AS open, CAST(NULL AS VARCHAR) AS error
+    FROM events WHERE event_type IN ('view', 'purchase') AND ts >= (SELECT CAST(min(ts) AS DATE) + 2 FROM events) AND ts < (SELECT CAST(min(ts) AS DATE) + 12 FROM events)
+""")
+def landed_bars(spark, sf_dir):
+    """Bars as a collector would land them, one folder for each symbol's day, asked for by symbols and days."""
+    path = new_path(spark, "bars")
+    day = F.to_date("ts")
+    events = read_table(spark, sf_dir, "events")
+    begin = events.agg(F.min(day)).first()[0]
+    rows = events.select(F.col("event_type").alias("symbol"), day.alias("day"), F.col("event_id").alias("bar_seq"), F.col("ts").cast("timestamp").alias("bar_ts"), F.col("value").alias("open"))
+    rows.repartition("symbol", "day").write.partitionBy("symbol", "day").parquet(path)
+    asked = only_symbols(landed.table(spark, "bars", path, push=True), "symbol", symbols("", "view,purchase")).filter((F.col("day") >= F.date_add(F.lit(begin), 2)) & (F.col("day") < F.date_add(F.lit(begin), 12)))
+    return asked.select("bar_seq", "symbol", _text("day"), F.unix_micros("bar_ts").alias("at"), "open", "error")
+
+
+# A document whose fields differ from row to row: one in three has a list, one in five a nested object, one in seven a text where others have a number.
+_DRIFT_SQL = """
+    docs AS (SELECT event_id, concat('{"id": ', event_id, ', "props": ', props, CASE WHEN event_id % 3 = 0 THEN concat(', "tags": ["t', user_id % 4, '", "', event_type, '"]') ELSE '' END,
+      CASE WHEN event_id % 5 = 0 THEN concat(', "risk": {"score": ', user_id, '}') ELSE '' END, ', "size": ', CASE WHEN event_id % 7 = 0 THEN '"large"' ELSE CAST(user_id % 9 AS VARCHAR) END, '}') AS doc FROM events)
+"""
+
+
+def _drifting(spark, sf_dir):
+    at, user = F.col("event_id"), F.col("user_id")
+    tags = F.when(at % 3 == 0, F.concat(F.lit(', "tags": ["t'), (user % 4).cast("string"), F.lit('", "'), "event_type", F.lit('"]'))).otherwise("")
+    risk = F.when(at % 5 == 0, F.concat(F.lit(', "risk": {"score": '), user.cast("string"), F.lit("}"))).otherwise("")
+    size = F.when(at % 7 == 0, '"large"').otherwise((user % 9).cast("string"))
+    return read_table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"id": '), at.cast("string"), F.lit(', "props": '), "props", tags, risk, F.lit(', "size": '), size, F.lit("}")).alias("doc"))
+
+
+@query(f"""
+    WITH {_DRIFT_SQL}
+    SELECT event_id, CAST(json_extract(doc, '$.props.k') AS BIGINT) AS k, json_extract_string(doc, '$.risk.score') AS risk, try_cast(json_extract_string(doc, '$.size') AS BIGINT) AS size,
+      CAST(coalesce(json_array_length(doc, '$.tags'), 0) AS BIGINT) AS n_tags, CASE WHEN event_id % 3 = 0 THEN 'ARRAY<STRING>' ELSE '' END || '|' || CASE WHEN event_id % 5 = 0 THEN 'OBJECT<score: BIGINT>' ELSE '' END || '|' || CASE WHEN event_id % 7 = 0 THEN 'STRING' ELSE 'BIGINT' END AS shape FROM docs
+""")
+def drifting_documents(spark, sf_dir):
+    docs = readers.drifting(_drifting(spark, sf_dir), "doc", {"k": ("$.props.k", "bigint"), "risk": ("$.risk.score", "string"), "size": ("$.size", "bigint")})
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.variant_get("document", path, "variant")), F.lit(""))
+    n_tags = F.coalesce(F.size(F.try_variant_get("document", "$.tags", "array<variant>")), F.lit(0)).cast("bigint")
+    return docs.select("event_id", "k", "risk", "size", n_tags.alias("n_tags"), F.concat(kind("$.tags"), F.lit("|"), kind("$.risk"), F.lit("|"), kind("$.size")).alias("shape"))
+
+
+@query(f"""
+    WITH {_DRIFT_SQL}, f AS (SELECT event_id, unnest(json_keys(doc)) AS field FROM docs)
+    SELECT field, count(*) AS n, min(event_id) AS first_seen FROM f GROUP BY 1
+""")
+def document_fields(spark, sf_dir):
+    docs = readers.drifting(_drifting(spark, sf_dir), "doc", {})
+    return readers.document_fields(docs, "document").groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_seen"))
+
+
+@query("""
+    WITH m AS (SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS month, o_orderpriority AS name, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders WHERE o_custkey % 40 = 0 GROUP BY 1, 2)
+    SELECT month, name, cents FROM (SELECT DISTINCT month FROM m) CROSS JOIN (SELECT DISTINCT name FROM m) LEFT JOIN m USING (month, name)
+""")
+def wide_months(spark, sf_dir):
+    """Months by priority as a wide table whose columns are found in the data, and back; cells without orders are null."""
+    orders = read_table(spark, sf_dir, "orders").filter("o_custkey % 40 = 0")
+    months = orders.groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").cast("string").alias("month"), F.col("o_orderpriority").alias("name")).agg(F.sum(cents(F.col("o_totalprice"))).alias("cents"))
+    wide = wide_tables.wide(months, ["month"], "name", "cents")
+    return wide_tables.long(wide, ["month"], "name", "cents")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))

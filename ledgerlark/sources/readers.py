@@ -44,6 +44,24 @@ def week_weights(document: DataFrame) -> DataFrame:
     return _week(document).select("week", F.explode("weights").alias("ticker", "weight"))
 
 
+def drifting(df: DataFrame, column: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Documents whose shape changes from row to row: df with `document`, all that a JSON text holds as a VARIANT, and fields (name: path, type) as columns.
+
+    A field that a document lacks, or has in another type, is null; it is still
+    in `document`, as are fields that nobody has asked for yet. A text that is no
+    JSON gives nulls.
+    """
+    parsed = df.withColumn("document", F.try_parse_json(F.col(column)))
+    return parsed.withColumns({name: F.try_variant_get("document", path, kind) for name, (path, kind) in fields.items()})
+
+
+def document_fields(df: DataFrame, column: str) -> DataFrame:
+    """A row for each field of each document: the other columns of df, field, and value (a VARIANT)."""
+    others = [c for c in df.columns if c != column]
+    pairs = F.map_entries(F.try_variant_get(column, "$", "map<string,variant>"))
+    return df.select(*others, F.explode(pairs).alias("x")).select(*others, F.col("x.key").alias("field"), F.col("x.value").alias("value"))
+
+
 def quotes(spark: SparkSession, path: str) -> DataFrame:
     """Quotes that were landed as JSON lines."""
     return spark.read.schema(QUOTES).json(path)

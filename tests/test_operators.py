@@ -448,6 +448,102 @@ def test_every_line_is_merged_or_in_quarantine_once(spark, tmp_path):
     assert state() == (5, 3)
 
 
+def quoting(symbol, day):
+    """A client that fails for one symbol."""
+    if symbol == "BAD":
+        raise OSError("no such symbol")
+    return [{"price": float(day.day), "seq": 1, "market_state": "REGULAR"}]
+
+
+def test_landed_source(spark, tmp_path):
+    from ledgerlark.sources import landed
+
+    root = tmp_path / "quotes"
+    for symbol in ("A", "B", "C D"):
+        for day in (1, 2, 3):
+            folder = root / f"symbol={symbol.replace(' ', '%20')}" / f"day=2026-01-{day:02d}"
+            folder.mkdir(parents=True)
+            (folder / "x.json").write_text("" if symbol == "A" and day == 3 else "no json" if symbol == "B" and day == 2 else json.dumps({"seq": day, "price": day + 0.5, "unknown": [1]}) + "\n")
+    read = landed.table(spark, "quotes", f"file://{root}", push=True)
+    plain = landed.table(spark, "quotes", str(root))
+    every = {(r.symbol, r.day.day): r for r in read.collect()}
+    assert sorted(every) == [("A", 1), ("A", 2), ("B", 1), ("B", 2), ("B", 3), ("C D", 1), ("C D", 2), ("C D", 3)]
+    assert every["C D", 2].price == 2.5 and every["C D", 2].error is None and every["C D", 2].market_state is None
+    assert every["B", 2].error and every["B", 2].price is None and every["B", 2].file.endswith("x.json")
+
+    asked = read.filter("symbol IN ('A', 'B') AND day >= '2026-01-02' AND price > 0")
+    assert sorted((r.symbol, r.day.day) for r in asked.collect()) == [("A", 2), ("B", 3)]
+    # which files are opened: those of the partitions that pushed filters leave
+    reader = landed.PushedReader(read.schema, {"path": str(root)})
+    from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, In, LessThan
+
+    left = list(reader.pushFilters([In(("symbol",), ("A", "B")), GreaterThanOrEqual(("day",), dt.date(2026, 1, 2)), GreaterThan(("price",), 0.0)]))
+    assert left == [GreaterThan(("price",), 0.0)]
+    opened = [f for p in reader.partitions() for f in p.files]
+    assert opened == [f"{root}/symbol={s}/day=2026-01-{d:02d}/x.json" for s, d in (("A", 2), ("A", 3), ("B", 2), ("B", 3))]
+    assert asked.rdd.getNumPartitions() == 4  # the filters have reached the source
+    assert read.count() == 8  # and leave no trace in the table
+    assert plain.filter("symbol = 'A'").union(plain.filter("symbol = 'B'")).count() == 5
+    some = landed.table(spark, "quotes", str(root), symbols=["B", "C D"], first="2026-01-02", last="2026-01-02")
+    assert sorted(r.symbol for r in some.collect()) == ["B", "C D"] and some.rdd.getNumPartitions() == 2
+    assert not list(reader.pushFilters([EqualTo(("symbol",), "A"), LessThan(("day",), dt.date(2026, 1, 3))])) and len(reader.partitions()) == 1
+
+    # a client is asked in tasks, for what the filters name
+    client = landed.table(spark, "quotes", client=f"{__name__}:quoting", push=True)
+    got = client.filter("symbol IN ('A', 'BAD') AND day BETWEEN '2026-01-05' AND '2026-01-06'").collect()
+    assert sorted((r.symbol, r.day.day, r.price, r.error) for r in got if r.symbol == "A") == [("A", 5, 5.0, None), ("A", 6, 6.0, None)]
+    assert [r.error for r in got if r.symbol == "BAD"] == ["OSError: no such symbol"] * 2
+    with pytest.raises(Exception, match="names its symbols"):
+        client.collect()
+
+
+def test_landed_stream(spark, tmp_path):
+    from ledgerlark.sources import landed
+
+    landed.register(spark)
+    root = tmp_path / "bars"
+
+    def arrive(symbol, seq):
+        folder = root / f"symbol={symbol}" / "day=2026-01-01"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{seq}.json").write_text(json.dumps({"bar_seq": seq, "open": 1.0}) + "\n")
+
+    def run():
+        stream = spark.readStream.format("landed").option("kind", "bars").load(str(root)).select("symbol", "bar_seq")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").option("path", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    arrive("A", 1), arrive("B", 2)
+    assert run() == [("A", 1), ("B", 2)]
+    arrive("A", 3)
+    assert run() == [("A", 1), ("A", 3), ("B", 2)] == run()
+
+
+def test_wide_tables(spark):
+    from ledgerlark.operators import wide_tables
+
+    rows = spark.createDataFrame([("2026-01", "x.y", 1), ("2026-01", "b", 2), ("2026-02", "b", 3), ("2026-03", None, 4), ("2026-01", "b", 1)], "month string, name string, v bigint")
+    wide = wide_tables.wide(rows, ["month"], "name", "v")
+    assert wide.columns == ["month", "b", "x.y"] and sorted(tuple(r) for r in wide.collect()) == [("2026-01", 2, 1), ("2026-02", 3, None), ("2026-03", None, None)]
+    back = wide_tables.long(wide, ["month"], "name", "v", keep_null=False)
+    assert sorted(tuple(r) for r in back.collect()) == [("2026-01", "b", 2), ("2026-01", "x.y", 1), ("2026-02", "b", 3)] and wide_tables.long(wide, ["month"], "name", "v").count() == 6
+    both = wide_tables.combined([wide, spark.createDataFrame([("2026-04", 9)], "month string, q bigint")])
+    assert both.columns == ["month", "b", "x.y", "q"] and both.filter("q = 9 AND b IS NULL").count() == 1
+    assert wide_tables.long(wide_tables.wide(rows.limit(0), ["month"], "name", "v"), ["month"], "name", "v").count() == 0
+    with pytest.raises(ValueError):
+        wide_tables.names_of(rows, "name", 1)
+    with pytest.raises(ValueError):
+        wide_tables.wide(rows.withColumn("name", F.lit("month")), ["month"], "name", "v")
+
+
+def test_drifting_documents(spark):
+    docs = spark.createDataFrame([(1, '{"a": 1, "b": {"c": [1, 2]}}'), (2, '{"a": "x", "new": null}'), (3, "no json"), (4, None), (5, "[1]")], "id bigint, doc string")
+    read = readers.drifting(docs, "doc", {"a": ("$.a", "bigint"), "second": ("$.b.c[1]", "bigint")})
+    assert {r.id: (r.a, r.second) for r in read.collect()} == {1: (1, 2), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None)}
+    fields = readers.document_fields(read.select("id", "document"), "document")
+    assert sorted((r.id, r.field) for r in fields.collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "new")]
+
+
 def test_written_once(spark, tmp_path):
     made = []
     make = lambda: made.append(1) or spark.range(2)

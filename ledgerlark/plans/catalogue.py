@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlark.functions.formats import dollars, grouped, iso_day, month_day, signed_percent
 from ledgerlark.functions.semantics import cents, if_set, or_else, ratio, round_half_up, text_or_else, try_number
-from ledgerlark.operators import carry, matching, positions, ranking, rebalancing, series, valuation, wide_tables
+from ledgerlark.operators import carry, matching, optimising, positions, ranking, rebalancing, series, valuation, wide_tables
 from ledgerlark.operators.allocation import allocation, concentration, largest
 from ledgerlark.plans.shared import new_path, written
 from ledgerlark.plans.tables import read_table
@@ -550,6 +550,50 @@ def risk_metrics(spark, sf_dir):
     return figures.select("event_type", *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("mean", 6), ("volatility", 6), ("beta", 5), ("sharpe", 5), ("alpha", 5), ("correlation", 5), ("tracking_error", 6), ("information_ratio", 5), ("var_95", 6))])
 
 
+# Returns of five assets (kinds of events) in each of four portfolios (of users), by day; each Monday looks back over two weeks.
+_LOOK_BACK_SQL = """
+    v AS (SELECT user_id % 4 AS portfolio, event_type AS asset, CAST(ts AS DATE) AS day, avg(CAST(round(value * 100) AS BIGINT)) AS v FROM events GROUP BY 1, 2, 3),
+    r AS (SELECT portfolio, asset, day, v / lag(v) OVER (PARTITION BY portfolio, asset ORDER BY day) - 1 AS ret FROM v),
+    b AS (SELECT portfolio, asset, day, ret, CAST(date_trunc('week', day) AS DATE) + 7 * k AS week FROM r, (SELECT unnest([1, 2]) AS k) WHERE ret IS NOT NULL)
+"""
+
+
+def _look_back(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("portfolio"), F.col("event_type").alias("asset"), F.to_date("ts").alias("day"), cents(F.col("value")).alias("cents"))
+    values = events.groupBy("portfolio", "asset", "day").agg(F.avg("cents").alias("v"))
+    rets = values.withColumn("ret", ratio(F.col("v"), F.lag("v").over(Window.partitionBy("portfolio", "asset").orderBy("day"))) - 1).filter("ret is not null")
+    return rets.withColumn("week", F.explode(optimising.looking_back(F.col("day"), 2)))
+
+
+@query(f"""
+    WITH {_LOOK_BACK_SQL}
+    SELECT x.portfolio, CAST(x.week AS VARCHAR) AS week, x.asset AS a, y.asset AS b, count(*) AS n, round(avg(x.ret), 6) AS mean_a, round(avg(y.ret), 6) AS mean_b, round(covar_samp(x.ret, y.ret), 6) + 0.0 AS covariance
+    FROM b x JOIN b y ON x.portfolio = y.portfolio AND x.week = y.week AND x.day = y.day AND x.asset <= y.asset GROUP BY 1, 2, 3, 4
+""")
+def return_moments(spark, sf_dir):
+    found = optimising.moments(_look_back(spark, sf_dir), ["portfolio", "week"], "day", "asset", "ret")
+    return found.select("portfolio", _text("week"), "a", "b", "n", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean_a", "mean_b", "covariance")])
+
+
+@query()
+def capped_weights(spark, sf_dir):
+    """No SQL: a solver; the tests hold it against brute force."""
+    found = optimising.moments(_look_back(spark, sf_dir), ["portfolio", "week"], "day", "asset", "ret")
+    return optimising.capped_weights(found, ["portfolio", "week"], tilt=0.1, most=0.35, least=0.02).select("portfolio", _text("week"), "asset", F.round("weight", 4).alias("weight"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders)
+    SELECT o_orderkey, place, coalesce(n_name, concat('W', place + 1)) AS label FROM o LEFT JOIN nation ON place = n_nationkey
+""")
+def order_labels(spark, sf_dir):
+    """Ordinals among all orders, and the labels that belong to them."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    placed = ranking.globally_numbered(orders, [F.col("o_orderdate"), F.col("o_orderkey")], "place", first=0)
+    labels = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("place"), "n_name")
+    return placed.join(labels, "place", "left").select("o_orderkey", "place", F.coalesce("n_name", F.concat(F.lit("W"), (F.col("place") + 1).cast("string"))).alias("label"))
+
+
 _QUOTE_FIELDS = ("price", "change", "change_percent", "previous_close", "open", "high", "low")
 
 

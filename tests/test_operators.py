@@ -544,6 +544,29 @@ def test_drifting_documents(spark):
     assert sorted((r.id, r.field) for r in fields.collect()) == [(1, "a"), (1, "b"), (2, "a"), (2, "new")]
 
 
+def test_capped_weights_of_three_assets(spark):
+    """Against all weights on a fine grid, and what they must keep."""
+    from ledgerlark.operators import optimising
+
+    rng = np.random.default_rng(4)
+    rows = [(g, d, a, float(x)) for g in (1, 2, 3) for d in range(20) for a, x in zip("abc", rng.normal([0.01, 0.0, -0.01], [0.02 * g, 0.01, 0.015]) + rng.normal(0, 0.01), strict=True)]
+    df = spark.createDataFrame([*rows, (4, 0, "a", 0.1), (4, 1, "a", 0.2), (4, 0, "b", 0.1), (5, 0, "a", 0.3), (5, 1, None, 0.3), (6, 0, "a", None)], "g int, d int, asset string, r double")
+    found = optimising.moments(df, ["g"], "d", "asset", "r")
+    by_pair = {(r.g, r.a, r.b): r for r in found.collect()}
+    for g in (1, 2, 3):
+        own = np.array([[x for h, _, a, x in rows if h == g and a == k] for k in "abc"])
+        assert all(by_pair[g, a, b].covariance == pytest.approx(np.cov(own)["abc".index(a), "abc".index(b)]) for a, b in ("aa", "ab", "bc", "cc"))
+        for tilt, most in ((0.0, 1.0), (0.02, 0.5), (5.0, 0.6)):
+            got = {r.asset: r.weight for r in optimising.capped_weights(found, ["g"], tilt, most).filter(f"g = {g}").collect()}
+            w = np.array([got[k] for k in "abc"])
+            cost = lambda w: (np.einsum("...i,ij,...j", w, np.cov(own), w) / 2 - tilt * w @ own.mean(axis=1))  # noqa: E731, B023
+            grid = np.array([(x, y, 1 - x - y) for x in np.linspace(0, most, 301) for y in np.linspace(0, most, 301) if -1e-12 <= 1 - x - y <= most + 1e-12])
+            assert abs(w.sum() - 1) < 1e-9 and w.min() >= 0 and w.max() <= most + 1e-9 and cost(w) <= cost(grid).min() + 1e-12
+    few = {(r.g, r.asset): r.weight for r in optimising.capped_weights(found, ["g"], 0.0, 0.3, least=0.05).collect()}
+    assert few[4, "a"] == pytest.approx(1.0) and not [k for k in few if k[0] in (5, 6)]  # one asset; none with a covariance
+    assert all(w == 0 or w >= 0.05 for w in few.values())
+
+
 def test_written_once(spark, tmp_path):
     made = []
     make = lambda: made.append(1) or spark.range(2)

@@ -16,7 +16,8 @@ The work, whose parts are all by distinct pre-token:
    summed. Frequent keys are in the dictionary, so the join has no hot key.
 
 Pre-tokens of more than `LONG` characters are counted where they stand. Ids are
-never materialised. Null texts count as empty; empty texts have no tokens. Rows
+never materialised, and texts are worked on a slice of a few MB (or one longer text)
+at a time. Null texts count as empty; empty texts have no tokens. Rows
 that repeat id and text are each returned; other columns are ignored.
 """
 
@@ -33,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlark.llm.bytewords import slices
 from ledgerlark.llm.scratch import written
 
 #: Most entries of the broadcast dictionary, and characters of a pre-token there and in the table: 13 million characters at most.
@@ -76,8 +78,9 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"pre_token": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
 
     for batch in batches:
-        for text in batch.column(0):
-            seen.update(k for k in pre_tokens(text.as_py() or "") if len(k) <= LONG)
+        for part in slices(batch, "text"):
+            for text in part.column("text"):
+                seen.update(k for k in pre_tokens(text.as_py() or "") if len(k) <= LONG)
             if len(seen) > HELD:
                 yield out()
                 seen.clear()
@@ -124,9 +127,9 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "
     def counted(batches):
         pieces = known.value.get
         some = list(known.value)[:4096] or [""]
-        for batch in batches:
+        for part in (x for batch in batches for x in slices(batch, "text")):
             ids, marks, keys, values, own = [], [], [], [], []
-            for doc, value in zip(batch.column(0), batch.column(1), strict=True):
+            for doc, value in zip(part.column("doc_id"), part.column("text"), strict=True):
                 x, doc = value.as_py() or "", doc.as_py()
                 raw = x.encode()
                 mark, total, rest = xxhash.xxh3_64_intdigest(raw) - 2**63, 0, []

@@ -107,6 +107,24 @@ def test_token_counts_by_join(docs, monkeypatch):
     assert tokencount.count_tokens(docs.limit(0), PIECE_BPE).count() == 0
 
 
+def test_token_counts_of_a_long_text_among_short_ones(spark, monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    texts = [f"short text number {i}" for i in range(300)] + [" ".join(f"w{i % 5000}" for i in range(60_000)), None, "tail"]
+    parts = []
+    monkeypatch.setattr(tokencount, "slices", lambda batch, column: (parts.append(x.num_rows) or x for x in bytewords.slices(batch, column, 4096)))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    counts = {}
+    for out in tokencount._frequencies(iter([batch])):
+        for k, n in zip(out.column("pre_token").to_pylist(), out.column("n").to_pylist(), strict=True):
+            counts[k] = counts.get(k, 0) + n
+    assert max(parts) < 300 and 1 in parts and counts["w7"] == 12 and counts["short"] == 300
+    monkeypatch.undo()
+    got = by_id(tokencount.count_tokens(docs_of(spark, texts).coalesce(1), PIECE_BPE))
+    assert [got[i].n_tokens for i in range(len(texts))] == [len(model.encode(t or "")) for t in texts]
+
+
 def test_other_models_are_refused(tmp_path):
     with pytest.raises(Exception):
         tokencount.checked_model(BYTE_BPE)
@@ -210,6 +228,14 @@ def test_pairs_of_a_small_region_are_all_confirmed(spark):
     assert [(r.a, r.b) for r in neardup._between_components(members, 80).collect()] == [(5, 6)]
 
 
+def test_near_duplicates_of_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    texts = [long, long + " end", long.replace("w5 ", "v5 "), "w1 w2", LONG, LONG + " and more", "x" * 90_000, long[: len(long) // 2]]
+    got = by_id(neardup.near_duplicates(docs_of(spark, texts)))
+    assert {i: tuple(r)[1:] for i, r in got.items()} == brute_components(texts, 5)
+    assert [got[i].component_id for i in range(4)] == [0, 0, 0, 3] and got[0].n_shingles == 29_996
+
+
 def test_pairs_at_the_threshold_are_all_found(spark):
     """1,200 pairs whose similarity is exactly 0.8, and none besides."""
     texts = []

@@ -507,15 +507,14 @@ def document_fields(spark, sf_dir):
 
 
 @query("""
-    WITH m AS (SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS month, o_orderpriority AS name, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders WHERE o_custkey % 40 = 0 GROUP BY 1, 2)
-    SELECT month, name, cents FROM (SELECT DISTINCT month FROM m) CROSS JOIN (SELECT DISTINCT name FROM m) LEFT JOIN m USING (month, name)
-""")
-def wide_months(spark, sf_dir):
-    """Months by priority as a wide table whose columns are found in the data, and back; cells without orders are null."""
-    orders = read_table(spark, sf_dir, "orders").filter("o_custkey % 40 = 0")
-    months = orders.groupBy(F.trunc(F.col("o_orderdate").cast("date"), "month").cast("string").alias("month"), F.col("o_orderpriority").alias("name")).agg(F.sum(cents(F.col("o_totalprice"))).alias("cents"))
-    wide = wide_tables.wide(months, ["month"], "name", "cents")
-    return wide_tables.long(wide, ["month"], "name", "cents")
+    WITH d AS (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderpriority AS name, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY 1, 2)
+    SELECT day, name, cents FROM (SELECT DISTINCT day FROM d) CROSS JOIN (SELECT DISTINCT name FROM d) LEFT JOIN d USING (day, name)
+""")
+def wide_days(spark, sf_dir):
+    """Days by priority as a wide table whose columns are found in the data, and back; cells without orders are null."""
+    day = F.col("o_orderdate").cast("date").cast("string").alias("day")
+    days = read_table(spark, sf_dir, "orders").groupBy(day, F.col("o_orderpriority").alias("name")).agg(F.sum(cents(F.col("o_totalprice"))).alias("cents"))
+    return wide_tables.long(wide_tables.wide(days, ["day"], "name", "cents"), ["day"], "name", "cents")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")

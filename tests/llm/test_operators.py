@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, over texts with all awkward cases."""
 
 import bisect
+import functools
 import hashlib
 import itertools
 import re
@@ -37,10 +38,15 @@ def by_id(df):
 
 
 # operator 6
-def encoded(text):
+@functools.lru_cache(maxsize=1)
+def byte_bpe():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(BYTE_BPE).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(BYTE_BPE)
+
+
+def encoded(text):
+    return byte_bpe().encode(text or "", add_special_tokens=False).ids
 
 
 def test_bpe_is_the_librarys(docs):

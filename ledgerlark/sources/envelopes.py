@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
+#: Keys of one map at most.
+MOST_KEYS = 10_000
 
 
 def later_wins(df: DataFrame, key: list[str], seq: str, value: Column) -> DataFrame:
@@ -15,10 +17,11 @@ def later_wins(df: DataFrame, key: list[str], seq: str, value: Column) -> DataFr
     return df.groupBy(*key).agg(F.max_by(value, F.col(seq)).alias("value"))
 
 
-def price_map(df: DataFrame, key: str, seq: str, value: Column) -> DataFrame:
-    """One row with a map from key to value; a later row of a key replaces an earlier one. Keys are a bounded set of symbols."""
+def price_map(df: DataFrame, key: str, seq: str, value: Column, most: int = MOST_KEYS) -> DataFrame:
+    """One row with a map from key to value; a later row of a key replaces an earlier one. More than `most` keys are an error, and no more are ever gathered."""
     entries = F.array_sort(F.collect_list(F.struct(F.col(key), F.col("value"))))
-    return later_wins(df, [key], seq, value).agg(F.map_from_entries(entries).alias("prices"))
+    rows = later_wins(df, [key], seq, value).limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.map_from_entries(entries).alias("prices"))
+    return rows.select(F.when(F.col("n") > most, F.raise_error(F.lit(f"more than {most} keys in one map"))).otherwise(F.col("prices")).alias("prices"))
 
 
 def nested_prices(df: DataFrame, day: str, key: str, seq: str, value: Column) -> DataFrame:

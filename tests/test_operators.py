@@ -567,6 +567,13 @@ def test_capped_weights_of_three_assets(spark):
     assert all(w == 0 or w >= 0.05 for w in few.values())
 
 
+def test_a_map_has_a_bound(spark):
+    rows = spark.range(20).selectExpr("concat('k', id % 5) AS key", "id", "id * 1.5 AS v")
+    assert envelopes.price_map(rows, "key", "id", F.col("v"), most=5).first().prices == {f"k{i}": (15 + i) * 1.5 for i in range(5)}
+    with pytest.raises(Exception, match="more than 4 keys"):
+        envelopes.price_map(rows, "key", "id", F.col("v"), most=4).collect()
+
+
 def test_written_once(spark, tmp_path):
     made = []
     make = lambda: made.append(1) or spark.range(2)

@@ -27,8 +27,9 @@ def least_in_ranges(points: DataFrame, ranges: DataFrame, key: list[str], length
     alone.
     """
     others = [c for c in ranges.columns if c not in (*key, "low", "which")]
-    end = lambda at, side: ranges.select(*key, at.alias("at"), F.lit(side).alias("side"), "which", F.struct(*others).alias("of"))
-    rows = points.select(*key, "at", *values).unionByName(end(F.col("low"), -1), True).unionByName(end(F.col("low") + length, 1), True)
+    both = F.array(F.struct(F.col("low").alias("at"), F.lit(-1).alias("side")), F.struct((F.col("low") + length).alias("at"), F.lit(1).alias("side")))
+    ends = ranges.select(*key, "which", F.struct(*others).alias("of"), F.inline(both))
+    rows = points.select(*key, "at", *values).unionByName(ends, True)
     rows = rows.withColumn("block", F.floor(F.col("at") / F.lit(length))).withColumn("cell", F.floor((F.col("at") - F.col("block") * length) / F.lit(max(1.0, length / CELLS))))
     block = [*key, "block"]
 

@@ -104,11 +104,15 @@ def quantile(df: DataFrame, by: list[str], column: str, q: float) -> DataFrame:
     bounds lie within one, then equal parts, so five or six passes are enough for
     any values. Once at most `SORTED` values are left between the
     bounds they are sorted. A buffer holds that many values at most, however many
-    a group has, and only counts of classes are shuffled until then.
+    a group has, and only counts of classes are shuffled until then. Where no
+    group has more from the start, there are no passes.
     """
     names = [f"__{i}" for i in range(len(by))]
     value = F.col(column).cast("double")
-    x = written(df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], value.alias("v")).filter("v is not null and not isnan(v)"), "values")
+    x = df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], value.alias("v")).filter("v is not null and not isnan(v)")
+    if (x.groupBy(*names).agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0) <= SORTED:  # every group fits into a buffer
+        return x.groupBy(*names).agg(F.percentile("v", F.lit(q)).alias("quantile")).select(*[F.col(n).alias(c) for n, c in zip(names, by, strict=True)], "quantile")
+    x = written(x, "values")
     keys = df.sparkSession.createDataFrame([(0,), (1,)], "which int")
     seen = x.groupBy(*names).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("at", (F.col("c") - 1) * F.lit(q))
     goals = seen.crossJoin(F.broadcast(keys)).select(*names, "which", "lo", "hi", "c", (F.col("at") - F.floor("at")).alias("part"), F.when(F.col("which") == 0, F.floor("at")).otherwise(F.ceil("at")).alias("rank"))

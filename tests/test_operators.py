@@ -225,7 +225,7 @@ def test_residual_cash(spark):
         assert [r.available for r in got] == [0, 0, 0, 22_997, 0, 21_367, 3_911]
 
 
-@pytest.mark.parametrize("few", [1, 50])
+@pytest.mark.parametrize("few", [1, 50, 1000])
 def test_exact_quantiles_by_histograms(spark, monkeypatch, few):
     monkeypatch.setattr(series, "SORTED", few)
     monkeypatch.setattr(series, "CLASSES", 512)

@@ -685,10 +685,15 @@ def point_lookup(spark, sf_dir):
     return read_table(spark, sf_dir, "customer").join(first, "c_nationkey").select("c_custkey", "s_name")
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS n FROM events GROUP BY 1 HAVING count(*) > 0")
+@query("""
+    WITH l AS (SELECT user_id, event_type, arg_max(value, event_id) AS price FROM events GROUP BY 1, 2)
+    SELECT user_id, count(*) AS n FROM l WHERE price > 90 GROUP BY 1
+""")
 def map_guard(spark, sf_dir):
+    """Prices above 90 by kind; users whose map is empty then are left out."""
     maps = envelopes.nested_prices(read_table(spark, sf_dir, "events"), "user_id", "event_type", "event_id", F.col("value"))
-    return maps.withColumn("n", F.size(F.map_keys("prices")).cast("bigint")).filter("n > 0").select("user_id", "n")
+    high = maps.withColumn("prices", F.map_filter("prices", lambda _, price: price > 90))
+    return high.withColumn("n", F.size(F.map_keys("prices")).cast("bigint")).filter("n > 0").select("user_id", "n")
 
 
 @query("""
